@@ -4,23 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, mixing
+from quire.llm import bpe, chat, exact_dedup, mixing, token_store
 from quire.llm.common import table
 
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
+    "op7_bpe": op7_bpe,
+    "op8_token_store": op8_token_store,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_chat": op10_chat,
 }
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
