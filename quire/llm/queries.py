@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chat, exact_dedup, mixing, token_store
+from quire.llm import bpe, chat, exact_dedup, mixing, token_store, topk, warc
 from quire.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
+    "op2_warc": op2_warc,
     "op5_mixing": op5_mixing,
     "op7_bpe": op7_bpe,
     "op8_token_store": op8_token_store,
@@ -41,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 ORACLES: dict[str, str] = {
+    "op1_topk": topk.ORACLE,
+    "op2_warc": warc.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
