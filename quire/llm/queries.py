@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chat, exact_dedup, mixing, token_store, topk, warc
+from quire.llm import bpe, chat, exact_dedup, mixing, near_dedup, token_store, topk, warc
 from quire.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_warc": op2_warc,
+    "op3_near_dedup": op3_near_dedup,
     "op5_mixing": op5_mixing,
     "op7_bpe": op7_bpe,
     "op8_token_store": op8_token_store,
