@@ -161,5 +161,5 @@ def translate(blocks: DataFrame, cache: DataFrame, client: Client, settings: Set
 
 
 def offline_client(system: str, user: str) -> str:
-    """A client without a model: every line upper-cased, markers kept. For tests and dry runs."""
-    return "\n".join(line if line.startswith("<<<") else line.upper() for line in user.split("\n"))
+    """A client without a model: every e is made an E, markers are kept. For tests and dry runs."""
+    return "\n".join(line if line.startswith("<<<") else line.replace("e", "E") for line in user.split("\n"))

@@ -10,6 +10,7 @@ from quire.functions import text as T
 from quire.operators import classify, profile
 from quire.plans import text as P
 from quire.sources import typeset as TS
+from quire.sources.tables import written
 
 QUERIES = {}
 ORACLES = {}
@@ -31,6 +32,11 @@ def spans_of(spark, sf_dir, **how) -> DataFrame:
     return TS.typeset(P.documents(spark, sf_dir), **how)
 
 
+def written_spans(spark, sf_dir) -> DataFrame:
+    """Spans as a table, as a plan has them that reads them more than once: elsewhere they are the input."""
+    return written(spans_of(spark, sf_dir), "spans")
+
+
 @query("SELECT * FROM spans")
 def spans_typeset(spark, sf_dir):
     return spans_of(spark, sf_dir)
@@ -100,7 +106,7 @@ def profiled(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query(f"{LEARNED} SELECT * FROM learned")
 def layout_profile(spark, sf_dir):
-    return profiled(spans_of(spark, sf_dir))[0]
+    return profiled(written_spans(spark, sf_dir))[0]
 
 
 HEADS = f", heads AS (SELECT doc_id, {P.EDGE_KEY('text')} AS edge_key FROM hr WHERE y < {H} * 0.09 OR y > {H} * 0.91 GROUP BY 1, 2 HAVING length(edge_key) >= 3 AND count(*) >= least(3, greatest(2, floor(any_value(sampled) / 3.0))))"
@@ -108,14 +114,14 @@ HEADS = f", heads AS (SELECT doc_id, {P.EDGE_KEY('text')} AS edge_key FROM hr WH
 
 @query(f"{LEARNED}{HEADS} SELECT * FROM heads")
 def running_heads(spark, sf_dir):
-    return profiled(spans_of(spark, sf_dir))[1]
+    return profiled(written_spans(spark, sf_dir))[1]
 
 
 @query(f"""{LEARNED}{HEADS}{LINES} SELECT doc_id, page, y_base, text FROM lines l WHERE NOT (NOT (y_top > {H} * 0.09 AND y_bot < {H} * 0.91)
  AND EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = l.doc_id AND h.edge_key = {P.EDGE_KEY('l.text')}))""")
 def body_lines(spark, sf_dir):
     """Lines without running heads: an anti-join on the document and the line's key, for lines in the margin bands."""
-    spans = spans_of(spark, sf_dir)
+    spans = written_spans(spark, sf_dir)
     found = lines_of(spans)
     inner = (F.col("y_top") > TS.PAGE_HEIGHT * 0.09) & (F.col("y_bot") < TS.PAGE_HEIGHT * 0.91)
     key = F.when(~inner, T.edge_key("text"))
@@ -196,7 +202,7 @@ KIND = f"""CASE WHEN text = '' THEN NULL WHEN y_top > {H} * 0.88 AND regexp_matc
 
 
 def kinds_of_lines(spark, sf_dir) -> DataFrame:
-    spans = spans_of(spark, sf_dir)
+    spans = written_spans(spark, sf_dir)
     blocks = line_blocks(spans).join(profiled(spans)[0], "doc_id")
     layout = columns(blocks, LAYOUT) | {"abstract_min_w": F.lit(350.0)}
     return blocks.withColumn("kind", classify.kind(columns(blocks, BLOCK), layout, F.lit(TS.PAGE_HEIGHT)))
