@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import tune
 from quire.llm.pretokens import Memo
 
+#: Words in one flat array; more leave the processor's cache.
+BULK = 20_000
 NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -66,7 +68,7 @@ class Vocabulary:
 class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.memo = Memo(self.merge_words, vocabulary.special)
+        self.memo = Memo(self.encode_words, vocabulary.special)
         size = max(vocabulary.token) + 1
         self.token = [vocabulary.token.get(i) for i in range(size)]
         self.decimal = [b"%d," % i for i in range(size)]
@@ -118,8 +120,15 @@ class Codec:
             rank[end] = NONE
         return out
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out: list[np.ndarray] = []
+        for i in range(0, len(words), BULK):
+            out += self.merge_words(words[i : i + BULK])
+        return np.concatenate(out).astype("<u4"), np.array([len(x) for x in out])
+
     def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
-        return self.memo.encode(texts, end)
+        ids, counts = self.memo.encode(texts, end)
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.token.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -148,11 +157,10 @@ class _Shared:
         return self.broadcast.value
 
 
-def list_column(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    flat = np.concatenate([a.astype(np.int32) for a in arrays]) if arrays else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+def list_column(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -164,7 +172,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), list_column(codec.encode([t or "" for t in b.column("text").to_pylist()]))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), list_column(*codec.memo.encode([t or "" for t in b.column("text").to_pylist()]))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, ids array<int>")
 

@@ -34,6 +34,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_shared(path: str, how: str):
+    """Open a file by its address with pyarrow's file systems, on the driver or an executor: how is in, out or random."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    if how == "out":
+        system.create_dir(at.rpartition("/")[0], recursive=True)
+        return system.open_output_stream(at, compression=None)
+    return system.open_input_file(at) if how == "random" else system.open_input_stream(at, compression=None)
+
+
 def forget(df: DataFrame) -> None:
     """Remove a table that settle() wrote, once nothing reads it any more."""
     jvm = df.sparkSession._jvm

@@ -14,41 +14,101 @@ import regex
 
 #: Unicode's White_Space, as the tokenizer's expression engine reads \s (fixed values).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The published pattern of byte-level BPE with \s, \p{L} and \p{N} spelt out; ASCII has a version for the faster engine.
-WIDE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-#: Distinct pre-tokens that a worker remembers.
-MEMO = 300_000
+#: The published pattern of byte-level BPE with \s, \p{L} and \p{N} spelt out. Letters and numbers are tried first, as no
+#: other alternative starts with one. ASCII and Latin-1 have versions for the faster engine.
+SUFFIX = "'(?:[stmd]|re|ve|ll)"
+WIDE = regex.compile(rf" ?\p{{L}}+| ?\p{{N}}+|{SUFFIX}| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+ASCII = re.compile(rf" ?[A-Za-z]+| ?[0-9]+|{SUFFIX}| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+LATIN = re.compile(
+    r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+|" + SUFFIX + "|"
+    r" ?[^\t-\r \x85\xa0A-Za-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
+)
+#: Distinct pre-tokens that a worker remembers, before it forgets them all.
+MEMO = 200_000
 
 
 def split(text: str) -> list[str]:
-    return (ASCII if text.isascii() else WIDE).findall(text)
+    if text.isascii():
+        return ASCII.findall(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return WIDE.findall(text)
+    return LATIN.findall(text)
+
+
+class _Places(dict):
+    """Pre-token to place; one that isn't there gets the next place and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
 
 
 class Memo:
-    """Texts to ids, with new pre-tokens encoded in bulk by encode_new (a list of them to a list of id lists)."""
+    """Texts to ids, with new pre-tokens encoded in bulk.
+
+    encode_new takes a list of pre-tokens and returns all their ids in one array, and the number of each one's ids.
+    """
 
-    def __init__(self, encode_new: Callable[[list[str]], list], special: dict[str, int]):
-        self.encode_new = encode_new
-        self.ids: dict[str, bytes] = {}
-        self.special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int]):
+        self.encode_new, self.special = encode_new, special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.places = _Places()
+        self.flat, self.start, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = 0
+        self.add([*self.special], np.array([*self.special.values()], "<u4"), np.ones(len(self.special), np.int64))
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        for w in words:
+            self.places[w]
+        first, last, end = len(self.places) - len(words), len(self.places), self.used + len(ids)
+        self.flat = _room(self.flat, end)
+        self.start, self.size = _room(self.start, last), _room(self.size, last)
+        self.flat[self.used : end] = ids
+        self.size[first:last] = sizes
+        self.start[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.used = end
+        self.places.new = []
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens, special tokens' strings kept whole."""
-        if self.cut is None or not self.cut.search(text):
+        if self.cut is None or not any(s in text for s in self.special):
             return split(text)
         out: list[str] = []
         for k, part in enumerate(self.cut.split(text)):
             out += [part] if k % 2 else split(part)
         return out
 
-    def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
-        if len(self.ids) > MEMO:
-            self.ids.clear()
-        self.ids.update(self.special)
-        cut = [self.pieces(t) for t in texts]
-        if new := list(set().union(*cut).difference(self.ids)):
-            self.ids.update(zip(new, (np.asarray(x, "<u4").tobytes() for x in self.encode_new(new)), strict=True))
-        tail, get = b"" if end is None else np.array([end], "<u4").tobytes(), self.ids.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)) + tail, "<u4") for words in cut]
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and the number of each one's ids; end stands after each text."""
+        if len(self.places) > MEMO:
+            self.clear()
+        place = self.places.__getitem__
+        words = [np.fromiter(map(place, w), np.int64, len(w)) for w in map(self.pieces, texts)]
+        if self.places.new:
+            self.add(new := self.places.new, *self.encode_new(new))
+        flat = np.concatenate([np.zeros(0, np.int64), *words])
+        size = self.size[flat]
+        ends = np.cumsum(size)
+        ids = self.flat[np.arange(len(flat) and ends[-1]) + np.repeat(self.start[flat] - (ends - size), size)]
+        counts = np.diff(np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])])
+        if end is None:
+            return ids, counts
+        return np.insert(ids, np.cumsum(counts), np.uint32(end)), counts + 1
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out

@@ -1,37 +1,51 @@
 """Token ids in Parquet list columns, in document order, with selective reads.
 
-Documents are dealt by ranges of doc_id and sorted; each range becomes one file with dictionary-coded ids,
-delta-coded ids and offsets of documents, bounded row groups and small pages, whose column and offset
-indexes let a reader fetch the metadata alone, or a few documents' tokens. A file holds offsets that start
-at 0; the manifest beside the data says how many tokens stand before each file.
+Documents are dealt by ranges of doc_id and sorted; each range becomes one file. Ids are dictionary-coded,
+documents' ids and offsets delta-coded; row groups are bounded by their tokens, pages are small, and column
+and offset indexes let a reader fetch the metadata alone, or a few documents' tokens. A file's offsets start
+at 0; the manifest says how many tokens stand before each file, and which documents it holds.
+
+Tasks write through pyarrow's file systems under names of their own attempts; the manifest lists the
+files that committed tasks return, so a lost executor leaves at most an unused file.
 
 Defined results
 ---------------
 * A null text counts as empty: its tokens are the end id alone.
 * Rows of one doc_id stand together, in the order of their texts' hashes; repeated rows are all written.
   Null ids come first. An empty table makes an empty store.
-* Only doc_id and text are read; others may have any name.
+* Only doc_id and text are read; others may have any name. doc_id is a long.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import list_column
-from quire.llm.common import new_path, parts_for, tune
-from quire.llm.pretokens import Memo
+from quire.llm.bpe import byte_letters, list_column
+from quire.llm.common import new_path, open_shared, parts_for, tune
+from quire.llm.pretokens import SPACE, Memo
 
 END = 2
-ROW_GROUP = 32 << 20
+#: Tokens after which a row group is closed, and bytes of a page.
+GROUP_TOKENS = 1 << 20
 PAGE = 128 << 10
-PAGE_ROWS = 500
+MANIFEST = "part int, path string, tokens long, documents long, first long, last long"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.field("element", pa.int32())))])
+FORMAT = {
+    "compression": "zstd", "compression_level": 1, "use_dictionary": ["ids.list.element"], "data_page_version": "2.0", "data_page_size": PAGE, "write_page_index": True,
+    "column_encoding": {"doc_id": "DELTA_BINARY_PACKED", "start": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"},
+}
+JOINED = re.compile(rf" [^{SPACE}]+")
 
 _memos: dict[int, Memo] = {}
 
@@ -46,61 +60,138 @@ def _memo(key: int, spec: str) -> Memo:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        _memos[key] = Memo(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)], special)
+        _memos[key] = Memo(_bulk(tokenizer), special)
     return _memos[key]
 
 
+def _bulk(tokenizer):
+    """Encode many pre-tokens with few calls.
+
+    Pre-tokens of one blank and then no blank stay whole when they are joined, as each begins with the only
+    blank near; the lengths of the tokens tell where the next begins. The others are encoded one by one.
+    """
+    back = {c: b for b, c in enumerate(byte_letters())}
+    vocab = tokenizer.get_vocab(with_added_tokens=False)
+    length = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        length[i] = sum(c in back for c in token)
+
+    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = np.array([JOINED.fullmatch(w) is not None for w in new])
+        plain, rest = [w for w, j in zip(new, joined, strict=True) if j], [w for w, j in zip(new, joined, strict=True) if not j]
+        got = tokenizer.encode_batch_fast(["".join(plain[i : i + 100]) for i in range(0, len(plain), 100)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in got)])
+        ends = np.searchsorted(np.cumsum(length[ids]), np.cumsum([len(w.encode()) for w in plain])) + 1
+        one = [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        # words are numbered in the order of new, so the two kinds are put back in their places
+        sizes = np.empty(len(new), np.int64)
+        sizes[joined], sizes[~joined] = np.diff(ends, prepend=0), [len(x) for x in one]
+        of = np.repeat(joined, sizes)
+        out = np.empty(len(of), "<u4")
+        out[of], out[~of] = ids, np.concatenate([np.zeros(0, "<u4"), *one])
+        return out, sizes
+
+    return encode
+
+
 def write(docs: DataFrame, tokenizer_path: str, path: str, end: int = END) -> None:
-    """Encode docs and write the store to path/data and path/manifest."""
+    """Encode docs and write the store's files to path/data and the manifest to path/manifest."""
     spark = docs.sparkSession
     tune(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # the vocabulary's file, whatever the corpus
-    key, ids = hash(path), docs.schema["doc_id"].dataType.simpleString()
+    key = hash(shared.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memo, part, start = _memo(key, shared.value), TaskContext.get().partitionId(), 0
+        memo, part, start, documents = _memo(key, shared.value), TaskContext.get().partitionId(), 0, 0
+        file, out, writer, held, size, first, last = f"{path}/data/{part:06d}-{uuid.uuid4().hex}.parquet", None, None, [], 0, None, None
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                writer.write_table(pa.Table.from_batches(held), row_group_size=sum(b.num_rows for b in held))
+            held, size = [], 0
+            pa.default_memory_pool().release_unused()
+
         for b in batches:
-            tokens = memo.encode([t or "" for t in b.column("text").to_pylist()], end)
-            sizes = np.array([len(t) for t in tokens], np.int64)
+            if not b.num_rows:
+                continue
+            if writer is None:
+                out = open_shared(file, "out")
+                writer = pq.ParquetWriter(out, SCHEMA, **FORMAT)
+                first = b.column("doc_id")[0].as_py()
+            tokens, sizes = memo.encode([t or "" for t in b.column("text").to_pylist()], end)
             starts = start + np.cumsum(sizes) - sizes
-            start += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(sizes), part, np.int32)), pa.array(starts), pa.array(sizes), list_column(tokens)], names=["doc_id", "part", "start", "n_tokens", "ids"])
+            start, size, documents, last = start + int(sizes.sum()), size + int(sizes.sum()), documents + b.num_rows, b.column("doc_id")[-1].as_py()
+            held.append(pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(starts), pa.array(sizes), list_column(tokens, sizes).cast(SCHEMA.field("ids").type)], schema=SCHEMA))
+            if size >= GROUP_TOKENS:
+                flush()
+        if writer is not None:
+            flush()
+            writer.close()
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, file, start, documents, first, last), (pa.int32(), pa.string(), *(pa.int64(),) * 4), strict=True)], names=["part", "path", "tokens", "documents", "first", "last"])
 
     tie = F.xxhash64("text")
     rows = docs.select("doc_id", "text").repartitionByRange(parts_for(docs), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
-    encoded = rows.mapInArrow(run, f"doc_id {ids}, part int, start long, n_tokens long, ids array<int>")
-    out = encoded.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
-    for name, value in {
-        "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.row.count.limit": PAGE_ROWS,
-        "parquet.enable.dictionary#ids.list.element": "true",
-        "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#start": "false", "parquet.enable.dictionary#n_tokens": "false",
-    }.items():
-        out = out.option(name, str(value))
-    out.parquet(f"{path}/data")
-    sizes = spark.read.parquet(f"{path}/data").groupBy("part").agg(F.max(F.col("start") + F.col("n_tokens")).alias("tokens"), F.count("*").alias("documents"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    before, manifest = 0, []
-    for r in sorted(sizes.collect(), key=lambda r: r["part"]):  # a row for each file
-        manifest.append((r["part"], before, r["tokens"], r["documents"], r["first"], r["last"]))
+    files = sorted(rows.mapInArrow(run, MANIFEST).collect(), key=lambda r: r["part"])  # a row for each file
+    before, listed = 0, []
+    for r in files:
+        listed.append((*r, before))
         before += r["tokens"]
-    spark.createDataFrame(manifest, f"part int, before long, tokens long, documents long, first {ids}, last {ids}").coalesce(1).write.parquet(f"{path}/manifest")
+    spark.createDataFrame(listed, f"{MANIFEST}, before long").coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def _batches(file: str, before: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    with open_shared(file, "random") as f:
+        for b in pq.ParquetFile(f).iter_batches(1000, columns=columns):
+            if "start" in columns:
+                at = b.schema.get_field_index("start")
+                b = b.set_column(at, "start", pc.add(b.column("start"), before))
+            yield b
+
+
+def read(spark: SparkSession, path: str, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "doc_id long, start long, n_tokens long, ids array<int>", columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "ids")) -> DataFrame:
+    """The store's rows, or what `then` makes of their batches where they are read. Only the columns asked for are read from the files."""
+    manifest = spark.read.parquet(f"{path}/manifest").select("path", "before")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, before in zip(b.column("path").to_pylist(), b.column("before").to_pylist(), strict=True):
+                for rows in _batches(file, before, list(columns)):
+                    yield then(rows) if then else rows
+
+    return manifest.repartition(max(1, manifest.count()), "path").mapInArrow(run, schema)
+
+
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens; no token is read."""
+    return read(spark, path, schema="doc_id long, start long, n_tokens long", columns=("doc_id", "start", "n_tokens"))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids; columns that aren't asked for aren't read, filters on doc_id skip pages by their index."""
-    rows, manifest = spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/manifest").select("part", "before")
-    return rows.join(F.broadcast(manifest), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
+def documents(spark: SparkSession, path: str, ids: list[int]) -> list[tuple[int, np.ndarray]]:
+    """A few documents' tokens, read by the driver from the row groups whose statistics allow for them."""
+    out = []
+    for f in spark.read.parquet(f"{path}/manifest").filter(F.col("last") >= min(ids)).filter(F.col("first") <= max(ids)).orderBy("part").collect():
+        with open_shared(f["path"], "random") as raw:
+            file = pq.ParquetFile(raw)
+            for g in range(file.num_row_groups):
+                told = file.metadata.row_group(g).column(0).statistics
+                if told is None or not told.has_min_max or any(told.min <= i <= told.max for i in ids):
+                    t = file.read_row_group(g, columns=["doc_id", "ids"])
+                    t = t.filter(pc.is_in(t["doc_id"], pa.array(ids, pa.int64())))
+                    out += [(d.as_py(), np.asarray(x.values)) for d, x in zip(t["doc_id"], t["ids"], strict=True)]
+    return out
 
 
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = b.column("ids")
-        flat, at = np.asarray(ids.flatten(), np.int32).astype("<u4"), np.concatenate([[0], np.cumsum(ids.value_lengths())])
-        crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+def _crc(b: pa.RecordBatch) -> pa.RecordBatch:
+    ids = b.column("ids")
+    flat, at = np.asarray(ids.flatten(), np.int32).astype("<u4"), np.concatenate([[0], np.cumsum(ids.value_lengths())])
+    crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -108,5 +199,4 @@ def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     write(docs, tokenizer_path, path)
-    ids = docs.schema["doc_id"].dataType.simpleString()
-    return read(spark, path).mapInArrow(_crc, f"doc_id {ids}, start long, n_tokens long, ids_crc32 long")
+    return read(spark, path, _crc, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -22,17 +22,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import new_path, settle, tune
+from quire.llm.common import new_path, open_shared, settle, tune
 
 SMALL = 100
 DATE = "1970-01-01T00:00:00Z"
@@ -45,14 +43,6 @@ FILES = "path string, records long"
 INDEX = "path string, offset long, length long, type string, id string"
 
 
-def _open(path: str, how: str):
-    system, at = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-    if how == "out":
-        system.create_dir(posixpath.dirname(at), recursive=True)
-        return system.open_output_stream(at, compression=None)
-    return system.open_input_file(at) if how == "random" else system.open_input_stream(at, compression=None)
-
-
 # --- records ---
 
 
@@ -160,7 +150,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             for page, url, digest, n, first, html in zip(*columns, b.column("html"), strict=True):
                 if out is None:
                     path, size, records = f"{folder}/mono/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out, engine = _open(path, "out"), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                    out, engine = open_shared(path, "out"), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 data = record(page, url, b"" if first is not None else html.as_buffer().to_pybytes(), digest, n, None if first is None else record_id(first, digest))
                 out.write(engine.compress(data))
                 size, records = size + len(data), records + 1
@@ -212,7 +202,7 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for old in b.column("path").to_pylist():
                 path, records = f"{folder}/members/{uuid.uuid4().hex}.warc.gz", 0
-                with _open(old, "in") as source, _open(path, "out") as out, _open(path + ".idx", "out") as index:
+                with open_shared(old, "in") as source, open_shared(path, "out") as out, open_shared(path + ".idx", "out") as index:
                     for entry in rewrite(source, _Counted(out), path):
                         index.write(json.dumps(entry).encode() + b"\n")
                         records += 1
@@ -232,7 +222,7 @@ def index(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column("path").to_pylist():
-                with _open(path + ".idx", "in") as f:
+                with open_shared(path + ".idx", "in") as f:
                     rest = b""
                     while data := f.read(PIECE):
                         whole, _, rest = (rest + data).rpartition(b"\n")
@@ -286,7 +276,7 @@ def read(files: DataFrame) -> DataFrame:
                 if path != at:
                     if f:
                         f.close()
-                    at, f = path, _open(path, "random")
+                    at, f = path, open_shared(path, "random")
                 out.append(fetch(f, offset, length))
             yield pa.RecordBatch.from_pylist(out, schema)
         if f:
