@@ -180,11 +180,11 @@ def duplicates(docs: DataFrame, huge: int = HUGE) -> DataFrame:
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' columns: of equal texts the document with the largest id, once."""
     found = duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("uid") == F.col("keep_uid")))
-    keep = found.select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), F.col("copies").alias("_n"))
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_u")))
-    single, repeated = rows.filter("_n = 1"), rows.filter("_n > 1")
-    one = repeated.groupBy("_d", "_u").agg(*[F.first(c).alias(c) for c in docs.columns])
-    return single.select(*docs.columns).unionByName(one.select(*docs.columns))
+    keep = found.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), F.col("copies").alias("n"))
+    whole = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid"), F.struct(*docs.columns).alias("row"))
+    rows = whole.join(keep, F.col("id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")))
+    once = rows.filter("n > 1").groupBy("d", "u").agg(F.first("row").alias("row"))
+    return rows.filter("n = 1").select("row.*").unionByName(once.select("row.*"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

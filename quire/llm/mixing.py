@@ -10,8 +10,8 @@ Defined results
 * A null text has no words. The null source is a source of its own and comes last in the order.
 * Rows of one doc_id share their draw, repeated rows included; null ids share one draw.
 * A source without words has target 0 and no copies. An empty table gives an empty result.
-* Other columns pass through; the operator's own columns are size, source_size, target and copies
-  (a column of docs with such a name is replaced).
+* mix() adds size, source_size, target and copies (a column of docs with such a name is replaced); emit()
+  returns the columns of docs as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,8 +67,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
 
 def emit(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows with docs' columns, each as often as it is taken."""
-    mixed = mix(docs, **how).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.expr("array_repeat(1, cast(copies as int))"))).select(*docs.columns)
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
+    mixed = mix(whole, **how).filter("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.expr("array_repeat(1, cast(copies as int))"))).select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

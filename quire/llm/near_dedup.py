@@ -214,5 +214,5 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' columns: of each group the least document, once."""
     keep = settle(groups(docs).filter((F.col("d") == F.col("root_d")) & (F.col("u") == F.col("root_u"))).select("d", "u"), "kept")
     d, u = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.withColumns({"_d": d, "_u": u}).join(keep.select(F.col("d").alias("_d"), F.col("u").alias("_u")), ["_d", "_u"])
-    return rows.dropDuplicates(["_d", "_u"]).select(*docs.columns)
+    whole = docs.select(d.alias("d"), u.alias("u"), F.struct(*docs.columns).alias("row"))
+    return whole.join(keep, ["d", "u"]).dropDuplicates(["d", "u"]).select("row.*")

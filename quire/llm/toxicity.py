@@ -335,7 +335,7 @@ class Scorer:
         self.place: dict[str, int] = {}  # of words as the network reads them
         self.raw: dict[str, int] = {}  # of words as they stand in texts; below 0: -1 minus the place in long
         self.long: list[np.ndarray] = []
-        self.table = np.zeros((0, 6 * STATE), np.float32)
+        self.table = np.zeros((1, 6 * STATE), np.float32)
         self.used = 0
 
     def learn_words(self, words: list[str]) -> None:
