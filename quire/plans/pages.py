@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed as X
+from quire.functions import markup
 from quire.functions import text as T
 from quire.operators import audit as A
 from quire.operators import blocks as BK
-from quire.operators import classify, pages
+from quire.operators import classify, pages, regions
 from quire.operators import recognised as R
+from quire.operators.profile import Layout
 from quire.plans import geometry as G
 from quire.plans import layout as LY
 from quire.plans import text as P
@@ -165,3 +167,65 @@ def confirmed_suspects(spark, sf_dir):
     yes, no = [X.VERDICTS[k][0] for k in kinds], [next(o for o in X.VERDICTS[k][1] if o != X.VERDICTS[k][0]) for k in kinds]
     verdicts = rows.select("doc_id", F.when(F.col("doc_id") % 8 < 4, at(yes)).otherwise(at(no)).alias("verdict"))
     return A.confirmed(rows, verdicts, ["doc_id"]).select("doc_id", "type")
+
+
+def figure_regions(spark, sf_dir):
+    """Regions of pages with planted boxes and ink, and the texts they leave."""
+    blocks, _, ink = audit_tables(spark, sf_dir)
+    layout = {k: float(v) for k, v in vars(Layout()).items()}
+    return regions.regions(blocks, ink, layout)
+
+
+QUERIES["figure_regions"] = figure_regions
+
+
+@query(f"""WITH {G.INK} SELECT doc_id, page, y, "on", min_x, max_x FROM ink WHERE doc_id % 70 < 3""")
+def ink_from_pixels(spark, sf_dir):
+    """Page images drawn from the ink rows, and these rows read from the images again."""
+    import numpy as np
+    import pandas as pd
+
+    rows = G.ink_of(spark, sf_dir).filter("doc_id % 70 < 3")
+    pages_ = rows.groupBy("doc_id", "page").agg(F.collect_list(F.struct("y", "min_x", "max_x")).alias("rows"))
+
+    def draw(frames):
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                image = np.full((396, 306, 3), 255, np.uint8)
+                for x in r.rows:
+                    if x["min_x"] >= 0:
+                        image[x["y"], [x["min_x"], x["max_x"]], 1] = 247
+                out.append((r.doc_id, r.page, 306, 396, image.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "page", "w", "h", "rgb"])
+
+    return regions.raster_ink(pages_.mapInPandas(draw, "doc_id long, page int, w int, h int, rgb binary"))
+
+
+def markdown_html(spark, sf_dir):
+    """Documents as markdown, shown as HTML."""
+    return P.documents(spark, sf_dir).select("doc_id", markup.markdown_html("text").alias("html"))
+
+
+QUERIES["markdown_html"] = markdown_html
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS str, generate_subscripts(string_split(text, ' '), 1) - 1 AS seq FROM documents)
+SELECT doc_id, seq::INT AS seq, floor(sqrt((10 + seq % 3) * (10 + seq % 3) + 0.25) * 10 + 0.5) / 10 AS size, 'Roman' AS font, (72 + seq % 40)::DOUBLE AS x0, (792 - (100 + seq % 600))::DOUBLE AS y_base FROM w WHERE seq < 50 AND {P.TRIM('str')} <> ''""")
+def text_items(spark, sf_dir):
+    """Items with transforms, as a PDF library gives them, to spans."""
+    from quire.sources import items
+
+    w = P.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("seq", "str")).filter("seq < 50")
+    n = F.col("seq")
+    rows = w.select("doc_id", F.lit(0).alias("page"), "seq", "str", *[v.cast("double").alias(k) for k, v in {"a": F.lit(10), "b": F.lit(0), "c": F.lit(0.5), "d": 10 + n % 3, "e": 72 + n % 40, "f": 100 + n % 600, "width": F.lit(20)}.items()], F.lit("ABCDEF+Roman").alias("font"), F.array(*[F.lit(float(v)) for v in (1, 0, 0, -1, 0, 792)]).alias("vp"))
+    return items.spans(rows).select("doc_id", "seq", "size", "font", "x0", "y_base")
+
+
+@query(f"""WITH {G.BOXES}, f AS (SELECT * FROM bx WHERE kind = 'graphic'), t AS (SELECT * FROM bx WHERE kind = 'para')
+SELECT f.doc_id, f.j, min(least(f.x0, t.x0)) AS x0, max(greatest(f.x1, t.x1)) AS x1, list(t.j ORDER BY t.j) AS labels FROM f JOIN t ON f.doc_id = t.doc_id AND least(f.y1 + 120, t.y1) - greatest(f.y0, t.y0) > 0.6 * (t.y1 - t.y0) GROUP BY f.doc_id, f.j""")
+def absorbed_labels(spark, sf_dir):
+    """Figures (120 points taller) with the texts that lie mostly beside them: these widen the figure and become its notes."""
+    found = G.boxes_of(spark, sf_dir)
+    figures = found.filter("kind = 'graphic'").withColumn("y1", F.col("y1") + 120)
+    return R.absorbed(figures, found.filter("kind = 'para'"), "j")
