@@ -91,7 +91,7 @@ def ink_runs_2d_rows(spark, sf_dir):
     return hot.groupBy(*B.PAGE, "island").agg(F.min("y").alias("first_y"), F.max("y").alias("last_y"), F.count("*").alias("n_hot")).drop("island")
 
 
-@query("""SELECT a.doc_id, a.j, count(*) AS n, sum(b.y) AS y_sum FROM bx a JOIN ink b ON a.doc_id = b.doc_id AND b.min_x >= 0 AND b.y * 2 >= a.y0 - 2 AND b.y * 2 <= a.y1 + 2 AND b.min_x * 2 >= a.x0 - 2 GROUP BY 1, 2""")
+@query("""SELECT a.doc_id, a.j, count(*) AS n, sum(b.y)::BIGINT AS y_sum FROM bx a JOIN ink b ON a.doc_id = b.doc_id AND b.min_x >= 0 AND b.y * 2 >= a.y0 - 2 AND b.y * 2 <= a.y1 + 2 AND b.min_x * 2 >= a.x0 - 2 GROUP BY 1, 2""")
 def items_in_region(spark, sf_dir):
     items = ink_of(spark, sf_dir).filter("min_x >= 0").select("doc_id", "page", (F.col("min_x") * 2.0).alias("x0"), F.lit(0.0).alias("x1"), (F.col("y") * 2.0).alias("y"), F.col("y").alias("row"))
     return B.items_in(boxes_of(spark, sf_dir), items).groupBy("a.doc_id", "a.j").agg(F.count("*").alias("n"), F.sum("b.row").alias("y_sum"))

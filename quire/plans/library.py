@@ -131,7 +131,7 @@ def painted_text(spark, sf_dir):
     return painted.filter("marked").groupBy("doc_id", "block_id").agg(F.sum(F.length("source")).alias("marked_chars"), F.count("*").alias("pieces"))
 
 
-@query("SELECT doc_id, count(*) AS segments, sum(length(t)) AS chars, max(o) AS last_at FROM (SELECT doc_id, t, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)) GROUP BY doc_id", blocks=False)
+@query("SELECT doc_id, count(*) AS segments, sum(length(t))::BIGINT AS chars, max(o) AS last_at FROM (SELECT doc_id, t, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)) GROUP BY doc_id", blocks=False)
 def source_offsets(spark, sf_dir):
     segments = P.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("k", "source"))
     return L.source_offset(segments, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.length("source")).alias("chars"), F.max("at").alias("last_at"))
@@ -169,7 +169,7 @@ def html_kinds(spark, sf_dir):
     return html.blocks(spark.read.parquet(f"{sf_dir}/pages.parquet")).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(f"""WITH c AS (SELECT page_id, regexp_replace(html, '{html.NOISE}', '', 'g') AS h FROM pages), n AS (SELECT page_id, len(regexp_extract_all(h, '(?i)<(?:h[1-6]|p|li|td)\\b')) AS texts, len(regexp_extract_all(h, '(?i)<(?:svg|path|rect|line|div|span)\\b')) AS drawn, len(regexp_extract_all(h, '(?i)<img\\b')) AS images FROM c)
+@query(f"""WITH c AS (SELECT page_id, regexp_replace(html, '{html.NOISE}', '', 'g') AS h FROM pages), n AS (SELECT page_id, len(regexp_extract_all(h, '(?i)<(?:h[1-6]|p|li|td)\\b'))::INT AS texts, len(regexp_extract_all(h, '(?i)<(?:svg|path|rect|line|div|span)\\b'))::INT AS drawn, len(regexp_extract_all(h, '(?i)<img\\b'))::INT AS images FROM c)
 SELECT *, images > 0 OR drawn > 40 AS likely_figures FROM n""", blocks=False)
 def page_census(spark, sf_dir):
     return html.census(spark.read.parquet(f"{sf_dir}/pages.parquet"))

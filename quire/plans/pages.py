@@ -179,7 +179,7 @@ def figure_regions(spark, sf_dir):
 QUERIES["figure_regions"] = figure_regions
 
 
-@query(f"""WITH {G.INK} SELECT doc_id, page, y, "on", min_x, max_x FROM ink WHERE doc_id % 70 < 3""")
+@query(f"""WITH {G.INK} SELECT doc_id, page, y, "on", min_x::INT AS min_x, max_x::INT AS max_x FROM ink WHERE doc_id % 70 < 3""")
 def ink_from_pixels(spark, sf_dir):
     """Page images drawn from the ink rows, and these rows read from the images again."""
     import numpy as np

@@ -92,7 +92,7 @@ def looks_prose(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.looks_prose("text").alias("looks_prose"))
 
 
-@query("SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in METRICS("text").items()) + " FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"{v}::INT AS {k}" if k.startswith("n_") else f"{v} AS {k}" for k, v in METRICS("text").items()) + " FROM documents")
 def text_metrics(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in T.metrics("text").items()])
 
@@ -102,12 +102,12 @@ def is_prose(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.is_prose("text").alias("is_prose"))
 
 
-@query(f"SELECT doc_id, {CHARS('text', X.HARD_MATH)} AS hard_math FROM documents")
+@query(f"SELECT doc_id, {CHARS('text', X.HARD_MATH)}::INT AS hard_math FROM documents")
 def hard_math_count(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.hard_math("text").alias("hard_math"))
 
 
-@query(f"SELECT doc_id, sha256({NORM('text')}) AS norm_sha256, length({NORM('text')}) AS n FROM documents")
+@query(f"SELECT doc_id, sha256({NORM('text')}) AS norm_sha256, length({NORM('text')})::INT AS n FROM documents")
 def norm_text(spark, sf_dir):
     n = T.norm("text")
     return documents(spark, sf_dir).select("doc_id", F.sha2(n, 256).alias("norm_sha256"), F.length(n).alias("n"))
@@ -130,7 +130,7 @@ def line_classes(spark, sf_dir):
 
 
 @query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {TRIM('x')}), lambda x: length(x) > 4) AS a FROM documents)
-SELECT doc_id, len(a) AS n_lines, len(a) >= 8 AND len(list_distinct(a))::DOUBLE / greatest(len(a), 1) < 0.4 AS runaway FROM l""")
+SELECT doc_id, len(a)::INT AS n_lines, len(a) >= 8 AND len(list_distinct(a))::DOUBLE / greatest(len(a), 1) < 0.4 AS runaway FROM l""")
 def runaway_docs(spark, sf_dir):
     long = F.filter(F.transform(F.split("text", "\n", -1), T.trim), lambda x: F.length(x) > 4)
     return documents(spark, sf_dir).select("doc_id", F.size(long).alias("n_lines"), T.runaway("text").alias("runaway"))
@@ -296,7 +296,7 @@ def number_ranges(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.number_range(typed).alias("numbers"))
 
 
-@query("SELECT doc_id, sha256('data:image/webp;base64,' || base64(encode(text))) AS url_sha256, 'image/webp' AS media, octet_length(encode(text)) AS n_bytes, sha256(text) AS data_sha256 FROM documents")
+@query("SELECT doc_id, sha256('data:image/webp;base64,' || base64(encode(text))) AS url_sha256, 'image/webp' AS media, octet_length(encode(text))::INT AS n_bytes, sha256(text) AS data_sha256 FROM documents")
 def data_urls(spark, sf_dir):
     made = documents(spark, sf_dir).select("doc_id", T.data_url(F.lit("image/webp"), F.encode("text", "UTF-8")).alias("url"))
     back = made.withColumn("b", T.from_data_url("url"))
