@@ -204,12 +204,9 @@ def cache_key(model: Column, text: Column | str, language: Column | None = None)
 
 def join_lines(lines: Column, dashes: str = "-") -> Column:
     """Lines as one text: a dash at a line's end joins the next line to it, otherwise a space does."""
-    ends = F.lit("[" + "".join("\\" + d for d in dashes) + "]\\z")
-
-    def add(so_far: Column, line: Column) -> Column:
-        return F.when(so_far == "", line).when(F.regexp_like(so_far, ends), F.concat(F.substring(so_far, F.lit(1), F.length(so_far) - 1), line)).otherwise(F.concat(so_far, F.lit(" "), line))
-
-    return collapse(F.aggregate(lines, F.lit(""), add))
+    mark = "\x01"  # between lines; goes with the dash before it, or becomes a space
+    dash = "[" + "".join("\\" + d for d in dashes) + "]"
+    return collapse(F.regexp_replace(F.regexp_replace(F.array_join(lines, mark), dash + mark, ""), mark, " "))
 
 
 def level_by_size(size: Column | str) -> Column:

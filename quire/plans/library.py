@@ -89,10 +89,10 @@ def glossary_hits(spark, sf_dir):
     return TR.glossary_hits(P.documents(spark, sf_dir), ["doc_id"], F.concat("text", F.lit(" The utility of turnover: KKT conditions, drawdown")))
 
 
-@query(f"""SELECT doc_id, block_id, CASE WHEN zh IS NOT NULL THEN zh WHEN kind IN {P.listed(X.TRANSLATED_KINDS)} AND {BLANK} THEN replace({P.TRIM('text')}, 'e', 'E') END AS zh, NULL::VARCHAR AS err FROM bk WHERE doc_id % 10 = 1""")
+@query(f"""SELECT doc_id, block_id, CASE WHEN zh IS NOT NULL THEN zh WHEN kind IN {P.listed(X.TRANSLATED_KINDS)} AND {BLANK} THEN replace({P.TRIM('text')}, 'e', 'E') END AS zh, NULL::VARCHAR AS err FROM bk""")
 def translated(spark, sf_dir):
-    """The whole flow with an offline client; one in ten documents is up for translation."""
-    blocks = blocks_of(spark, sf_dir).filter("doc_id % 10 = 1").drop("size", "page")
+    """The whole flow, with an offline client."""
+    blocks = blocks_of(spark, sf_dir).drop("size", "page")
     none = spark.createDataFrame([], "k string, zh string")
     out, _ = TR.translate(blocks, none, TR.offline_client, TR.Settings(pause=0.0))
     return out.select("doc_id", "block_id", "zh", "err")
@@ -119,13 +119,13 @@ def erased_highlights(spark, sf_dir):
     return L.without_overlapping(marks, marks.filter("id % 100 = 0")).select("id")
 
 
-@query(f""", {MARKS}, mk AS (SELECT DISTINCT doc_id, block_id, start, "end" FROM hm WHERE field = 'en' AND id % 40 = 0), o AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY doc_id, block_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM mk),
+@query(f""", {MARKS}, mk AS (SELECT DISTINCT doc_id, block_id, start, "end" FROM hm WHERE field = 'en'), o AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY doc_id, block_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM mk),
 g AS (SELECT *, sum(o) OVER (PARTITION BY doc_id, block_id ORDER BY start, "end") AS g FROM o), m AS (SELECT doc_id, block_id, min(start) AS a, max("end") AS b FROM g GROUP BY doc_id, block_id, g)
 SELECT doc_id, block_id, sum(least(b, length(text)) - least(a, length(text)))::BIGINT AS marked_chars, count(*) AS pieces FROM m JOIN bk USING (doc_id, block_id) GROUP BY 1, 2""")
 def painted_text(spark, sf_dir):
     from quire.operators.intervals import islands
 
-    marks = marks_of(spark, sf_dir).filter("field = 'en' and id % 40 = 0").select("doc_id", "block_id", "start", "end").distinct()
+    marks = marks_of(spark, sf_dir).filter("field = 'en'").select("doc_id", "block_id", "start", "end").distinct()
     merged = islands(marks, ["doc_id", "block_id"], "start", "end").groupBy("doc_id", "block_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
     painted = L.painted(blocks_of(spark, sf_dir).select("doc_id", "block_id", "text"), merged, ["doc_id", "block_id"])
     return painted.filter("marked").groupBy("doc_id", "block_id").agg(F.sum(F.length("source")).alias("marked_chars"), F.count("*").alias("pieces"))

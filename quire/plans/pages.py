@@ -129,7 +129,7 @@ def audit_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     blocks = G.boxes_of(spark, sf_dir).withColumnRenamed("j", "block_id").withColumn("block_id", F.col("block_id").cast("long"))
     caption = F.concat(F.lit("Figure "), F.col("block_id").cast("string"), F.lit(". planted"))
     blocks = blocks.withColumns({"text": F.when(F.col("kind") == "caption", caption).when(F.col("kind") == "graphic", "").otherwise("short text"), "size": F.lit(12.0)})
-    words = TS.typeset(P.documents(spark, sf_dir).filter("doc_id % 2 = 0"), heads=False).filter("page = 0")
+    words = TS.typeset(P.documents(spark, sf_dir), heads=False)
     items = words.select("doc_id", "page", "str", "size", "x0", "x1", F.col("y_base").alias("y"))
     return blocks, items, G.ink_of(spark, sf_dir)
 
@@ -179,25 +179,23 @@ def figure_regions(spark, sf_dir):
 QUERIES["figure_regions"] = figure_regions
 
 
-@query(f"""WITH {G.INK} SELECT doc_id, page, y, "on", min_x::INT AS min_x, max_x::INT AS max_x FROM ink WHERE doc_id % 70 < 3""")
+@query(f"""WITH {G.INK} SELECT doc_id, page, y, "on", min_x::INT AS min_x, max_x::INT AS max_x FROM ink""")
 def ink_from_pixels(spark, sf_dir):
     """Page images drawn from the ink rows, and these rows read from the images again."""
     import numpy as np
     import pandas as pd
 
-    rows = G.ink_of(spark, sf_dir).filter("doc_id % 70 < 3")
+    rows = G.ink_of(spark, sf_dir)
     pages_ = rows.groupBy("doc_id", "page").agg(F.collect_list(F.struct("y", "min_x", "max_x")).alias("rows"))
 
     def draw(frames):
         for frame in frames:
-            out = []
             for r in frame.itertuples(index=False):
                 image = np.full((396, 306, 3), 255, np.uint8)
                 for x in r.rows:
                     if x["min_x"] >= 0:
                         image[x["y"], [x["min_x"], x["max_x"]], 1] = 247
-                out.append((r.doc_id, r.page, 306, 396, image.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "page", "w", "h", "rgb"])
+                yield pd.DataFrame([(r.doc_id, r.page, 306, 396, image.tobytes())], columns=["doc_id", "page", "w", "h", "rgb"])
 
     return regions.raster_ink(pages_.mapInPandas(draw, "doc_id long, page int, w int, h int, rgb binary"))
 
@@ -211,12 +209,12 @@ QUERIES["markdown_html"] = markdown_html
 
 
 @query(f"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS str, generate_subscripts(string_split(text, ' '), 1) - 1 AS seq FROM documents)
-SELECT doc_id, seq::INT AS seq, floor(sqrt((10 + seq % 3) * (10 + seq % 3) + 0.25) * 10 + 0.5) / 10 AS size, 'Roman' AS font, (72 + seq % 40)::DOUBLE AS x0, (792 - (100 + seq % 600))::DOUBLE AS y_base FROM w WHERE seq < 50 AND {P.TRIM('str')} <> ''""")
+SELECT doc_id, seq::INT AS seq, floor(sqrt((10 + seq % 3) * (10 + seq % 3) + 0.25) * 10 + 0.5) / 10 AS size, 'Roman' AS font, (72 + seq % 40)::DOUBLE AS x0, (792 - (100 + seq % 600))::DOUBLE AS y_base FROM w WHERE {P.TRIM('str')} <> ''""")
 def text_items(spark, sf_dir):
     """Items with transforms, as a PDF library gives them, to spans."""
     from quire.sources import items
 
-    w = P.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("seq", "str")).filter("seq < 50")
+    w = P.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("seq", "str"))
     n = F.col("seq")
     rows = w.select("doc_id", F.lit(0).alias("page"), "seq", "str", *[v.cast("double").alias(k) for k, v in {"a": F.lit(10), "b": F.lit(0), "c": F.lit(0.5), "d": 10 + n % 3, "e": 72 + n % 40, "f": 100 + n % 600, "width": F.lit(20)}.items()], F.lit("ABCDEF+Roman").alias("font"), F.array(*[F.lit(float(v)) for v in (1, 0, 0, -1, 0, 792)]).alias("vp"))
     return items.spans(rows).select("doc_id", "seq", "size", "font", "x0", "y_base")

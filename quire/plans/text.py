@@ -147,8 +147,8 @@ def shape_of(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.shape("text").alias("shape"))
 
 
-#: Table markup made of a document's first words, one row each three words, every seventh cell merged.
-OTSL = """(SELECT doc_id, array_to_string(list_transform(list_slice(string_split(text, ' '), 1, 30),
+#: Table markup made of a document's words, one row each three words, every seventh cell merged.
+OTSL = """(SELECT doc_id, array_to_string(list_transform(string_split(text, ' '),
   lambda w, i: CASE WHEN i % 7 = 0 THEN '<lcel>' ELSE '<fcel>' END || w || CASE WHEN i % 3 = 0 THEN '<nl>' ELSE '' END), '') AS markup FROM documents)"""
 
 
@@ -156,9 +156,8 @@ OTSL = """(SELECT doc_id, array_to_string(list_transform(list_slice(string_split
 c AS (SELECT doc_id, list_transform(a, lambda l: list_transform(regexp_split_to_array(l, '{X.OTSL_CELL}'), lambda x: {TRIM('x')})) AS a FROM m)
 SELECT doc_id, array_to_string(list_filter(list_transform(a, lambda l: {TRIM("array_to_string(CASE WHEN l[1] = '' THEN l[2:] ELSE l END, ' | ')")}), lambda x: x <> ''), chr(10)) AS rows FROM c""")
 def from_otsl(spark, sf_dir):
-    first = F.slice(F.split("text", " ", -1), 1, 30)
     cell = lambda w, i: F.concat(F.when((i + 1) % 7 == 0, "<lcel>").otherwise("<fcel>"), w, F.when((i + 1) % 3 == 0, "<nl>").otherwise(""))
-    markup = F.array_join(F.transform(first, cell), "")
+    markup = F.array_join(F.transform(F.split("text", " ", -1), cell), "")
     return documents(spark, sf_dir).select("doc_id", T.from_otsl(markup).alias("rows"))
 
 
@@ -303,9 +302,9 @@ def data_urls(spark, sf_dir):
     return back.select("doc_id", F.sha2("url", 256).alias("url_sha256"), "b.media", F.octet_length("b.data").alias("n_bytes"), F.sha2("b.data", 256).alias("data_sha256"))
 
 
-@query(f"""SELECT doc_id, {COLLAPSE("regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(list_slice(string_split(text, ' '), 1, 40), lambda w, i: CASE WHEN i % 4 = 0 THEN w || '-' ELSE w END), lambda w: w <> ''), chr(1)), '-' || chr(1), '', 'g'), chr(1), ' ', 'g')")} AS joined
+@query(f"""SELECT doc_id, {COLLAPSE("regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN i % 4 = 0 THEN w || '-' ELSE w END), lambda w: w <> ''), chr(1)), '-' || chr(1), '', 'g'), chr(1), ' ', 'g')")} AS joined
 FROM documents WHERE NOT contains(text, chr(1))""")
 def joined_lines(spark, sf_dir):
-    """The first 40 words as lines, every fourth hyphenated."""
-    first = F.transform(F.slice(F.split("text", " ", -1), 1, 40), lambda w, i: F.when((i + 1) % 4 == 0, F.concat(w, F.lit("-"))).otherwise(w))
+    """The words as lines, every fourth hyphenated."""
+    first = F.transform(F.split("text", " ", -1), lambda w, i: F.when((i + 1) % 4 == 0, F.concat(w, F.lit("-"))).otherwise(w))
     return documents(spark, sf_dir).filter(~F.contains("text", F.lit("\x01"))).select("doc_id", T.join_lines(F.filter(first, lambda w: w != "")).alias("joined"))
