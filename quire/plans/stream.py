@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from quire.sources.tables import new_path
 from quire.streaming import ingest as S
 
 QUERIES = {}
@@ -14,8 +13,7 @@ ORACLES = {}
 
 def stream_ingest_counts(spark, sf_dir):
     """documents read as a stream of files; each batch's counts are written under its number and added up at the end."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    out = f"{folder.rstrip('/')}/quire-stream/{uuid.uuid4().hex}"
+    out = new_path(spark, "stream")
 
     def each(batch, number: int) -> None:
         S.counted(batch).write.mode("overwrite").parquet(f"{out}/counts/batch={number}")

@@ -1,19 +1,41 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share.
+
+They are kept while the driver runs, as results are read lazily. When it ends, a folder on a local file system is
+removed; in other stores the folder of an ended application may be removed at any time.
+"""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_removed_at_exit: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; /tmp/checkpoints where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints").rstrip("/")
+    """spark.checkpoint.dir; where that is unset, /tmp/checkpoints becomes the session's."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there:
+        there = "/tmp/checkpoints"
+        spark.sparkContext.setCheckpointDir(there)
+    return there.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in this application's folder that nothing else has."""
+    own = f"{shared_folder(spark)}/quire-{spark.sparkContext.applicationId}"
+    local = own.removeprefix("file://")
+    if local.startswith("/") and local not in _removed_at_exit:
+        _removed_at_exit.add(local)
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table that is written once and read by whatever follows; its lineage ends here."""
-    path = f"{shared_folder(df.sparkSession)}/quire-tables/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
