@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from quire.llm.common import forget, settle
 
 
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+#: Edges in a file of an iteration's table, at least; small tables are written by few tasks.
+EACH = 50_000
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def unfinished(edges: DataFrame) -> bool:
+    """Whether some node has two edges up, or one up and one down: stars with their least node as the centre have neither."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return bool(ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").take(1))
+
+
+def large_star(edges: DataFrame, files: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(files), "least")
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, files: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, is tied to the least of them."""
-    least = settle(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = settle(edges.groupBy("a").agg(F.min("b").alias("m")).coalesce(files), "least")
     tied = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -29,17 +35,15 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """a, root: for each node of edges (columns a and b, longs, a > b) that is not the least of its component, that least node.
 
-    Sizes and a hash of the edges are all that comes to the driver. Joins are between written tables, so
-    that adaptive execution may split a node with very many neighbours.
+    The number of edges is all that comes to the driver. Joins are between written tables, so that adaptive
+    execution may split a node with very many neighbours.
     """
     edges = settle(edges.filter("a <> b").distinct(), "edges")
-    before = _print(edges)
-    while before[0]:
-        after = settle(large_star(edges), "edges")
-        after = settle(small_star(after), "edges")
+    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while unfinished(edges):
+        files = min(partitions, 1 + 2 * edges.count() // EACH)
+        after = settle(large_star(edges, files).coalesce(files), "edges")
+        after = settle(small_star(after, files).coalesce(files), "edges")
         forget(edges)
-        edges, now = after, _print(after)
-        if now == before:
-            break
-        before = now
+        edges = after
     return edges.select("a", F.col("b").alias("root"))

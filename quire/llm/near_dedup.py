@@ -4,9 +4,11 @@
    are cut into BANDS bands. Documents of equal sets become one class, so exact copies cost nothing further.
 2. Classes that share a band's hash are tied to the least of that bucket; components of these ties
    (alternating large-star and small-star) are the families in which links can be.
-3. A family's texts meet once. Pairs of fitting size whose signatures agree in SIGNED of the minima are
-   compared on their full sets, unless links found already join them. A large family is dealt into blocks,
-   and each pair of blocks is compared by a task of its own: no pair is left out, and nothing unbounded meets.
+3. A family's texts meet. Pairs of fitting size whose signatures agree in SIGNED of the minima are compared
+   on their full sets, unless links found already join them. A large family is dealt into blocks, and a pair of
+   blocks is a group of its own, so nothing unbounded meets. At first each block meets itself and the family's
+   first block, which joins up copies of one text in work that grows as their number; pairs of blocks whose
+   members are not all joined by then meet in a second round, so that no pair is left out.
 4. Components of the links, again by alternating stars, are the near-duplicate groups.
 
 A pair of similarity LINK / 100 misses all bands with probability below 3e-8, and falls short in
@@ -42,7 +44,7 @@ LINK = 85
 #: The least share of equal minima for a pair to be compared on full sets: five deviations below LINK.
 SIGNED = 0.70
 #: Shingles in a block of a family.
-BLOCK = 1 << 19
+BLOCK = 1 << 15
 #: Shingles hashed at once: they stay in the processor's cache.
 CACHED = 1 << 14
 SEED = 20240229
@@ -102,27 +104,18 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.coalesce("text", F.lit("")).alias("text")).select("d", F.xxhash64("text").alias("u"), "text")
 
 
-class UnionFind:
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, x: int, y: int) -> None:
-        self.label[self.label == self.label[y]] = self.label[x]
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= LINK * (len(a) + len(b) - both)
 
 
-def links(sets: list[np.ndarray], blocks: np.ndarray, cross: bool) -> np.ndarray:
-    """A label for each set, equal where links found here join them. cross: only pairs of different blocks are compared."""
+def links(sets: list[np.ndarray], blocks: np.ndarray, known: np.ndarray, cross: bool) -> np.ndarray:
+    """A label for each set, equal where links join them: those known (equal numbers) and those found here. cross: only pairs of different blocks are compared."""
     size = np.array([len(s) for s in sets])
     signed = minima(sets).astype(np.uint32)
-    found = UnionFind(len(sets))
+    label = known.copy()
     places = np.arange(len(sets))
     for x in range(len(sets) - 1):
-        label = found.label
         fits = (places > x) & (label != label[x]) & (100 * np.minimum(size, size[x]) >= LINK * np.maximum(size, size[x]))
         if cross:
             fits &= blocks != blocks[x]
@@ -131,41 +124,71 @@ def links(sets: list[np.ndarray], blocks: np.ndarray, cross: bool) -> np.ndarray
             continue
         agree = (signed[near] == signed[x]).mean(axis=1)
         for y in near[agree >= SIGNED][np.argsort(-agree[agree >= SIGNED], kind="stable")]:
-            if found.label[y] != found.label[x] and linked(sets[x], sets[y]):
-                found.join(x, y)
-    return found.label
+            if label[y] != label[x] and linked(sets[x], sets[y]):
+                label[label == label[y]] = label[x]
+    return label
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by family and pair of blocks; holds one pair of blocks at a time."""
-    at, ids, blocks, sets = None, [], [], []
+    at, ids, blocks, known, sets = None, [], [], [], []
 
     def out() -> pa.RecordBatch:
         a, b = [], []
         if len(sets) > 1:
-            label, node = links(sets, np.array(blocks), at[1] != at[2]), np.array(ids)
+            before, node = np.array(known), np.array(ids)
+            label = links(sets, np.array(blocks), before, at[1] != at[2])
             for k in np.unique(label):
-                group = np.sort(node[label == k])
-                a += group[1:].tolist()
-                b += [int(group[0])] * (len(group) - 1)
+                if len(np.unique(before[label == k])) > 1:
+                    group = np.sort(node[label == k])
+                    a += group[1:].tolist()
+                    b += [int(group[0])] * (len(group) - 1)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True))
-        nodes, block = batch.column("id").to_pylist(), batch.column("block").to_pylist()
+        nodes, block, joined = (batch.column(c).to_pylist() for c in ("id", "block", "joined"))
         got = shingle_sets(*flat_bytes(batch.column("bytes")))
         for k, key in enumerate(keys):
             if key != at:
                 if at is not None:
                     yield out()
-                at, ids, blocks, sets = key, [], [], []
+                at, ids, blocks, known, sets = key, [], [], [], []
             ids.append(nodes[k])
             blocks.append(block[k])
+            known.append(joined[k])
             sets.append(got[k])
     if at is not None:
         yield out()
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """Links (a, b) among rows (family, i, j, block, id, joined, text) of each pair of blocks."""
+    key = ["family", "i", "j"]
+    rows = rows.select(*key, "block", "id", "joined", F.col("text").cast("binary").alias("bytes"))
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare, "a long, b long")
+
+
+def family_links(held: DataFrame) -> DataFrame:
+    """a, b: the links that join up the members of families. held: id, family, blocks, block and text."""
+    other = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
+    first = held.withColumn("other", F.explode(other)).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "joined": F.col("id")})
+    links_ = settle(_met(first), "links")
+    # what is left: pairs of later blocks whose members are not all in one component
+    large = held.filter("blocks > 2 and block > 0").select("id", "family", "block")
+    if not large.take(1):
+        return links_
+    joined = components(links_).select(F.col("a").alias("id"), F.col("root").alias("joined"))
+    now = settle(large.join(joined, "id", "left").withColumn("joined", F.coalesce("joined", "id")), "joined")
+    span = settle(now.groupBy("family", "block").agg(F.min("joined").alias("lo"), F.max("joined").alias("hi")), "spans")
+    i, j = (span.select("family", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "lo", "hi")]) for k in "ij")
+    apart = (F.col("lo_i") != F.col("hi_i")) | (F.col("lo_j") != F.col("hi_j")) | (F.col("lo_i") != F.col("lo_j"))
+    left = i.join(j, "family").filter((F.col("block_i") < F.col("block_j")) & apart).select("family", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+    sides = settle(left.withColumn("block", F.explode(F.array("i", "j"))), "sides")
+    second = now.join(sides, ["family", "block"]).join(held.select("id", "text"), "id")
+    return links_.unionByName(_met(second))
+
+
 def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each document: d, u, n (size of its set), root_d, root_u (the least document of its component)."""
     tune(docs.sparkSession)
@@ -189,11 +212,8 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     places = settle(classes.select("id", "d", "u", "n").join(family, "id"), "places")
     sizes = settle(places.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks")), "sizes")
     dealt = places.join(sizes, "family").select("id", "d", "u", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    met = texts.join(dealt, ["d", "u"]).dropDuplicates(["id"]).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    met = met.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", F.col("text").cast("binary").alias("bytes"))
-    key = ["family", "i", "j"]
-    edges = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare, "a long, b long")
-    joined = components(edges)
+    held = settle(texts.join(dealt, ["d", "u"]).dropDuplicates(["id"]).drop("d", "u"), "held")
+    joined = components(family_links(held))
 
     # back to documents
     names = classes.select(F.col("id").alias("root"), F.col("d").alias("root_d"), F.col("u").alias("root_u"))
