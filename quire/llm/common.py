@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.sources.tables import new_path, shared_folder, written
+
+__all__ = ["new_path", "settle", "shared_folder"]
+
 #: A word is a run of anything but these ASCII blanks (fixed by the contracts of ops 3 and 5).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch; texts may be long, so it is far below Spark's default.
 BATCH_ROWS = 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); /tmp/checkpoints where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
-        there = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(there)
-    return there.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/quire/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here, and any executor can read it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: df written to the shared folder and read again: lineage ends there, and any executor can read it.
+settle = written
 
 
 def open_shared(path: str, how: str):
