@@ -14,6 +14,8 @@ __all__ = ["new_path", "settle", "shared_folder"]
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch; texts may be long, so it is far below Spark's default.
 BATCH_ROWS = 1000
+#: Bytes in one Arrow batch, but for a single longer row.
+BATCH_BYTES = 16 << 20
 
 
 #: df written to the shared folder and read again: lineage ends there, and any executor can read it.
@@ -41,10 +43,12 @@ def forget(df: DataFrame) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for this session, if the bound is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the rows and bytes of an Arrow batch for this session, where the bounds are larger."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
