@@ -40,7 +40,7 @@ FOLDED_LINES = f"WITH {TS.SQL}{LY.LINES} SELECT doc_id, page, y_base, text, size
 def folded_lines(spark, sf_dir):
     """Lines by the fold that goes for drifting baselines too; on typeset pages they are what grouping by baseline gives."""
     spans = LY.spans_of(spark, sf_dir)
-    grouped = spans.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "str", "size", "font", "x0", "x1", "y_base", "y_top", "y_bot"))).alias("spans"))
+    grouped = pages.with_spans(spans)
 
     def run(frames):
         import pandas as pd
@@ -48,8 +48,7 @@ def folded_lines(spark, sf_dir):
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                spans = [pages.Span(**{k: v for k, v in s.items() if k != "seq"}) for s in r.spans]
-                out += [(r.doc_id, r.page, x.parts[0].y_base, x.text, x.size, x.font, x.x0, x.x1) for x in pages.lines_of(spans, 0.62)]
+                out += [(r.doc_id, r.page, x.parts[0].y_base, x.text, x.size, x.font, x.x0, x.x1) for x in pages.lines_of(pages.spans_of(r), 0.62)]
             yield pd.DataFrame(out, columns=["doc_id", "page", "y_base", "text", "size", "font", "x0", "x1"])
 
     return grouped.mapInPandas(run, "doc_id long, page int, y_base double, text string, size double, font string, x0 double, x1 double")
@@ -72,7 +71,8 @@ def classified(spark, sf_dir) -> DataFrame:
 
 def block_kinds(spark, sf_dir):
     """The flagship: documents set as pages, folded into blocks, classified, continued across pages, tidied and counted by kind."""
-    found = BK.renumbered(BK.bylines(BK.references(pages.continued(classified(spark, sf_dir)))))
+    raw = written(classified(spark, sf_dir), "blocks")  # read twice by what follows
+    found = BK.renumbered(BK.bylines(BK.references(pages.continued(raw))))
     translated = F.when(F.col("kind").isin(*X.TRANSLATED_KINDS), F.length("text")).otherwise(0)
     return found.groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"), F.sum(translated).alias("translated_chars"), F.max("page").alias("last_page"))
 
