@@ -23,7 +23,7 @@ LATIN = re.compile(
     r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+|" + SUFFIX + "|"
     r" ?[^\t-\r \x85\xa0A-Za-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
 )
-#: Distinct pre-tokens that a worker remembers, before it forgets them all.
+#: Distinct pre-tokens that a worker remembers, before it forgets those that it has met once, and all but the half most met.
 MEMO = 200_000
 
 
@@ -64,9 +64,20 @@ class Memo:
     def clear(self) -> None:
         self.places = _Places()
         self.flat, self.start, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.met = np.zeros(1 << 16, np.int64)
         self.used = 0
         self.add([*self.special], np.array([*self.special.values()], "<u4"), np.ones(len(self.special), np.int64))
 
+    def shrink(self) -> None:
+        words, met = list(self.places), self.met[: len(self.places)]
+        kept = np.flatnonzero(met > 1)
+        kept = np.sort(kept[np.argsort(-met[kept], kind="stable")[: MEMO // 2]])
+        kept = kept[kept >= len(self.special)]  # these come first, and are always there
+        size = self.size[kept]
+        ids = self.flat[np.arange(size.sum()) + np.repeat(self.start[kept] - (np.cumsum(size) - size), size)]
+        self.clear()
+        self.add([words[k] for k in kept], ids, size)
+
     def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         for w in words:
             self.places[w]
@@ -91,12 +102,14 @@ class Memo:
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and the number of each one's ids; end stands after each text."""
         if len(self.places) > MEMO:
-            self.clear()
+            self.shrink()
         place = self.places.__getitem__
         words = [np.fromiter(map(place, w), np.int64, len(w)) for w in map(self.pieces, texts)]
         if self.places.new:
             self.add(new := self.places.new, *self.encode_new(new))
         flat = np.concatenate([np.zeros(0, np.int64), *words])
+        self.met = _room(self.met, len(self.places))
+        self.met[: len(self.places)] += np.bincount(flat, minlength=len(self.places))
         size = self.size[flat]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(len(flat) and ends[-1]) + np.repeat(self.start[flat] - (ends - size), size)]

@@ -155,3 +155,16 @@ def test_conversations(spark):
         assert got[None]["n_turns"] == 1 and got[3]["loss_sha256"] == hashlib.sha256(("long " * 5000).encode()).hexdigest()
     own = {r["conv_id"]: r for r in chat.digest(df.limit(0)).collect()}
     assert set(own) == {-7} and own[-7]["loss_sha256"] == hashlib.sha256(rb"\### Assistant: </turn> ok").hexdigest()
+
+
+def test_a_full_memory_keeps_what_is_met_often(codec, library, monkeypatch):
+    from quire.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "MEMO", 50)
+    own = bpe.Codec(codec.v)
+    for k in range(8):
+        texts = [f"the same words {k} and <|endoftext|> new{i + 100 * k}" for i in range(30)]
+        assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    own.memo.shrink()
+    assert " the" in own.memo.places or "the" in own.memo.places
+    assert len(own.memo.places) <= 50 // 2 + 1
