@@ -236,10 +236,10 @@ s AS (SELECT doc_id, 0 AS k, 'text' AS kind, CASE WHEN f IS NULL THEN t ELSE hea
  UNION ALL SELECT doc_id, 1, 'formula', f FROM f WHERE f IS NOT NULL UNION ALL SELECT doc_id, 2, 'text', ' end' FROM f WHERE f IS NOT NULL)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS k, kind, source FROM s WHERE source <> ''""")
 def formula_segments(spark, sf_dir):
+    """Every document's whole text with a formula after it. The SQL has first lines without marks only."""
     k = F.col("doc_id") % 5
     formula = F.when(k == 0, F.concat(F.lit("\\(x_{"), F.col("doc_id").cast("string"), F.lit("}\\)"))).when(k == 1, "$y$").when(k == 2, "\\[z\\]").when(k == 3, "$$w$$").otherwise("$ open")
-    rows = documents(spark, sf_dir).withColumn("head", F.split("text", "\n", -1)[0]).filter(~F.contains("head", F.lit("$")) & ~F.contains("head", F.lit("\\")))
-    rows = rows.select("doc_id", F.posexplode(T.formula_segments(F.concat("head", formula, F.lit(" end")))).alias("k", "s"))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(T.formula_segments(F.concat("text", formula, F.lit(" end")))).alias("k", "s"))
     return rows.select("doc_id", "k", "s.kind", "s.source")
 
 

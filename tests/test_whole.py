@@ -1,5 +1,8 @@
 """Queries do the whole job: whole elements, whole texts, every row."""
 
+import re
+
+from quire.plans import text as P
 from quire.sources import html
 
 # --- pages ---
@@ -15,3 +18,31 @@ def test_elements_have_their_whole_text(spark):
         (1, "td", "c1"), (1, "td", "2"), (1, "p", "in cell"), (1, "img", "own text"), (1, "figcaption", "F g"), (4, "p", "cut"),
     ]
     assert [r.seq for r in rows] == [*range(12), 0] and (rows[3].kind, rows[3].level, rows[6].kind) == ("heading", 1, "graphic")
+
+
+# --- texts ---
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, tmp_path, texts):
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def brute_segments(text):
+    """The pieces of a text one after another, by looking for the first formula from each place."""
+    out, at = [], 0
+    for m in re.finditer(r"\\\[([^\0]*?)\\\]|\$\$([^\0]*?)\$\$|\\\(([^\0]*?)\\\)|\$([^$\n]{1,200}?)\$", text):
+        inner = next(g for g in m.groups() if g is not None)
+        out += [("text", text[at : m.start()]), ("formula" if inner.strip() else "text", m[0])]
+        at = m.end()
+    return [s for s in [*out, ("text", text[at:])] if s[1]]
+
+
+def test_formula_segments_of_whole_texts(spark, tmp_path):
+    texts = ["one line", "first $a$ line\nsecond \\(b\\) and $$c\nd$$", "costs $5\nand \\[e\nf\\] \\ g", "", "\\( \\)\n$$ $$ $h$", "x\ny\n$i", "$j\nk$ l$"]
+    planted = lambda i: (f"\\(x_{{{i}}}\\)", "$y$", "\\[z\\]", "$$w$$", "$ open")[i % 5] + " end"
+    found = P.formula_segments(spark, documents(spark, tmp_path, texts)).orderBy("doc_id", "k").collect()
+    assert [tuple(r) for r in found] == [(i, k, *s) for i, t in enumerate(texts) for k, s in enumerate(brute_segments(t + planted(i)))]
+    assert sum(r.kind == "formula" for r in found) > 10
