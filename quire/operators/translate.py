@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -53,24 +54,29 @@ def packed(blocks: DataFrame, by: list[str], order: str, limit: int, size: Colum
 
     The fold streams over each group's lengths in order and holds two numbers; texts stay where they are and are joined by key.
     """
-    rows = blocks.select(*by, order, (F.length("text") if size is None else size).cast("long").alias("_size"))
+    keys = [*by, order]
+    length = F.coalesce(F.length("text") if size is None else size, F.lit(0)).cast("long")
+    rows = blocks.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keys)], length.alias("_size"))
     schema = StructType([*rows.drop("_size").schema.fields, StructField("batch", IntegerType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, batch, used = None, 0, 0
         for frame in frames:
             batches = []
-            for row in frame.itertuples(index=False):
-                if row[:-2] != group:
-                    group, batch, used = row[:-2], 0, 0
-                elif used and used + row[-1] > limit:
+            of = zip(*[frame.column(i).to_pylist() for i in range(len(by))], strict=True) if by else [()] * frame.num_rows
+            for key, n in zip(of, frame.column(len(keys)).to_pylist(), strict=True):
+                if key != group:
+                    group, batch, used = key, 0, 0
+                elif used and used + n > limit:
                     batch, used = batch + 1, 0
-                used += row[-1]
+                used += n
                 batches.append(batch)
-            yield frame.drop(columns="_size").assign(batch=batches)
+            yield pa.RecordBatch.from_arrays([*frame.columns[:-1], pa.array(batches, pa.int32())], names=[*frame.schema.names[:-1], "batch"])
 
-    ordered = rows.repartition(*by).sortWithinPartitions(*by, order)
-    return blocks.join(ordered.mapInPandas(run, schema), [*by, order])
+    place = [f"_{i}" for i in range(len(by))]
+    found = rows.repartition(*place).sortWithinPartitions(*place, f"_{len(by)}").mapInArrow(run, schema)
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keys)]
+    return blocks.join(found, same).select(*keys, *[c for c in blocks.columns if c not in keys], "batch")
 
 
 def glossary_hits(batches: DataFrame, keys: list[str], texts: Column, most: int = 40) -> DataFrame:
@@ -139,23 +145,26 @@ def translated_batches(batches: DataFrame, client: Client, settings: Settings) -
                     out += [(i, "", str(e)[:120]) for i in ids]
             yield pd.DataFrame(out, columns=["id", "zh", "err"])
 
-    return batches.repartition(settings.concurrency, "batch_id").mapInPandas(run, "id long, zh string, err string")
+    ids = batches.schema["items"].dataType.elementType["id"].dataType.simpleString()
+    return batches.repartition(settings.concurrency, "batch_id").mapInPandas(run, f"id {ids}, zh string, err string")
 
 
 def translate(blocks: DataFrame, cache: DataFrame, client: Client, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """blocks (doc_id, block_id, kind, text, zh) with zh and err filled in, and the new cache rows (k, zh).
 
-    Ids of blocks are dense in a document; a block's id across documents is made of both.
+    A block's id across documents is the pair of both.
     """
     known = looked_up(blocks, cache, settings.model, settings.language)
     todo = pending(known)
     batch = packed(todo.select("doc_id", "block_id", "text"), ["doc_id"], "block_id", settings.batch_chars)
-    whole = F.array_sort(F.collect_list(F.struct((F.col("doc_id") * 1_000_000 + F.col("block_id")).alias("id"), "text")))
+    whole = F.array_sort(F.collect_list(F.struct(F.struct("doc_id", "block_id").alias("id"), "text")))
     rows = batch.groupBy("doc_id", "batch").agg(whole.alias("items"))
     rows = rows.withColumn("batch_id", F.xxhash64("doc_id", "batch"))
     terms = glossary_hits(rows, ["batch_id"], F.array_join(F.transform("items", lambda i: i["text"]), " "))
     done = translated_batches(rows.join(terms, "batch_id").select("batch_id", "items", "terms"), client, settings).withColumnRenamed("zh", "_zh")
-    out = known.withColumn("id", F.col("doc_id") * 1_000_000 + F.col("block_id")).join(done, "id", "left").withColumn("zh", F.coalesce(F.when(F.col("zh") != "", F.col("zh")), "_zh", "zh")).drop("id", "_zh")
+    done = done.select(F.col("id.doc_id").alias("_doc"), F.col("id.block_id").alias("_block"), "_zh", "err")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("block_id").eqNullSafe(F.col("_block"))
+    out = known.join(done, same, "left").withColumn("zh", F.coalesce(F.when(F.col("zh") != "", F.col("zh")), "_zh", "zh")).drop("_doc", "_block", "_zh")
     fresh = out.filter(F.col("err").isNull() & (F.coalesce("zh", F.lit("")) != "")).select("k", "zh").join(cache.select("k"), "k", "left_anti").dropDuplicates(["k"])
     return out, fresh
 

@@ -2,6 +2,7 @@
 
 import re
 
+from quire.operators import translate as TR
 from quire.plans import text as P
 from quire.sources import html
 
@@ -46,3 +47,20 @@ def test_formula_segments_of_whole_texts(spark, tmp_path):
     found = P.formula_segments(spark, documents(spark, tmp_path, texts)).orderBy("doc_id", "k").collect()
     assert [tuple(r) for r in found] == [(i, k, *s) for i, t in enumerate(texts) for k, s in enumerate(brute_segments(t + planted(i)))]
     assert sum(r.kind == "formula" for r in found) > 10
+
+
+# --- translation ---
+
+
+def test_packed_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1, "aaaa"), (None, 2, "bbbb"), (None, 3, "cc"), (7, 1, "aaaa"), (7, None, None)], "source long, doc_id long, text string")
+    found = TR.packed(rows, ["source"], "doc_id", 6)
+    assert found.columns == ["source", "doc_id", "text", "batch"]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [(None, 1, "aaaa", 0), (None, 2, "bbbb", 1), (None, 3, "cc", 1), (7, 1, "aaaa", 0), (7, None, None, 0)]))
+
+
+def test_translated_keeps_long_documents_apart(spark):
+    rows = [(1, 1_000_000, "para", "see", None), (2, 0, "para", "tree", None), (None, 0, "para", "me", None)]
+    blocks = spark.createDataFrame(rows, "doc_id long, block_id long, kind string, text string, zh string")
+    out, _ = TR.translate(blocks, spark.createDataFrame([], "k string, zh string"), TR.offline_client, TR.Settings(pause=0.0))
+    assert sorted((r.text, r.zh, r.err) for r in out.collect()) == [("me", "mE", None), ("see", "sEE", None), ("tree", "trEE", None)]
