@@ -204,9 +204,13 @@ def cache_key(model: Column, text: Column | str, language: Column | None = None)
 
 def join_lines(lines: Column, dashes: str = "-") -> Column:
     """Lines as one text: a dash at a line's end joins the next line to it, otherwise a space does."""
-    mark = "\x01"  # between lines; goes with the dash before it, or becomes a space
-    dash = "[" + "".join("\\" + d for d in dashes) + "]"
-    return collapse(F.regexp_replace(F.regexp_replace(F.array_join(lines, mark), dash + mark, ""), mark, " "))
+    dash = "[" + "".join("\\" + d for d in dashes) + r"]\z"
+
+    def joined(a: Column) -> Column:
+        before_next = lambda x: F.when(x.rlike(dash), F.regexp_replace(x, dash, "")).otherwise(F.concat(x, F.lit(" ")))
+        return F.array_join(F.transform(a, lambda x, i: F.when(i < F.size(a) - 1, before_next(x)).otherwise(x)), "")
+
+    return collapse(bound(F.filter(lines, lambda x: x.isNotNull()), joined))
 
 
 def level_by_size(size: Column | str) -> Column:

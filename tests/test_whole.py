@@ -49,6 +49,11 @@ def test_formula_segments_of_whole_texts(spark, tmp_path):
     assert sum(r.kind == "formula" for r in found) > 10
 
 
+def test_joined_lines_of_every_document(spark, tmp_path):
+    found = P.joined_lines(spark, documents(spark, tmp_path, ["a b c d e", "a\x01 b-\x01c - d e", "", "a b c d"])).orderBy("doc_id").collect()
+    assert [r.joined for r in found] == ["a b c de", "a\x01 b-\x01c de", "", "a b c d-"]
+
+
 # --- translation ---
 
 
