@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch; texts may be long, so it is far below Spark's default.
 BATCH_ROWS = 1000
 #: Bytes in one Arrow batch, but for a single longer row.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 #: df written to the shared folder and read again: lineage ends there, and any executor can read it.

@@ -11,16 +11,19 @@
    members are not all joined by then meet in a second round, so that no pair is left out.
 4. Components of the links, again by alternating stars, are the near-duplicate groups.
 
-A pair of similarity LINK / 100 misses all bands with probability below 3e-8, and falls short in
-signature with one below 1e-6; more similar pairs with less.
+Links have at least `link` hundredths of the union in common: LINK by the query's contract, NEAR by the general rule. A pair
+that just does misses all bands with a probability below 3e-8 (LINK) or 7e-6 (NEAR), and falls short in signature with one
+below 1e-6; more similar pairs with less.
 
 Defined results
 ---------------
-* A document is a pair (doc_id, text): rows repeating both are one document and give one row.
+* Every row gives a row; rows repeating doc_id and text give equal ones, and kept_rows() keeps one of them.
 * A text without words, or null, has an empty set and links with nothing.
 * Documents are ordered by doc_id, null last, then by a hash of the text; a component's id is its least
   document's, and that document is kept.
-* Sets are compared by 64-bit hashes of their shingles. An empty table gives an empty result.
+* Sets are those of 64-bit hashes of their shingles. A link must hold under two independent families of hashes, so that a
+  chance collision in one makes none. Texts are hashed in slices and long sets in pieces, so a text's length is bounded by
+  its own size in memory (some 8 bytes for each of its bytes). An empty table gives an empty result.
 * Only doc_id and text are read; others may have any name.
 """
 
@@ -35,14 +38,12 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import flat_bytes, numbered, settle, tune
 from quire.llm.components import components
-from quire.llm.shingles import mix, shingle_sets
+from quire.llm.shingles import SECOND, mix, shingle_sets
 
 BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
-#: Links have at least this many hundredths of the union in common.
-LINK = 85
-#: The least share of equal minima for a pair to be compared on full sets: five deviations below LINK.
-SIGNED = 0.70
+#: Links have at least this many hundredths of the union in common: by the query's contract, and by the general rule for other uses.
+LINK, NEAR = 85, 80
 #: Shingles in a block of a family.
 BLOCK = 1 << 15
 #: Shingles hashed at once: they stay in the processor's cache.
@@ -55,23 +56,31 @@ _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MIXED = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def signed_share(link: int) -> float:
+    """The least share of equal minima for a pair to be compared on full sets: five deviations below its likely share."""
+    return link / 100 - 5 * (link / 100 * (1 - link / 100) / HASHES) ** 0.5
+
+
 def minima(sets: list[np.ndarray]) -> np.ndarray:
     """The signature of each set (none empty): the minima of (a x + b) mod 2**64, upper half, x a shingle's upper half."""
-    out = np.empty((len(sets), HASHES), np.uint64)
+    pieces = [s[k : k + CACHED] for s in sets for k in range(0, len(s), CACHED)]
+    out = np.empty((len(pieces), HASHES), np.uint64)
     i = 0
-    while i < len(sets):
+    while i < len(pieces):
         j, size = i, 0
-        while j < len(sets) and (j == i or size + len(sets[j]) <= CACHED):
-            size += len(sets[j])
+        while j < len(pieces) and (j == i or size + len(pieces[j]) <= CACHED):
+            size += len(pieces[j])
             j += 1
-        x = np.concatenate(sets[i:j]) >> np.uint64(32)
-        starts = np.cumsum([0, *map(len, sets[i : j - 1])])
+        x = np.concatenate(pieces[i:j]) >> np.uint64(32)
+        starts = np.cumsum([0, *map(len, pieces[i : j - 1])])
         y = np.empty_like(x)
         for k in range(HASHES):
             np.multiply(x, _A[k], out=y)
             np.add(y, _B[k], out=y)
             out[i:j, k] = np.minimum.reduceat(y, starts)
         i = j
+    if len(pieces) > len(sets):  # long sets are in pieces
+        out = np.minimum.reduceat(out, np.cumsum([0, *(-(-len(s) // CACHED) for s in sets[:-1])]), axis=0)
     return out >> np.uint64(32)
 
 
@@ -104,76 +113,86 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.coalesce("text", F.lit("")).alias("text")).select("d", F.xxhash64("text").alias("u"), "text")
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def alike(a: np.ndarray, b: np.ndarray, link: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= LINK * (len(a) + len(b) - both)
+    return 100 * both >= link * (len(a) + len(b) - both)
 
 
-def links(sets: list[np.ndarray], blocks: np.ndarray, known: np.ndarray, cross: bool) -> np.ndarray:
-    """A label for each set, equal where links join them: those known (equal numbers) and those found here. cross: only pairs of different blocks are compared."""
+def links(sets: list[np.ndarray], again: list[np.ndarray], blocks: np.ndarray, known: np.ndarray, cross: bool, link: int) -> np.ndarray:
+    """A label for each set, equal where links join them: those known (equal numbers) and those found here.
+
+    again: the sets by the second family of hashes. cross: only pairs of different blocks are compared.
+    """
     size = np.array([len(s) for s in sets])
     signed = minima(sets).astype(np.uint32)
+    least = signed_share(link)
     label = known.copy()
     places = np.arange(len(sets))
     for x in range(len(sets) - 1):
-        fits = (places > x) & (label != label[x]) & (100 * np.minimum(size, size[x]) >= LINK * np.maximum(size, size[x]))
+        fits = (places > x) & (label != label[x]) & (100 * np.minimum(size, size[x]) >= link * np.maximum(size, size[x]))
         if cross:
             fits &= blocks != blocks[x]
         near = np.flatnonzero(fits)
         if not len(near):
             continue
         agree = (signed[near] == signed[x]).mean(axis=1)
-        for y in near[agree >= SIGNED][np.argsort(-agree[agree >= SIGNED], kind="stable")]:
-            if label[y] != label[x] and linked(sets[x], sets[y]):
+        for y in near[agree >= least][np.argsort(-agree[agree >= least], kind="stable")]:
+            if label[y] != label[x] and alike(sets[x], sets[y], link) and alike(again[x], again[y], link):
                 label[label == label[y]] = label[x]
     return label
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(link: int):
     """Rows arrive sorted by family and pair of blocks; holds one pair of blocks at a time."""
-    at, ids, blocks, known, sets = None, [], [], [], []
-
-    def out() -> pa.RecordBatch:
-        a, b = [], []
-        if len(sets) > 1:
-            before, node = np.array(known), np.array(ids)
-            label = links(sets, np.array(blocks), before, at[1] != at[2])
-            for k in np.unique(label):
-                if len(np.unique(before[label == k])) > 1:
-                    group = np.sort(node[label == k])
-                    a += group[1:].tolist()
-                    b += [int(group[0])] * (len(group) - 1)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True))
-        nodes, block, joined = (batch.column(c).to_pylist() for c in ("id", "block", "joined"))
-        got = shingle_sets(*flat_bytes(batch.column("bytes")))
-        for k, key in enumerate(keys):
-            if key != at:
-                if at is not None:
-                    yield out()
-                at, ids, blocks, known, sets = key, [], [], [], []
-            ids.append(nodes[k])
-            blocks.append(block[k])
-            known.append(joined[k])
-            sets.append(got[k])
-    if at is not None:
-        yield out()
-
-
-def _met(rows: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, blocks, known, sets, again = None, [], [], [], [], []
+
+        def out() -> pa.RecordBatch:
+            a, b = [], []
+            if len(sets) > 1:
+                before, node = np.array(known), np.array(ids)
+                label = links(sets, again, np.array(blocks), before, at[1] != at[2], link)
+                for k in np.unique(label):
+                    if len(np.unique(before[label == k])) > 1:
+                        group = np.sort(node[label == k])
+                        a += group[1:].tolist()
+                        b += [int(group[0])] * (len(group) - 1)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True))
+            nodes, block, joined = (batch.column(c).to_pylist() for c in ("id", "block", "joined"))
+            data, offsets = flat_bytes(batch.column("bytes"))
+            got, got_again = shingle_sets(data, offsets), shingle_sets(data, offsets, SECOND)
+            for k, key in enumerate(keys):
+                if key != at:
+                    if at is not None:
+                        yield out()
+                    at, ids, blocks, known, sets, again = key, [], [], [], [], []
+                ids.append(nodes[k])
+                blocks.append(block[k])
+                known.append(joined[k])
+                sets.append(got[k])
+                again.append(got_again[k])
+        if at is not None:
+            yield out()
+
+    return run
+
+
+def _met(rows: DataFrame, link: int) -> DataFrame:
     """Links (a, b) among rows (family, i, j, block, id, joined, text) of each pair of blocks."""
     key = ["family", "i", "j"]
     rows = rows.select(*key, "block", "id", "joined", F.col("text").cast("binary").alias("bytes"))
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare, "a long, b long")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(link), "a long, b long")
 
 
-def family_links(held: DataFrame) -> DataFrame:
+def family_links(held: DataFrame, link: int) -> DataFrame:
     """a, b: the links that join up the members of families. held: id, family, blocks, block and text."""
     other = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
     first = held.withColumn("other", F.explode(other)).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "joined": F.col("id")})
-    links_ = settle(_met(first), "links")
+    links_ = settle(_met(first, link), "links")
     # what is left: pairs of later blocks whose members are not all in one component
     large = held.filter("blocks > 2 and block > 0").select("id", "family", "block")
     if not large.take(1):
@@ -186,16 +205,15 @@ def family_links(held: DataFrame) -> DataFrame:
     left = i.join(j, "family").filter((F.col("block_i") < F.col("block_j")) & apart).select("family", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
     sides = settle(left.withColumn("block", F.explode(F.array("i", "j"))), "sides")
     second = now.join(sides, ["family", "block"]).join(held.select("id", "text"), "id")
-    return links_.unionByName(_met(second))
+    return links_.unionByName(_met(second, link))
 
 
-def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A row for each document: d, u, n (size of its set), root_d, root_u (the least document of its component)."""
+def groups(docs: DataFrame, block: int = BLOCK, link: int = LINK) -> DataFrame:
+    """A row for each row of docs: d, u, n (size of its set), root_d, root_u (the least document of its component)."""
     tune(docs.sparkSession)
     texts = identified(docs)
     told = texts.select("d", "u", F.col("text").cast("binary").alias("bytes")).mapInArrow(_describe, "d long, u long, n long, s1 long, s2 long, bands array<long>")
     told = settle(told, "sets")
-    members = told.select("d", "u", *SET).distinct()
 
     # classes of equal sets, numbered in the order of their least documents
     least = told.filter("n > 0").groupBy(*SET).agg(F.min(F.struct("d", "u")).alias("least"), F.first("bands").alias("bands"))
@@ -213,26 +231,25 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = settle(places.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks")), "sizes")
     dealt = places.join(sizes, "family").select("id", "d", "u", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     held = settle(texts.join(dealt, ["d", "u"]).dropDuplicates(["id"]).drop("d", "u"), "held")
-    joined = components(family_links(held))
+    joined = components(family_links(held, link))
 
     # back to documents
     names = classes.select(F.col("id").alias("root"), F.col("d").alias("root_d"), F.col("u").alias("root_u"))
     roots = settle(joined.join(names, "root").select(F.col("a").alias("id"), "root_d", "root_u"), "roots")
     of_class = classes.select("id", *SET, "d", "u").join(roots, "id", "left").select(*SET, F.coalesce("root_d", "d").alias("root_d"), F.coalesce("root_u", "u").alias("root_u"))
     of_class = settle(of_class, "of_class")
-    return members.join(of_class, SET, "left").select("d", "u", "n", F.coalesce("root_d", "d").alias("root_d"), F.coalesce("root_u", "u").alias("root_u"))
+    return told.select("d", "u", *SET).join(of_class, SET, "left").select("d", "u", "n", F.coalesce("root_d", "d").alias("root_d"), F.coalesce("root_u", "u").alias("root_u"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, link: int = LINK) -> DataFrame:
     """The contract's columns: doc_id, n_shingles, component_id, kept."""
     back = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    kept = (F.col("d") == F.col("root_d")) & (F.col("u") == F.col("root_u"))
-    return groups(docs).select(back("d").alias("doc_id"), F.col("n").alias("n_shingles"), back("root_d").alias("component_id"), kept.alias("kept"))
+    return groups(docs, link=link).select(back("d").alias("doc_id"), F.col("n").alias("n_shingles"), back("root_d").alias("component_id"), (F.col("d") == F.col("root_d")).alias("kept"))
 
 
-def kept_rows(docs: DataFrame) -> DataFrame:
+def kept_rows(docs: DataFrame, link: int = LINK) -> DataFrame:
     """The rows of docs that stay, with docs' columns: of each group the least document, once."""
-    keep = settle(groups(docs).filter((F.col("d") == F.col("root_d")) & (F.col("u") == F.col("root_u"))).select("d", "u"), "kept")
+    keep = settle(groups(docs, link=link).filter((F.col("d") == F.col("root_d")) & (F.col("u") == F.col("root_u"))).select("d", "u").distinct(), "kept")
     d, u = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce("text", F.lit("")))
     whole = docs.select(d.alias("d"), u.alias("u"), F.struct(*docs.columns).alias("row"))
     return whole.join(keep, ["d", "u"]).dropDuplicates(["d", "u"]).select("row.*")

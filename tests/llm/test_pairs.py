@@ -56,7 +56,7 @@ def test_near_groups_are_those_of_all_pairs(spark):
 
 def test_near_digest_and_kept_rows(spark, odd, none):
     rows = near_dedup.digest(odd).collect()
-    assert len(rows) == 15  # the repeated row is one document
+    assert len(rows) == 16  # a row for each row, repeated ones included
     by = {(r["doc_id"], r["n_shingles"]): r for r in rows}
     assert by[1, 12]["kept"] and by[1, 12]["component_id"] == 1 and not by[3, 12]["kept"] and by[None, 12]["component_id"] == 1
     assert by[4, 0]["kept"] and by[5, 0]["kept"] and by[None, 0]["component_id"] is None
@@ -144,3 +144,53 @@ def test_collided_fingerprints_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "fingerprints", lambda d, huge: real(d, huge).withColumns({"fp1": F.lit(1).cast("long"), "fp2": F.lit(1).cast("long")}))
     rows = exact_dedup.duplicates(docs).collect()
     assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows} == {i: (27 + i % 3, 10) for i in range(30)}
+
+
+def test_sets_of_one_very_long_text_and_of_many():
+    """64 MB in one text, and a batch of many texts, are hashed in slices; the memory beside the hashes stays small."""
+    import tracemalloc
+
+    line = " ".join(f"w{i}" for i in range(200)) + "\n"
+    long = (line * ((64 << 20) // len(line) + 1)).encode()
+    tracemalloc.start()
+    (got,) = shingles.shingle_sets(np.frombuffer(long, np.uint8), np.array([0, len(long)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 200 and peak < 10 * len(long)  # a sixth of the bytes are words' beginnings: 8 bytes each, a few times
+    many = [f"{i} ".encode() + line.encode() * 4 for i in range(1000)]
+    data, offsets = np.frombuffer(b"".join(many), np.uint8), np.concatenate([[0], np.cumsum([len(m) for m in many])])
+    tracemalloc.start()
+    sets = shingles.shingle_sets(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(s) for s in sets] == [201] * 1000 and peak < 10 * len(data)
+    assert near_dedup.minima([got, sets[0]]).shape == (2, near_dedup.HASHES)
+
+
+@pytest.mark.parametrize("size", [3, 50])
+def test_words_are_hashed_alike_in_any_slices(monkeypatch, size):
+    texts = [b"one two Three", b"", b"four", b" a-very-long-word-that-goes-over-slices " * 9, b"four", b"x" * 120]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want, n = shingles.word_hashes(data, offsets)
+    monkeypatch.setattr(shingles, "SLICE", size)
+    got, m = shingles.word_hashes(data, offsets)
+    assert got.tolist() == want.tolist() and n.tolist() == m.tolist() == [3, 0, 1, 9, 1, 1]
+
+
+def test_long_sets_have_the_signature_of_their_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (5, 3000, 1, 700, 40)]
+    want = near_dedup.minima(sets)
+    monkeypatch.setattr(near_dedup, "CACHED", 64)
+    assert (near_dedup.minima(sets) == want).all()
+
+
+def test_the_least_similarity_of_links_is_a_parameter(spark):
+    a = [f"a{i}" for i in range(104)]
+    b = [*a[:92], *(f"b{i}" for i in range(12))]  # 88 of 112 shingles: 0.786; one word more in common makes 0.805
+    c = [*a[:93], *(f"c{i}" for i in range(11))]
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "doc_id long, text string")
+    roots = lambda link: {r["doc_id"]: r["component_id"] for r in near_dedup.digest(docs, link).collect()}
+    x, y, z = (shingle_set(" ".join(t)) for t in (a, b, c))
+    assert 0.80 <= len(x & z) / len(x | z) < 0.85 and len(x & y) / len(x | y) < 0.80
+    assert roots(near_dedup.LINK) == {1: 1, 2: 2, 3: 3} and roots(near_dedup.NEAR) == {1: 1, 2: 2, 3: 1}

@@ -140,6 +140,90 @@ def test_quality_of_odd_rows(spark, odd, odd_labels, none):
     assert quality.digest(none, odd_labels).count() == 0 and {r["score"] for r in quality.digest(odd, odd_labels.limit(0)).collect()} == {0.5}
 
 
+def lines_told(text):
+    """What a line's characters and words tell, counted one by one."""
+    out = []
+    for line in text.split("\n"):
+        raw = line.encode()
+        words = [w.lower() for w in __import__("re").findall(rb"[^\x20\x09-\x0D]+", raw)]
+        n = lambda some: sum(c in some for c in raw)  # noqa: E731, B023
+        upper, lower, digit, beyond = n(range(65, 91)), n(range(97, 123)), n(range(48, 58)), n(range(128, 256))
+        plain, ends, bar, symbol, blank = n(b".,;:'\"?-()"), n(b".!?"), n(b"|"), n(b"!#$%&*+/<=>@[\\]^_`{}~"), n(b" \t\r\x0b\x0c")
+        letters, whole, many = upper + lower + beyond / 2, max(len(raw), 1), max(len(words), 1)
+        out.append([
+            np.log1p(len(raw)), np.log1p(len(words)), letters / whole, upper / max(letters, 1), digit / whole, beyond / whole, plain / whole, (symbol / whole) ** 0.5, (bar / whole) ** 0.5, blank / whole, (ends / many) ** 0.5,
+            min(letters / many, 20), len(set(words)) / many, float(raw[-1:] in (b".", b"!", b"?")), float(not raw), (symbol / many) ** 0.5,
+        ])
+    return out
+
+
+def slow_quality(text, model):
+    """A text's score by loops over its lines."""
+    told = lines_told(text)
+    rows = []
+    for k, own in enumerate(told):
+        before = told[k - 1] if k else [0.0] * len(own)
+        after = told[k + 1] if k + 1 < len(told) else [0.0] * len(own)
+        rows.append([*own, *before, *after, float(k == 0), float(k + 1 == len(told))])
+    emit = [[sum((f - m) / s * w for f, m, s, w in zip(row, model.mean, model.scale, model.weight[:-1, y], strict=True)) + model.weight[-1, y] for y in (0, 1)] for row in rows]
+    ahead, back = [[0.0, 0.0] for _ in rows], [[0.0, 0.0] for _ in rows]
+    for k in range(len(rows)):
+        for y in (0, 1):
+            ahead[k][y] = emit[k][y] + (np.logaddexp(ahead[k - 1][0] + model.transition[0, y], ahead[k - 1][1] + model.transition[1, y]) if k else 0.0)
+    for k in range(len(rows) - 2, -1, -1):
+        for y in (0, 1):
+            back[k][y] = np.logaddexp(*(model.transition[y, z] + emit[k + 1][z] + back[k + 1][z] for z in (0, 1)))
+    good = [1 / (1 + np.exp(np.clip(a[0] + b[0] - a[1] - b[1], -500, 500))) for a, b in zip(ahead, back, strict=True)]
+    weight = [len(line.encode()) + 1 for line in text.split("\n")]
+    return sum(g * w for g, w in zip(good, weight, strict=True)) / sum(weight)
+
+
+@pytest.fixture(scope="module")
+def quality_model(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    return docs, labels, quality.learn(labelled.sample(docs, labels, "quality", quality.SAMPLE))
+
+
+@pytest.mark.parametrize("at_once", [quality.AT_ONCE, 700])
+def test_quality_is_that_of_loops_over_lines(quality_model, odd, monkeypatch, at_once):
+    """Every document of a table, in groups and (at_once small) in stretches of lines; the odd texts too."""
+    docs, _, model = quality_model
+    monkeypatch.setattr(quality, "AT_ONCE", at_once)
+    texts = [r["text"] or "" for r in docs.collect() if len(r["text"] or "") < 6000] + [r["text"] or "" for r in odd.collect() if len(r["text"] or "") < 6000] + ["\n", "\n\n\nx\n", "end.", "A"]
+    raw = [t.encode() for t in texts]
+    got = model.score(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+    assert len(texts) > 100 and np.allclose(got, [slow_quality(t, model) for t in texts], atol=1e-9)
+
+
+def test_quality_query_is_its_model(quality_model):
+    docs, labels, model = quality_model
+    some = docs.filter(F.length("text") < 4000)
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+    found = {r["doc_id"]: r["score"] for r in quality.digest(docs, labels).collect()}
+    assert all(abs(found[d] - slow_quality(t, model)) < 1e-9 for d, t in texts.items())
+    kept = {r["doc_id"] for r in quality.keep(some, model).collect()}
+    assert kept == {d for d, t in texts.items() if slow_quality(t, model) >= quality.THRESHOLD}
+
+
+def test_quality_of_very_long_texts(quality_model):
+    """64 MB of prose, of one line and of many empty lines, and a batch of many: memory beside the text stays small."""
+    import tracemalloc
+
+    model = quality_model[2]
+    for unit, size, most in (("A line of words, as they stand. Another one!\n", 64, 60), ("word another ", 64, 400), ("\n", 1, 200)):
+        data = np.frombuffer((unit * ((size << 20) // len(unit))).encode(), np.uint8)
+        tracemalloc.start()
+        (score,) = model.score(data, np.array([0, len(data)]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert 0 <= score <= 1 and peak < most << 20
+    many = np.frombuffer(("A line of words, as they stand.\n" * 100).encode() * 1000, np.uint8)
+    tracemalloc.start()
+    scores = model.score(many, np.arange(1001) * 3200)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20 and np.ptp(scores) < 1e-12
+    tracemalloc.stop()
+
+
 def test_gradients():
     net = toxicity.Network.new(0.5, {"aa": 1, "bbb": 2})
     words, label = [["aa", "bbb", "cde"], ["zz"], ["bbb", "q", "aa", "longerword"], []], np.array([1, 0, 1, 0])
