@@ -30,8 +30,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group, the document with the smallest id (op 3)."""
-    return near_dedup.kept_rows(docs)
+    """Of each near-duplicate group, linked from a similarity of 0.8, the document with the smallest id (op 3)."""
+    return near_dedup.kept_rows(docs, near_dedup.NEAR)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
