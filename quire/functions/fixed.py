@@ -13,11 +13,14 @@ HARD_MATH = "∂∑∏∫√⋆⊤∈∀∃≤≥≠≈∇⊙⊗⌊⌋⌈⌉ˆ˜
 
 # Function words of the layout rules (33).
 STOPWORDS = (
-    "a an and are as at be but by can for from has have in is it its not of on or our that the their these "
-    "this to was we which with"
+    "the of a an is are was we in to for that with and this be as by on it not our their which can from at or has have these "
+    "its but"
 ).split()
 # Function words of the audit (47).
-AUDIT_STOPWORDS = STOPWORDS + "also because both each if into may more such than they those were when".split()
+AUDIT_STOPWORDS = (
+    "the of a an is are was were we in to for that with and this be as by on it not our their which can from at or has have "
+    "these those but more than when if also each may such both into they its because"
+).split()
 
 CAPTION = r"(?i)^(Table|Figure|Fig|Panel|Chart|Exhibit)" + WS + r"*\.?" + WS + r"*[A-Z]?\.?" + WS + r"*[0-9]+"
 PAGE_NUMBER = r"(?i)^[ivxlcdm]{0,7}[0-9]{0,4}\z"
@@ -32,6 +35,11 @@ CONTINUES = r"^[a-z(,;]"
 ENDED = r"[.!?:;)\"”]" + WS + r"*\z"
 OTSL_CELL = r"<(?:fcel|ecel)>"
 FORMULA = r"\\\[|\\begin\{|\\frac|\\sum|\$\$"
+# A formula within a text: two kinds shown by themselves, two in the running text.
+FORMULA_IN_TEXT = r"(?s)\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|\$" + NOT_WS[:-1] + r"$][^$\n]*?\$"
+# What a line of markdown begins with, by kind, and marks within a line with what replaces them.
+LINE_MARKS = (("h", r"#{1,4}" + WS + "+"), ("ul", WS + "*[-*+]" + WS + "+"), ("ol", WS + "*[0-9]+[.)]" + WS + "+"))
+INLINE_MARKS = ((r"`([^`]+)`", "<code>$1</code>"), (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), (r"(^|[^*])\*([^*\n]+)\*", "$1<em>$2</em>"))
 MARKER = r"(?m)^<<<([0-9]+)>>>[ \t]*$"
 
 TRANSLATED_KINDS = ("heading", "para", "caption", "note")
@@ -43,6 +51,18 @@ VERDICTS = {
     "missing": ("figure", ("figure", "no")),
 }
 
+# What a model that sees is told, and what it is asked about a suspect by its type; {caption} is the suspect's caption.
+VERDICT_RULES = (
+    'You check the layout of pages. Look at the pictures and answer with one JSON object only: {"verdict": "<one of the options>", '
+    '"reason": "<at most 20 words>"}. Take the verdict from the options as they stand; write nothing else and guess no coordinates.'
+)
+QUESTIONS = {
+    "text-as-image": "This was cut out of a page as an image. What is it mostly? text: running prose, lists or references that are to be read as text. graphic: a chart, table, formula, drawing, photograph or code that must stay as it is. Say text only if almost all of it is connected sentences.",
+    "split": "This area is now in several pieces with texts between them. Can it be one picture? one: all of it belongs to figures or tables, their heads, legends and parallel small tables included, and no prose to be translated is lost. two: paragraphs, section headings or remarks that don't belong to a figure stand in it.",
+    "cut": "The first picture is what was cut out; the second reaches a little further. Does what the second adds belong to the same figure or table? yes: a head, axis labels, a legend, last rows. no: prose, a running head or another figure.",
+    "missing": "There is a caption, \"{caption}\", without a figure. This was cut out near it. figure: it is a figure or table. no: it is prose, blank or a scrap.",
+}
+
 # Terms and their translations (67), in the order in which they are looked for.
 GLOSSARY = {
     "end-to-end": "端到端", "two-stage": "两阶段", "predict-then-optimize": "先预测再优化",

@@ -281,14 +281,16 @@ INLINE = r"(?s)\\\[.*?\\\]|\$\$.*?\$\$|\\\(.*?\\\)|\$[^$\n]{1,200}?\$"
 def formula_segments(c: Column | str) -> Column:
     """ARRAY<STRUCT<kind, source>>: text and formulas of a text in order; sources joined give the text. A blank formula is text."""
     t = col(c)
-    formulas = F.regexp_extract_all(t, F.lit(INLINE), 0)
-    between = F.split(t, INLINE, -1)
     inner = lambda m: F.regexp_replace(m, r"^(\\[\[(]|\$\$?)|(\\[\])]|\$\$?)\z", "")
-    pairs = F.transform(
-        between,
-        lambda b, i: F.array(
-            F.struct(F.lit("text").alias("kind"), b.alias("source")),
-            F.struct(F.when(trim(inner(F.get(formulas, i))) == "", "text").otherwise("formula").alias("kind"), F.coalesce(F.get(formulas, i), F.lit("")).alias("source")),
-        ),
-    )
-    return F.filter(F.flatten(pairs), lambda s: s["source"] != "")
+    # both arrays are bound to a variable, or they would be made again for each piece
+    both = F.array(F.struct(F.regexp_extract_all(t, F.lit(INLINE), 0).alias("formulas"), F.split(t, INLINE, -1).alias("between")))
+
+    def pieces(x: Column) -> Column:
+        formula = lambda i: F.coalesce(F.get(x["formulas"], i), F.lit(""))
+        pairs = F.transform(
+            x["between"],
+            lambda b, i: F.array(F.struct(F.lit("text").alias("kind"), b.alias("source")), F.struct(F.when(trim(inner(formula(i))) == "", "text").otherwise("formula").alias("kind"), formula(i).alias("source"))),
+        )
+        return F.filter(F.flatten(pairs), lambda s: s["source"] != "")
+
+    return F.when(t.isNotNull(), F.transform(both, pieces)[0])

@@ -68,3 +68,10 @@ def free_runs(ink: DataFrame, covered: DataFrame, by: list[str], least_pt: float
 def runs_with_gaps(hot: DataFrame, by: list[str], tolerated: int) -> DataFrame:
     """Hot rows (y) grouped where at most so many rows between them are not hot."""
     return islands(hot.withColumn("y_end", F.col("y")), by, "y", "y_end", tolerated + 1, order=["y"])
+
+
+def with_rows(ink: DataFrame) -> DataFrame:
+    """doc_id, page and an array for each field of the page's ink rows: a few hundred numbers each, without an object for each row."""
+    fields = ("y", "on", "min_x", "max_x")
+    pages = ink.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+    return pages.select("doc_id", "page", *[F.col("rows")[f].alias(f"i_{f}") for f in fields])

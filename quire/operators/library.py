@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed as X
@@ -118,3 +118,31 @@ def wire(messages: DataFrame, context: DataFrame | None = None, system: str = ""
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
     head = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))) if system else F.array().cast("array<struct<role:string,content:string>>")
     return rows.groupBy("conv_id").agg(F.concat(head, turns).alias("messages"))
+
+
+def translated_titles(blocks: DataFrame) -> DataFrame:
+    """doc_id, title: the translation of the first heading that has one, without asterisks at its end."""
+    named = blocks.filter((F.col("kind") == "heading") & (T.trim(F.coalesce("zh", F.lit(""))) != ""))
+    return named.groupBy("doc_id").agg(F.regexp_replace(F.min_by("zh", "block_id"), r"\*+\z", "").alias("title"))
+
+
+def first_of(rows: DataFrame, by: list[str], order: list, most: int = 6) -> DataFrame:
+    """The first `most` rows of each group, with `place` from 1 and `more`, how many there are beyond."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    more = F.greatest(F.lit(0).cast("long"), F.count("*").over(Window.partitionBy(*by)) - most)
+    return rows.withColumns({"place": place, "more": more}).filter(F.col("place") <= most)
+
+
+def new_id(millis: Column, seed: Column) -> Column:
+    """An id for a document: d, the time in base 36, and five letters of the seed's digest. With a random seed (uuid()) ids are new; with a key they can be made again."""
+    return F.concat(F.lit("d"), F.lower(F.conv(millis.cast("string"), 10, 36)), F.substring(F.md5(seed.cast("string").cast("binary")), 1, 5))
+
+
+def debounced(saves: DataFrame, by: list[str], at: str, quiet: str = "400 milliseconds") -> DataFrame:
+    """The saves that are written: of those that follow one another within `quiet`, the last. Works on streams with a watermark on `at` too.
+
+    by, start, end, saves (how many were put together) and last (a struct of all columns of the one that is written).
+    """
+    last = F.max_by(F.struct(*saves.columns), F.col(at))
+    found = saves.groupBy(*by, F.session_window(at, quiet).alias("session")).agg(F.count("*").alias("saves"), last.alias("last"))
+    return found.select(*by, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "saves", "last")

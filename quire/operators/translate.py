@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -123,30 +124,32 @@ def parts_of(answer: str, n: int) -> list[str] | None:
 def translated_batches(batches: DataFrame, client: Client, settings: Settings) -> DataFrame:
     """batches (batch_id, items: ARRAY<STRUCT<id, text>>, terms) to id, zh, err.
 
-    Each batch is a row, so that Spark deals calls to `concurrency` tasks. A batch of one is sent as it is; where a
-    numbered answer doesn't fit, its texts are sent one by one; a batch that fails leaves empty translations with the error.
+    Each batch is a row. A task makes `concurrency` calls at a time, so the cluster's limit is that by its cores; partitions
+    stay as many as the session has. A batch of one is sent as it is; where a numbered answer doesn't fit, its texts are sent one by one; a batch that fails leaves empty translations with the error.
     """
     import re
 
     def clean(text: str) -> str:
         return re.sub(r"<<<\s*\d+\s*>>>\s*", "", text).strip()
 
+    def of_batch(items, terms) -> list[tuple]:
+        ids, texts = [i["id"] for i in items], [i["text"] for i in items]
+        system = system_prompt(settings.language, list(terms))
+        call = lambda user: ask(client, system, user, settings.retry, settings.pause)
+        try:
+            got = [call(texts[0])] if len(texts) == 1 else parts_of(call(numbered(texts)), len(texts)) or [call(t) for t in texts]
+            return [(i, clean(z), None) for i, z in zip(ids, got, strict=True)]
+        except Exception as e:  # recorded with the blocks, which stay pending
+            return [(i, "", str(e)[:120]) for i in ids]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for items, terms in zip(frame["items"], frame["terms"], strict=True):
-                ids, texts = [i["id"] for i in items], [i["text"] for i in items]
-                system = system_prompt(settings.language, list(terms))
-                call = lambda user: ask(client, system, user, settings.retry, settings.pause)  # noqa: B023, E731
-                try:
-                    got = [call(texts[0])] if len(texts) == 1 else parts_of(call(numbered(texts)), len(texts)) or [call(t) for t in texts]
-                    out += [(i, clean(z), None) for i, z in zip(ids, got, strict=True)]
-                except Exception as e:  # recorded with the blocks, which stay pending
-                    out += [(i, "", str(e)[:120]) for i in ids]
+            with ThreadPoolExecutor(settings.concurrency) as pool:
+                out = [row for rows in pool.map(of_batch, frame["items"], frame["terms"]) for row in rows]
             yield pd.DataFrame(out, columns=["id", "zh", "err"])
 
     ids = batches.schema["items"].dataType.elementType["id"].dataType.simpleString()
-    return batches.repartition(settings.concurrency, "batch_id").mapInPandas(run, f"id {ids}, zh string, err string")
+    return batches.repartition("batch_id").mapInPandas(run, f"id {ids}, zh string, err string")
 
 
 def translate(blocks: DataFrame, cache: DataFrame, client: Client, settings: Settings) -> tuple[DataFrame, DataFrame]:

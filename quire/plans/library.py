@@ -154,8 +154,13 @@ def sse_reassembly(spark, sf_dir):
     return streams.reassembled(streams.chunked(turns))
 
 
-ELEMENTS = f"""(WITH c AS (SELECT page_id, regexp_replace(html, '{html.NOISE}', '', 'g') AS h FROM pages), e AS (SELECT page_id, unnest(regexp_extract_all(h, '{html.ELEMENT}', 1)) AS tag, unnest(regexp_extract_all(h, '{html.ELEMENT}', 2)) AS t, generate_subscripts(regexp_extract_all(h, '{html.ELEMENT}', 1), 1) - 1 AS seq FROM c)
-SELECT page_id, seq::INT AS seq, lower(tag) AS tag, {P.COLLAPSE('t')} AS text FROM e)"""
+#: A page's elements by cutting it before every block's tag: right where blocks don't stand within text elements and no image without one has a text, as in the tables.
+BLOCK_TAGS = "h[1-6]|p|li|figcaption|img|td|table|thead|tbody|tfoot|tr|th|caption|html|head|body|title|div|article|section|main|nav|aside|header|footer|figure|blockquote|pre|address|ul|ol|menu|dl|dt|dd|form|fieldset|details|summary"
+ELEMENTS = f"""(WITH c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '{html.NOISE}', '', 'g'), '(?i)<[bh]r\\b[^>]*>', ' ', 'g'), '(?i)<(/?(?:{BLOCK_TAGS}))\\b[^>]*>', chr(1) || '\\1' || chr(2), 'g') AS h FROM pages),
+d AS (SELECT page_id, regexp_replace(h, '(?i)</?[a-z][a-z0-9_]*\\b[^>]*>|<[!?][^>]*>', '', 'g') AS h FROM c),
+e AS (SELECT page_id, unnest(string_split(h, chr(1))) AS part, generate_subscripts(string_split(h, chr(1)), 1) AS i FROM d)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS seq, lower(string_split(part, chr(2))[1]) AS tag, CASE WHEN lower(string_split(part, chr(2))[1]) = 'img' THEN '' ELSE {P.COLLAPSE('string_split(part, chr(2))[2]')} END AS text FROM e
+WHERE i > 1 AND regexp_matches(part, '(?i)^(h[1-6]|p|li|figcaption|img|td)' || chr(2)))"""
 KIND = "CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag = 'img' THEN 'graphic' WHEN tag = 'figcaption' THEN 'caption' ELSE 'para' END"
 
 
@@ -267,3 +272,33 @@ def reference_section(spark, sf_dir):
 @query(f"""SELECT doc_id, block_id, CASE WHEN r <= 8 AND kind = 'heading' AND {P.COUNT('text', ',')} >= 3 THEN 'ref' ELSE kind END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS r FROM bk)""")
 def byline_kinds(spark, sf_dir):
     return BK.bylines(blocks_of(spark, sf_dir)).select("doc_id", "block_id", "kind")
+
+
+@query("""SELECT doc_id, regexp_replace(arg_min(z, line_no), '\\*+\\z', '') AS title FROM (SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN ' ' WHEN line_no % 3 = 1 THEN 'Z ' || line || '**' END AS z FROM """ + P.LINES + """) WHERE trim(coalesce(z, '')) <> '' GROUP BY doc_id""", blocks=False)
+def translated_titles(spark, sf_dir):
+    """Every line as a heading; some have no translation, a blank one, or one that ends in asterisks."""
+    zh = F.when(F.col("line_no") % 3 == 0, " ").when(F.col("line_no") % 3 == 1, F.concat(F.lit("Z "), "line", F.lit("**")))
+    rows = P.lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("block_id"), F.lit("heading").alias("kind"), zh.alias("zh"))
+    return L.translated_titles(rows)
+
+
+@query("""SELECT source, doc_id, place::INT AS place, more FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place, greatest(0, count(*) OVER (PARTITION BY source) - 6) AS more FROM documents) WHERE place <= 6""", blocks=False)
+def first_and_more(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", "n_chars")
+    return L.first_of(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")]).select("source", "doc_id", "place", "more")
+
+
+@query("SELECT event_id, 'd' || lower(to_base(epoch_us(ts) // 1000, 36)) || substr(md5(event_id::VARCHAR), 1, 5) AS id FROM events", blocks=False)
+def new_ids(spark, sf_dir):
+    """Ids made of each event's time and number."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", L.new_id(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id")).alias("id"))
+
+
+@query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS saves FROM (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (
+ SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS o FROM events)) GROUP BY user_id, g""", blocks=False)
+def debounced_saves(spark, sf_dir):
+    """A user's events as saves, of which those within ten minutes of the next are put together."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = L.debounced(e, ["user_id"], "ts", "10 minutes")
+    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "saves")

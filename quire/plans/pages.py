@@ -69,6 +69,43 @@ def classified(spark, sf_dir) -> DataFrame:
     return placed.select("doc_id", "page", number.cast("long").alias("block_id"), "kind", F.when(F.col("kind") == "graphic", "").otherwise(F.col("text")).alias("text"), "size", "font", "x0", F.col("y_top").alias("y0"), "x1", F.col("y_bot").alias("y1"), "n_lines")
 
 
+#: The flagship in SQL, for pages in one column: lines tied to the one before by what the two are alone, then a recursion down each page for indents, which a block's first lines decide.
+TIED = """coalesce(y_top - lag(y_bot) OVER p <= greatest(size, lag(size) OVER p) * 1.65::DOUBLE AND abs(size - lag(size) OVER p) < 1.2 AND bold = lag(bold) OVER p AND shown = lag(shown) OVER p
+ AND (abs(x0 - lag(x0) OVER p) < 26 OR (lag(x0) OVER p < body_x0_max AND lag(x1) OVER p > body_x1_min AND x0 < body_x0_max)
+  OR (x0 > body_x0_max AND lag(x0) OVER p > body_x0_max AND least(x1, lag(x1) OVER p) - greatest(x0, lag(x0) OVER p) > 0.5 * least(x1 - x0, lag(x1) OVER p - lag(x0) OVER p))), false)"""
+SET_APART = "(size BETWEEN abstract_lo AND abstract_hi AND x0 < abstract_x0_max AND x1 - x0 > 350 AND n_lines >= 4)"
+BLOCK_KIND = (
+    LY.KIND.replace(f"({LY.FULL} OR (x0 < body_x0_max AND {LY.WORDS} >= 4))", f"({LY.FULL} OR (x0 < body_x0_max AND {LY.WORDS} >= 4) OR {SET_APART})")
+    .replace("x1 - x0 > greatest(120, body_x1_min - body_x0_max) * 0.85 AND size BETWEEN", "(n_lines >= 2 OR x1 - x0 > greatest(120, body_x1_min - body_x0_max) * 0.85) AND spread < 26 AND wide <= 0.34 AND size BETWEEN")
+)
+BLOCK_KINDS = f"""WITH RECURSIVE {TS.SQL}{LY.LEARNED}{LY.HEADS}{LY.LINES},
+gp AS (SELECT doc_id, page, y_base, max(gap) AS gap FROM (SELECT doc_id, page, y_base, x0 - lag(x1) OVER (PARTITION BY doc_id, page, y_base ORDER BY x0, seq) AS gap FROM spans) GROUP BY 1, 2, 3),
+ln AS (SELECT l.*, body_x0_max, body_x1_min, regexp_matches(font, '{X.BOLD}') AS bold, x0 > body_x0_max AND ({P.IS_MATH('text')}) AS shown, coalesce(gap, 0) > greatest(12, 1.2::DOUBLE * size) AS wide
+ FROM lines l JOIN learned USING (doc_id) JOIN gp USING (doc_id, page, y_base) WHERE NOT (NOT (y_top > {LY.H} * 0.09 AND y_bot < {LY.H} * 0.91) AND EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = l.doc_id AND h.edge_key = {P.EDGE_KEY('l.text')}))),
+tie AS (SELECT *, {TIED} AS tied, row_number() OVER p AS r FROM ln WINDOW p AS (PARTITION BY doc_id, page ORDER BY y_base)),
+fold AS (SELECT doc_id, page, r, r AS head, x0 AS first_x0, NULL::DOUBLE AS second_x0, x0 AS min_x0 FROM tie WHERE r = 1 UNION ALL
+ SELECT doc_id, page, r, CASE WHEN goes THEN head ELSE r END, CASE WHEN goes THEN first_x0 ELSE x0 END, CASE WHEN goes THEN coalesce(second_x0, x0) END, CASE WHEN goes THEN least(min_x0, x0) ELSE x0 END
+ FROM (SELECT f.doc_id, f.page, t.r, f.head, f.first_x0, f.second_x0, f.min_x0, t.x0, t.tied AND (f.second_x0 IS NULL OR NOT CASE WHEN f.second_x0 > f.first_x0 + 8 THEN abs(t.x0 - f.first_x0) < 3 ELSE t.x0 > f.min_x0 + 8 END) AS goes
+  FROM fold f JOIN tie t ON t.doc_id = f.doc_id AND t.page = f.page AND t.r = f.r + 1)),
+bk AS (SELECT doc_id, page, head, {P.COLLAPSE("replace(replace(string_agg(text, chr(1) ORDER BY r), '-' || chr(1), ''), chr(1), ' ')")} AS text, floor(max(size) * 10 + 0.5) / 10 AS size, arg_min(font, r) AS font, min(tie.x0) AS x0, max(x1) AS x1, min(y_top) AS y_top, max(y_bot) AS y_bot,
+ count(*) AS n_lines, max(tie.x0) - min(tie.x0) AS spread, count(*) FILTER (wide)::DOUBLE / count(*) AS wide FROM fold JOIN tie USING (doc_id, page, r) GROUP BY doc_id, page, head),
+kd AS (SELECT bk.*, {BLOCK_KIND} AS kind FROM bk JOIN learned USING (doc_id)),
+nb AS (SELECT doc_id, page, kind, CASE WHEN kind = 'graphic' THEN '' ELSE text END AS text, size, row_number() OVER (PARTITION BY doc_id ORDER BY page, floor(y_top / 3 + 0.5), x0, head) - 1 AS block_id FROM kd
+ WHERE kind IS NOT NULL AND NOT (kind = 'graphic' AND text <> '' AND n_lines = 1 AND length(text) <= 60 AND x1 - x0 < 612 * 0.6 AND (y_top < {LY.H} * 0.09 OR y_bot > {LY.H} * 0.91))),
+pa AS (SELECT *, regexp_matches(text, '{X.CONTINUES}') AND coalesce(NOT regexp_matches(lag(text) OVER w, '{X.ENDED}'), false) AS may FROM nb WHERE kind = 'para' WINDOW w AS (PARTITION BY doc_id ORDER BY block_id)),
+pr AS (SELECT *, sum(CASE WHEN may THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY block_id) AS run FROM pa),
+pn AS (SELECT *, NOT may OR page = first(page) OVER (PARTITION BY doc_id, run ORDER BY block_id) AS new FROM pr),
+pc AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY block_id) AS chain FROM pn),
+wh AS (SELECT doc_id, min(block_id) AS block_id, 'para' AS kind, arg_min(page, block_id) AS page, arg_min(size, block_id) AS size, string_agg(text, ' ' ORDER BY block_id) AS text FROM pc GROUP BY doc_id, chain
+ UNION ALL SELECT doc_id, block_id, kind, page, size, text FROM nb WHERE kind <> 'para'),
+op AS (SELECT *, min(CASE WHEN kind = 'heading' AND regexp_replace({P.TRIM('text')}, '\\*+\\z', '') = 'References' THEN block_id END) OVER (PARTITION BY doc_id) AS opened FROM wh),
+en AS (SELECT *, coalesce(max((block_id > opened AND kind = 'heading' AND size >= 17)::INT) OVER (PARTITION BY doc_id ORDER BY block_id), 0) AS ended FROM op),
+rf AS (SELECT doc_id, block_id, page, text, CASE WHEN coalesce(block_id > opened AND ended = 0, false) AND kind IN ('para', 'note') THEN 'ref' WHEN coalesce(block_id > opened AND ended = 0, false) AND kind = 'graphic' THEN 'drop' ELSE kind END AS kind FROM en),
+by_ AS (SELECT doc_id, page, text, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY block_id) <= 8 AND kind = 'heading' AND length(text) - length(replace(text, ',', '')) >= 3 THEN 'ref' ELSE kind END AS kind FROM rf WHERE kind <> 'drop')
+SELECT doc_id, kind, count(*) AS blocks, sum(CASE WHEN kind IN {P.listed(X.TRANSLATED_KINDS)} THEN length(text) ELSE 0 END)::BIGINT AS translated_chars, max(page) AS last_page FROM by_ GROUP BY doc_id, kind"""
+
+
+@query(BLOCK_KINDS)
 def block_kinds(spark, sf_dir):
     """The flagship: documents set as pages, folded into blocks, classified, continued across pages, tidied and counted by kind."""
     raw = written(classified(spark, sf_dir), "blocks")  # read twice by what follows
@@ -77,8 +114,6 @@ def block_kinds(spark, sf_dir):
     return found.groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"), F.sum(translated).alias("translated_chars"), F.max("page").alias("last_page"))
 
 
-QUERIES["block_kinds"] = block_kinds
-
 ROW = "(length(line) - length(replace(line, '|', '')) >= 2)"
 
 
@@ -91,6 +126,17 @@ def markdown_blocks(spark, sf_dir):
     return R.markdown_blocks(P.documents(spark, sf_dir))
 
 
+ANCHORED = f"""WITH RECURSIVE {TS.SQL}, lo AS (SELECT * FROM spans WHERE seq >= 0), ll AS (SELECT doc_id, page, y_base, {P.COLLAPSE("string_agg(str, '' ORDER BY x0, seq)")} AS text, min(x0) AS x0, max(x1) AS x1, min(y_top) AS y_top, max(y_bot) AS y_bot FROM lo GROUP BY 1, 2, 3),
+ln AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page ORDER BY y_base) - 1)::INT AS seq, {P.NORM('text')} AS nm FROM ll),
+pb AS (SELECT doc_id, page, seq // 2 AS pair, rtrim(string_agg(text, ' ' ORDER BY seq)) AS text FROM ln GROUP BY 1, 2, 3),
+mb AS (SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY pair DESC) - 1)::INT AS seq, CASE WHEN length(text) - length(replace(text, '|', '')) >= 2 THEN 'table' WHEN regexp_matches(text, '{X.CAPTION}') THEN 'caption' ELSE 'para' END AS kind, {P.NORM('text')} AS nm FROM pb),
+ft AS (SELECT l.doc_id, l.page, l.seq, list(b.seq) FILTER (length(l.nm) >= 4 AND contains(b.nm, substr(l.nm, 1, 40))) AS fits FROM ln l JOIN mb b ON l.doc_id = b.doc_id AND l.page = b.page GROUP BY 1, 2, 3),
+cl AS (SELECT doc_id, page, -1 AS seq, 0::BIGINT AS pos, NULL::BIGINT AS claimed FROM (SELECT DISTINCT doc_id, page FROM ln) UNION ALL
+ SELECT doc_id, page, seq, coalesce(near, pos), near FROM (SELECT c.doc_id, c.page, f.seq, c.pos, list_min(list_transform(f.fits, lambda i: abs(i - c.pos)::BIGINT * 1000000 + i)) % 1000000 AS near FROM cl c JOIN ft f ON f.doc_id = c.doc_id AND f.page = c.page AND f.seq = c.seq + 1))
+SELECT b.doc_id, b.page, b.seq, b.kind, min(x0) AS x0, min(y_top) AS y0, max(x1) AS x1, max(y_bot) AS y1, count(l.seq)::INT AS n_lines FROM mb b LEFT JOIN (SELECT * FROM cl JOIN ln USING (doc_id, page, seq)) l ON l.doc_id = b.doc_id AND l.page = b.page AND l.claimed = b.seq GROUP BY 1, 2, 3, 4"""
+
+
+@query(ANCHORED)
 def anchored_blocks(spark, sf_dir):
     """Each page's lines, as paragraphs of two in another order, anchored to the page again."""
     lines = LY.lines_of(LY.spans_of(spark, sf_dir, heads=False))
@@ -101,19 +147,22 @@ def anchored_blocks(spark, sf_dir):
     return R.anchored(read, lines).select("doc_id", "page", "seq", "kind", "x0", "y0", "x1", "y1", "n_lines")
 
 
-QUERIES["anchored_blocks"] = anchored_blocks
 
+AGREES = P.AGREEMENT(P.NORM("t"), P.NORM("text"))
 
+
+@query(f"""WITH r AS (SELECT doc_id, text, {P.TRIM("CASE WHEN doc_id % 2 = 0 THEN text ELSE reverse(text) END")} AS t FROM documents),
+l AS (SELECT *, list_filter(list_transform(string_split(t, chr(10)), lambda x: {P.TRIM('x')}), lambda x: length(x) > 4) AS a, regexp_split_to_array(t, '[\\n\\r\\x{{2028}}\\x{{2029}}]') AS s, {AGREES[0]} AS cover FROM r),
+w AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN len(a) >= 8 AND len(list_distinct(a))::DOUBLE / greatest(len(a), 1) < 0.4 THEN 'repeats itself' WHEN cover < 0.6 THEN 'not on the page' END AS why,
+ CASE WHEN len(list_filter(s, lambda x: {P.PIPES('x')} >= 2)) >= 2 OR (len(list_filter(s, lambda x: {P.PIPES('x')} >= 2)) >= 1 AND len(list_filter(s, lambda x: {P.PIPES(f"regexp_replace(x, '^{X.WS}*{X.NOT_WS}', '')")} >= 2)) > 0) THEN 'table' WHEN regexp_matches(t, '{X.FORMULA}') THEN 'math' ELSE 'text' END AS shape FROM l)
+SELECT doc_id AS id, t AS text, shape, cover, why IS NULL AS ok, why FROM w""")
 def recognised_crops(spark, sf_dir):
-    """An offline reader that returns each crop's bytes as text: half of them are what the page says, half are cut off."""
+    """An offline reader that returns each crop's bytes as text: half of them are what the page says, half are that backwards."""
     docs = P.documents(spark, sf_dir)
-    image = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.substring("text", 1, 30), "UTF-8"))
+    image = F.encode(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.reverse("text")), "UTF-8")
     return R.recognise(docs.select(F.col("doc_id").alias("id"), image.alias("image"), F.col("text").alias("printed")), lambda b: bytes(b).decode())
 
 
-QUERIES["recognised_crops"] = recognised_crops
-
-
 @query("""WITH b AS (SELECT doc_id, 0 AS page, k::INT AS seq, (60 + 50 * k + doc_id % 11)::DOUBLE AS y0 FROM documents, range(0, 6) r(k)), f AS (SELECT doc_id, 0 AS page, (30 + 130 * k + doc_id % 19)::DOUBLE AS y0 FROM documents, range(0, 3) r(k)),
 x AS (SELECT f.doc_id, f.page, f.y0, coalesce(min(b.seq), 1000000000) AS pos, 0 AS k, NULL::INT AS seq, true AS is_figure FROM f LEFT JOIN b ON b.doc_id = f.doc_id AND b.y0 > f.y0 GROUP BY 1, 2, 3 UNION ALL SELECT doc_id, page, y0, seq, 1, seq, false FROM b)
 SELECT doc_id, page, seq, y0, is_figure, (row_number() OVER (PARTITION BY doc_id, page ORDER BY pos, k, y0) - 1)::INT AS place FROM x""")
@@ -182,6 +231,11 @@ QUERIES["figure_regions"] = figure_regions
 @query(f"""WITH {G.INK} SELECT doc_id, page, y, "on", min_x::INT AS min_x, max_x::INT AS max_x FROM ink""")
 def ink_from_pixels(spark, sf_dir):
     """Page images drawn from the ink rows, and these rows read from the images again."""
+    return regions.raster_ink(drawn_pages(spark, sf_dir))
+
+
+def drawn_pages(spark, sf_dir) -> DataFrame:
+    """doc_id, page, w, h, rgb: an image for each page, in which every inked row has its first and last pixel dark."""
     import numpy as np
     import pandas as pd
 
@@ -197,17 +251,40 @@ def ink_from_pixels(spark, sf_dir):
                         image[x["y"], [x["min_x"], x["max_x"]], 1] = 247
                 yield pd.DataFrame([(r.doc_id, r.page, 306, 396, image.tobytes())], columns=["doc_id", "page", "w", "h", "rgb"])
 
-    return regions.raster_ink(pages_.mapInPandas(draw, "doc_id long, page int, w int, h int, rgb binary"))
+    return pages_.mapInPandas(draw, "doc_id long, page int, w int, h int, rgb binary")
+
+
+def _marked_sql(x: str) -> str:
+    """A line's text with the marks within it replaced."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    for a, b in X.INLINE_MARKS:
+        x = f"regexp_replace({x}, '{a}', '{b.replace('$', chr(92))}', 'g')"
+    return x
 
 
+_HERE = "chr(57344) || chr(57345)"
+_LIST = lambda k: f"CASE WHEN {k} IN ('ul', 'ol') THEN {k} ELSE '' END"
+MARKDOWN_HTML = f"""WITH s AS (SELECT doc_id, replace(text, chr(57344), chr(57344) || chr(57346)) AS t FROM documents),
+m AS (SELECT doc_id, list_transform(regexp_extract_all(t, {P.quoted(X.FORMULA_IN_TEXT)}), lambda f: CASE WHEN f[1:2] IN ('$$', chr(92) || '[', chr(92) || '(') THEN [f[1:2], f[3:length(f) - 2]] ELSE ['$', f[2:length(f) - 1]] END) AS f,
+ string_split(regexp_replace(t, {P.quoted(X.FORMULA_IN_TEXT)}, {_HERE}, 'g'), chr(10)) AS l FROM s),
+l AS (SELECT doc_id, generate_subscripts(l, 1) AS i, regexp_replace(unnest(l), '{X.WS}+\\z', '') AS x FROM m),
+k AS (SELECT doc_id, i, CASE WHEN x = '' THEN '' {" ".join(f"WHEN regexp_matches(x, '^{mark}') THEN '{kind}'" for kind, mark in X.LINE_MARKS)} ELSE 'p' END AS kind, x FROM l),
+b AS (SELECT doc_id, i, kind, CASE kind {" ".join(f"WHEN '{kind}' THEN regexp_replace(x, '^{mark}', '')" for kind, mark in X.LINE_MARKS)} ELSE x END AS body, coalesce(lag(kind) OVER w, '') AS before, lead(kind) OVER w IS NULL AS ends FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, CASE WHEN kind <> before AND before IN ('ul', 'ol') THEN '</' || before || '>' ELSE '' END || CASE WHEN kind <> before AND kind IN ('ul', 'ol') THEN '<' || kind || '>' ELSE '' END
+ || CASE kind WHEN '' THEN '' WHEN 'h' THEN '<h3>' || {_marked_sql('body')} || '</h3>' WHEN 'p' THEN '<p>' || {_marked_sql('body')} || '</p>' ELSE '<li>' || {_marked_sql('body')} || '</li>' END
+ || CASE WHEN ends AND kind IN ('ul', 'ol') THEN '</' || kind || '>' ELSE '' END AS html FROM b),
+j AS (SELECT doc_id, string_split(string_agg(html, '' ORDER BY i), {_HERE}) AS parts FROM h GROUP BY doc_id),
+g AS (SELECT doc_id, list_transform(f, lambda x: CASE WHEN x[1] IN ('$$', chr(92) || '[') THEN '$$' ELSE '$' END || replace(replace(replace(x[2], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || CASE WHEN x[1] IN ('$$', chr(92) || '[') THEN '$$' ELSE '$' END) AS f FROM m)
+SELECT doc_id, replace(array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(f[i], '')), ''), chr(57344) || chr(57346), chr(57344)) AS html FROM j JOIN g USING (doc_id)"""
+
+
+@query(MARKDOWN_HTML)
 def markdown_html(spark, sf_dir):
     """Documents as markdown, shown as HTML."""
     return P.documents(spark, sf_dir).select("doc_id", markup.markdown_html("text").alias("html"))
 
 
-QUERIES["markdown_html"] = markdown_html
-
-
 @query(f"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS str, generate_subscripts(string_split(text, ' '), 1) - 1 AS seq FROM documents)
 SELECT doc_id, seq::INT AS seq, floor(sqrt((10 + seq % 3) * (10 + seq % 3) + 0.25) * 10 + 0.5) / 10 AS size, 'Roman' AS font, (72 + seq % 40)::DOUBLE AS x0, (792 - (100 + seq % 600))::DOUBLE AS y_base FROM w WHERE {P.TRIM('str')} <> ''""")
 def text_items(spark, sf_dir):
@@ -227,3 +304,73 @@ def absorbed_labels(spark, sf_dir):
     found = G.boxes_of(spark, sf_dir)
     figures = found.filter("kind = 'graphic'").withColumn("y1", F.col("y1") + 120)
     return R.absorbed(figures, found.filter("kind = 'para'"), "j")
+
+
+ASKED = "CASE type " + " ".join(f"WHEN '{k}' THEN {P.quoted(v)}" for k, v in X.QUESTIONS.items()) + " END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, ['text-as-image', 'split', 'cut', 'missing', 'other'][(doc_id % 5 + 1)::INT] AS type, substr(text, 1, 80) AS text FROM documents)
+SELECT doc_id, type, CASE type {" ".join(f"WHEN '{k}' THEN {P.listed(v[1]).replace('(', '[').replace(')', ']')}" for k, v in X.VERDICTS.items())} ELSE [] END AS options, replace({ASKED}, '{{caption}}', text) AS ask FROM s""")
+def audit_questions(spark, sf_dir):
+    """Suspects of every type, and of one that nobody asks about, with what a model is asked."""
+    kinds = F.array(*map(F.lit, [*X.VERDICTS, "other"]))
+    rows = P.documents(spark, sf_dir).select("doc_id", kinds[(F.col("doc_id") % 5).cast("int")].alias("type"), F.substring("text", 1, 80).alias("text"))
+    return A.questions(rows).select("doc_id", "type", "options", "ask")
+
+
+@query(f"""WITH {G.BOXES}, t AS (SELECT bx.doc_id, bx.page, bx.j, bx.x0, bx.y0, bx.x1, bx.y1, length(l.line) / 4.0 AS inky, l.line AS under FROM bx JOIN (SELECT doc_id, line_no, line FROM {P.LINES}) l ON l.doc_id = bx.doc_id AND l.line_no = bx.j WHERE kind = 'graphic'),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, j) AS rank, count(*) OVER (PARTITION BY doc_id) AS n FROM t WHERE length(under) - length(regexp_replace(under, '[A-Za-z]', '', 'g')) >= 60)
+SELECT doc_id, page, j::BIGINT AS block_id, under, inky >= (y1 - y0) * 0.55::DOUBLE AS dense, rank::INT AS rank, greatest(0, n - 1) AS skipped FROM c WHERE rank <= 1""")
+def ocr_candidates(spark, sf_dir):
+    """Graphics with a line of the document in each, one candidate for each document."""
+    blocks = G.boxes_of(spark, sf_dir).withColumnRenamed("j", "block_id").withColumn("block_id", F.col("block_id").cast("long"))
+    lines = P.lines(spark, sf_dir).select("doc_id", F.lit(0).alias("page"), F.col("line_no").cast("long").alias("block_id"), F.col("line").alias("under"), (F.length("line") / 4.0).alias("inky"))
+    return A.ocr_candidates(blocks, lines, most=1).select("doc_id", "page", "block_id", "under", "dense", "rank", "skipped")
+
+
+#: A page's lines as a model's engine reads them, from items in reading order on whole rows.
+MODEL_LINES = f"""WITH {TS.SQL}, ml AS (SELECT doc_id, page, y_base, trim(regexp_replace(string_agg(str, '' ORDER BY x0, seq), '{X.WS}+', ' ', 'g')) AS text, arg_min(size, x0) AS size, min(x0) AS x0, max(x1) AS x1 FROM spans WHERE seq >= 0 GROUP BY doc_id, page, y_base),
+mn AS (SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY y_base - 0.85::DOUBLE * size) - 1)::INT AS seq, text, size, x0, x1, y_base - 0.85::DOUBLE * size AS y_top, y_base + 0.3::DOUBLE * size AS y_bot FROM ml WHERE text <> '')"""
+
+
+def model_items(spark, sf_dir) -> DataFrame:
+    spans = LY.spans_of(spark, sf_dir, heads=False)
+    return spans.select("doc_id", "page", "seq", "str", "size", "x0", "x1", F.col("y_base").alias("y"))
+
+
+@query(f"{MODEL_LINES} SELECT doc_id, page, seq, text, size, x0, x1, y_top, y_bot FROM mn")
+def model_page_lines(spark, sf_dir):
+    return R.page_lines(model_items(spark, sf_dir))
+
+
+NEAR = "n.y_top - p.y_bot < greatest(4, 0.9::DOUBLE * n.size) AND abs(n.x0 - p.head) < 30"
+
+
+@query(f"""{MODEL_LINES.replace("WITH ", "WITH RECURSIVE ", 1)},
+mp AS (SELECT doc_id, page, seq, seq AS first, x0 AS head, y_bot FROM mn WHERE seq = 0 UNION ALL
+ SELECT n.doc_id, n.page, n.seq, CASE WHEN {NEAR} THEN p.first ELSE n.seq END, CASE WHEN {NEAR} THEN p.head ELSE n.x0 END, n.y_bot FROM mp p JOIN mn n ON n.doc_id = p.doc_id AND n.page = p.page AND n.seq = p.seq + 1),
+mc AS (SELECT doc_id, page, first, seq, head, length(text) + CASE WHEN text LIKE '%-' OR seq = max(seq) OVER (PARTITION BY doc_id, page, first) THEN 0 ELSE 1 END AS n, y_top, mn.y_bot, x1 FROM mp JOIN mn USING (doc_id, page, seq))
+SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY first) - 1)::INT AS seq, count(*)::INT AS n_lines, any_value(head) AS x0, min(y_top) AS y0, max(x1) AS x1, max(y_bot) AS y1, sum(n)::BIGINT AS chars FROM mc GROUP BY doc_id, page, first""")
+def fallback_blocks(spark, sf_dir):
+    """Paragraphs of pages that no model read, from their lines."""
+    found = R.fallback_blocks(R.page_lines(model_items(spark, sf_dir)))
+    return found.select("doc_id", "page", "seq", "n_lines", "x0", "y0", "x1", "y1", F.length("text").cast("long").alias("chars"))
+
+
+@query(f"""WITH {G.BOXES}, {G.INK}, g AS (SELECT doc_id, j, x0, y0, x1, y1, round((x1 - x0) * 0.5) AS pw, round((y1 - y0) * 0.5) AS ph, round(x0 * 0.5) AS px, round(y0 * 0.5) AS py FROM bx WHERE kind = 'graphic' AND j < 3)
+SELECT g.doc_id, g.j::BIGINT AS block_id, pw::INT AS pixels_w, ph::INT AS pixels_h, round(x1 - x0)::INT AS w, round(y1 - y0)::INT AS h,
+ (count(*) FILTER (i.min_x >= px AND i.min_x < px + pw) + count(*) FILTER (i.max_x >= px AND i.max_x < px + pw))::BIGINT AS dark FROM g LEFT JOIN ink i ON i.doc_id = g.doc_id AND i.min_x >= 0 AND i.y >= py AND i.y < py + ph GROUP BY ALL""")
+def figure_crops(spark, sf_dir):
+    """Graphics cut out of page images as PNG, and what is dark in the decoded images."""
+    images = drawn_pages(spark, sf_dir)
+    boxes = G.boxes_of(spark, sf_dir).filter("kind = 'graphic' and j < 3").withColumnRenamed("j", "block_id").withColumn("block_id", F.col("block_id").cast("long"))
+    crops = regions.crops(images, boxes, dpi=36.0)
+
+    def look(frames):
+        import pandas as pd
+
+        for frame in frames:
+            pixels = [regions.png_pixels(p) for p in frame["image"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "block_id": frame["block_id"], "pixels_w": [p.shape[1] for p in pixels], "pixels_h": [p.shape[0] for p in pixels], "w": frame["w"], "h": frame["h"], "dark": [int((p < 248).any(axis=2).sum()) for p in pixels]})
+
+    return crops.mapInPandas(look, "doc_id long, block_id long, pixels_w int, pixels_h int, w int, h int, dark long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import fixed as X
 from quire.functions import text as T
+from quire.sources.tables import written
 
 QUERIES = {}
 ORACLES = {}
@@ -172,11 +173,13 @@ def AGREEMENT(a: str, b: str) -> tuple[str, str]:
 p AS (SELECT doc_id, t AS printed, lag(t) OVER (PARTITION BY source ORDER BY doc_id) AS read FROM n)
 SELECT doc_id, {AGREEMENT('read', 'printed')[0]} AS cover, {AGREEMENT('read', 'printed')[1]} AS agrees FROM p WHERE read IS NOT NULL""")
 def chunk_agreement(spark, sf_dir):
-    """Each document against the one before it of its source. The window holds one text besides the row's own."""
-    from pyspark.sql import Window
+    """Each document against the one before it of its source. Pairs are made of ids alone; texts are joined to them."""
+    from quire.operators.neighbours import previous
 
-    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    found = documents(spark, sf_dir).withColumn("read", before).filter(F.col("read").isNotNull())
+    docs = documents(spark, sf_dir)
+    pairs = written(previous(docs, "source", "doc_id").filter(F.col("previous").isNotNull()).select("doc_id", "previous"), "pairs")
+    found = pairs.join(docs.select("doc_id", "text"), "doc_id").join(docs.select(F.col("doc_id").alias("previous"), F.col("text").alias("read")), "previous")
+    found = found.filter(F.col("read").isNotNull())
     return found.select("doc_id", *[v.alias(k) for k, v in T.agreement("read", "text").items()])
 
 
@@ -184,20 +187,13 @@ def chunk_agreement(spark, sf_dir):
 x AS (SELECT doc_id, item_id, {AGREEMENT('d.t', 'b.t')[0]} AS cover, {AGREEMENT('d.t', 'b.t')[1]} AS agrees FROM d, b)
 SELECT doc_id, item_id, cover FROM x WHERE agrees""")
 def benchmark_agreement(spark, sf_dir):
-    """Documents that hold most of a benchmark passage.
+    """Documents that hold most of a benchmark passage. Pairs that have enough pieces by their hashes are compared in full."""
+    from quire.operators.passages import likely
 
-    A passage's pieces of 24 letters are looked up by their hash among the hashes of all places of all
-    documents, so that only documents with a piece in common are joined; the share is counted from distinct pieces.
-    """
     docs = documents(spark, sf_dir).select("doc_id", T.norm("text").alias("t"))
-    passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", T.norm("text").alias("b"))
-    hashes = lambda c, starts: F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(c.cast("binary"), i, F.lit(24)))))
-    every = F.when(F.length("t") >= 24, F.sequence(F.lit(1), F.length("t") - 23)).otherwise(F.array().cast("array<int>"))
-    whole = F.when(F.length("b") >= 24, F.sequence(F.lit(1), F.length("b") - 23, F.lit(24))).otherwise(F.array().cast("array<int>"))
-    pieces = passages.select("item_id", F.explode(hashes(F.col("b"), whole)).alias("piece"))
-    there = docs.select("doc_id", F.explode(hashes(F.col("t"), every)).alias("piece"))
-    pairs = there.join(pieces, "piece").select("doc_id", "item_id").distinct()
-    both = pairs.join(docs, "doc_id").join(passages, "item_id").select("doc_id", "item_id", T.agreement("t", "b")["cover"].alias("cover"))
+    passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", T.norm("text").alias("t"))
+    pairs = written(likely(docs, passages, "doc_id", "item_id"), "pairs")
+    both = pairs.join(docs, "doc_id").join(passages.withColumnRenamed("t", "b"), "item_id").select("doc_id", "item_id", T.agreement("t", "b")["cover"].alias("cover"))
     return both.filter("cover >= 0.6")
 
 
@@ -226,17 +222,16 @@ def cache_key(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.cache_key(F.lit("model-a"), "text").alias("k"))
 
 
-#: Every document's first line beside a formula made of its number, written in one of four ways or left open.
-FORMULAS = """(SELECT doc_id, string_split(text, chr(10))[1] || CASE doc_id % 5 WHEN 0 THEN '\\(x_{' || doc_id || '}\\)' WHEN 1 THEN '$y$' WHEN 2 THEN '\\[z\\]' WHEN 3 THEN '$$w$$' ELSE '$ open' END || ' end' AS t,
- CASE doc_id % 5 WHEN 0 THEN '\\(x_{' || doc_id || '}\\)' WHEN 1 THEN '$y$' WHEN 2 THEN '\\[z\\]' WHEN 3 THEN '$$w$$' END AS f, string_split(text, chr(10))[1] AS head FROM documents)"""
+INNER = lambda f: f"trim(regexp_replace({f}, '^(\\\\[\\[(]|\\$\\$?)|(\\\\[\\])]|\\$\\$?)\\z', '', 'g'))"
 
 
-@query(f"""WITH f AS (SELECT * FROM {FORMULAS} WHERE NOT contains(head, '$') AND NOT contains(head, '\\')),
-s AS (SELECT doc_id, 0 AS k, 'text' AS kind, CASE WHEN f IS NULL THEN t ELSE head END AS source FROM f
- UNION ALL SELECT doc_id, 1, 'formula', f FROM f WHERE f IS NOT NULL UNION ALL SELECT doc_id, 2, 'text', ' end' FROM f WHERE f IS NOT NULL)
+@query(f"""WITH t AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN '\\(x_{{' || doc_id || '}}\\)' WHEN 1 THEN '$y$' WHEN 2 THEN '\\[z\\]' WHEN 3 THEN '$$w$$' ELSE '$ open' END || ' end' AS t FROM documents),
+p AS (SELECT doc_id, regexp_extract_all(t, {quoted(T.INLINE)}) AS f, regexp_split_to_array(t, {quoted(T.INLINE)}) AS b FROM t),
+s AS (SELECT doc_id, 2 * i AS k, 'text' AS kind, b[i] AS source FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS i FROM p)
+ UNION ALL SELECT doc_id, 2 * i + 1, CASE WHEN {TRIM(INNER('f[i]'))} = '' THEN 'text' ELSE 'formula' END, f[i] FROM (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM p))
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS k, kind, source FROM s WHERE source <> ''""")
 def formula_segments(spark, sf_dir):
-    """Every document's whole text with a formula after it. The SQL has first lines without marks only."""
+    """Every document's whole text with a formula after it."""
     k = F.col("doc_id") % 5
     formula = F.when(k == 0, F.concat(F.lit("\\(x_{"), F.col("doc_id").cast("string"), F.lit("}\\)"))).when(k == 1, "$y$").when(k == 2, "\\[z\\]").when(k == 3, "$$w$$").otherwise("$ open")
     rows = documents(spark, sf_dir).select("doc_id", F.posexplode(T.formula_segments(F.concat("text", formula, F.lit(" end")))).alias("k", "s"))

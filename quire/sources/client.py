@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import urllib.error
 import urllib.request
 from base64 import b64encode
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
+
+from quire.operators.regions import png
 from quire.operators.streams import deltas
 
 
@@ -83,6 +87,23 @@ class ChatClient:
     def models(self) -> list[str]:
         return sorted(m["id"] for m in self._json("/models", None).get("data", []))
 
+    def probe(self) -> dict:
+        """Whether the service answers: ok, the call's milliseconds, and the beginning of the reply or of the error."""
+        began = time.monotonic()
+        try:
+            reply, ok = replace(self, max_tokens=500, timeout=40.0).chat([{"role": "user", "content": "Answer with one word: ready"}]), True
+        except (ServiceError, OSError) as e:
+            reply, ok = str(e), False
+        return {"ok": ok, "ms": round(1000 * (time.monotonic() - began)), "reply": reply[:40]}
+
+    def sees(self) -> bool:
+        """Whether the model takes images: it is shown one of a single pixel."""
+        try:
+            replace(self, max_tokens=16, timeout=40.0).reader("ok?")(png(np.full((1, 1, 3), 255, np.uint8)))
+            return True
+        except (ServiceError, OSError):
+            return False
+
     def reader(self, prompt: str, media: str = "image/png") -> Callable[[bytes], str]:
         """A function of an image's bytes to what the model reads in it."""
         return Reader(self, prompt, media)

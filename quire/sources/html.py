@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 
 NOISE = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-#: An element and its text up to the first inner tag: what the SQL of the queries says.
-ELEMENT = r"(?is)<(h[1-6]|p|li|figcaption|img|td)\b[^>]*>([^<]*)"
 
 _TAG = re.compile(r"<(/?)([a-z]\w*)\b[^>]*>|<[!?][^>]*>", re.I | re.A)
 _HEADINGS = {f"h{i}" for i in range(1, 7)}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.text import data_url
 
 #: Tags that open a block, its kind and a heading's level.
 TAGS = {"h1": ("heading", 1), "h2": ("heading", 2), "h3": ("heading", 3), "p": ("para", None), "note": ("note", None), "cap": ("caption", None), "math": ("math", None), "ref": ("ref", None)}
@@ -63,9 +64,13 @@ def pick(place: int) -> Column:
     return out
 
 
-def document(found: DataFrame, facts: DataFrame, created: int) -> DataFrame:
-    """doc_id, json: importable documents. Pages are the largest page number."""
-    rows = found.groupBy("doc_id").agg(F.max("page").alias("pages"), F.array_sort(F.collect_list(F.struct(F.col("block_id").alias("id"), "kind", "page", "level", "text", "zh", "x0", "y0", "x1", "y1"))).alias("blocks"))
+def document(found: DataFrame, facts: DataFrame, created: int, crops: DataFrame | None = None) -> DataFrame:
+    """doc_id, json: importable documents. Pages are the largest page number. crops (doc_id, block_id, w, h, image): pictures of blocks, put in as data URLs."""
+    if crops is not None:
+        pictures = crops.select("doc_id", "block_id", "w", "h", data_url(F.lit("image/png"), F.col("image")).alias("img"))
+        found = found.join(pictures, ["doc_id", "block_id"], "left")
+    shown = ["img", "w", "h"] if crops is not None else []
+    rows = found.groupBy("doc_id").agg(F.max("page").alias("pages"), F.array_sort(F.collect_list(F.struct(F.col("block_id").alias("id"), "kind", "page", "level", "text", "zh", "x0", "y0", "x1", "y1", *shown))).alias("blocks"))
     value = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
     named = facts.groupBy("doc_id").agg(value("title-zh").alias("zh_title"), value("title-en").alias("en_title"), value("file").alias("file"))
     all_ = rows.join(named, "doc_id", "left")

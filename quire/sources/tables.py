@@ -7,6 +7,7 @@ removed; in other stores the folder of an ended application may be removed at an
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import uuid
 
@@ -16,9 +17,11 @@ _removed_at_exit: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, /tmp/checkpoints becomes the session's."""
+    """spark.checkpoint.dir; where that is unset and the master is local, /tmp/checkpoints becomes the session's."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")

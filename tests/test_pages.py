@@ -52,7 +52,7 @@ BOUNDS = P.Bounds(96.0, 470.0)
 
 
 def grouped(lines):
-    return [[x.text for x in b.parts] for b in P.chained(lines, lambda b, x: P.follows(b, x, BOUNDS, 1.65))]
+    return [[x.text for x in b.parts] for b in P.blocks_of(lines, BOUNDS, 1.65)]
 
 
 def test_lines_become_blocks():
@@ -92,9 +92,12 @@ def test_claims_prefer_the_block_nearest_to_the_last():
     assert R.claims(blocks, ["alpha beta again", "alpha beta"]) == [2, 2]
 
 
-def test_fallback():
-    at = lambda t, y, x=72: {"text": t, "size": 10.0, "x0": x, "y_top": y, "x1": 300, "y_bot": y + 10}
-    assert [b["text"] for b in R.fallback([at("a-", 0), at("b", 12), at("c", 40), at("d", 52, 200)])] == ["a-b", "c", "d"]
+def test_fallback(spark):
+    at = lambda k, t, y, x=72.0: (1, 0, k, t, 10.04, x, 300.0, y, y + 10)
+    rows = [at(0, "a-", 0.0), at(1, "b", 12.0), at(2, "c", 40.0), at(3, "d", 52.0, 200.0), at(4, "e", 64.0, 180.0), at(5, "f", 76.0, 171.0), at(6, "g", 88.0, 169.9)]
+    found = R.fallback_blocks(spark.createDataFrame(rows, R.LINES.replace("size double, x0 double, x1", "size double, x0 double, x1"))).orderBy("seq").collect()
+    assert [b["text"] for b in found] == ["a-b", "c", "d e f", "g"]  # flush with the paragraph's first line, not with the last
+    assert (found[0]["size"], found[0]["y1"], found[2]["n_lines"]) == (10.0, 22.0, 3)
 
 
 def test_recognise(spark):

@@ -7,12 +7,12 @@ import threading
 import numpy as np
 import pytest
 
-from quire.functions.markup import to_html
+from quire.functions.markup import markdown_html
 from quire.operators import recognised as R
 from quire.operators import regions as G
 from quire.operators.profile import Layout
 from quire.sources import client as C
-from quire.sources import items
+from quire.sources import items, script
 
 LAYOUT = {k: float(v) for k, v in vars(Layout()).items()}
 
@@ -85,8 +85,27 @@ def test_labels_notes_and_images(spark):
     found = R.refined(df, spark.createDataFrame([(1, 12.0)], "doc_id long, body_size double")).orderBy("seq").collect()
     assert [(r["kind"], r["level"]) for r in found] == [("caption", None), ("heading", 1), ("note", None), ("para", None), ("para", None)]
     assert R.without_page_numbers(df).count() == 4
-    rows = R.line_rows([{"str": s, "size": 10.0, "x0": x, "x1": x + 5, "y": y} for s, x, y in (("b", 20.0, 50.0), ("a", 5.0, 51.0), ("c", 5.0, 20.0))])
-    assert [r["text"] for r in rows] == ["c", "ab"]
+    items_ = [(1, 0, k, s, 10.0, x, x + 5, y) for k, (s, x, y) in enumerate((("b", 20.0, 50.0), ("a", 5.0, 51.0), ("c", 5.0, 20.0), (" ", 0.0, 80.0)))]
+    rows = R.page_lines(spark.createDataFrame(items_, "doc_id long, page int, seq int, str string, size double, x0 double, x1 double, y double")).orderBy("seq").collect()
+    assert [r["text"] for r in rows] == ["c", "ab"] and rows[1]["y_top"] == 50 - 8.5
+
+
+def test_crops_and_builds_with_pictures(spark):
+    rng = np.random.default_rng(0)
+    image = rng.integers(0, 256, (396, 306, 3), dtype=np.uint8)
+    assert (G.png_pixels(G.png(image)) == image).all()
+    assert (G.cut_out(image, [20.0, 40.0, 120.0, 100.0], 0.5) == image[20:50, 10:60]).all()
+    edge = G.cut_out(image, [600.0, 780.0, 620.0, 800.0], 0.5)  # beyond the page all is white
+    assert edge.shape == (10, 10, 3) and (edge[6:] == 255).all() and (edge[:, 6:] == 255).all() and (edge[:6, :6] == image[390:, 300:]).all()
+    assert G.cut_out(image, [0.0, 0.0, 600.0, 300.0], 0.5, 100).shape == (50, 100, 3) and G.cut_out(image, [0.0, 0.0, 1.0, 1.0], 0.5).shape == (4, 4, 3)
+    rasters = spark.createDataFrame([(1, 0, 306, 396, bytearray(image.tobytes()))], "doc_id long, page int, w int, h int, rgb binary")
+    boxes = spark.createDataFrame([(1, 0, 5, 20.0, 40.0, 120.4, 100.0), (1, 0, 6, 0.0, 0.0, 10.0, 10.0), (2, 0, 1, 0.0, 0.0, 9.0, 9.0)], "doc_id long, page int, block_id long, x0 double, y0 double, x1 double, y1 double")
+    cut = G.crops(rasters, boxes).orderBy("block_id")
+    rows = cut.collect()
+    assert [(r["block_id"], r["w"], r["h"]) for r in rows] == [(5, 100, 60), (6, 10, 10)] and (G.png_pixels(rows[0]["image"]) == image[20:50, 10:60]).all()
+    found = spark.createDataFrame([(1, 5, "graphic", 1, None, "", None, 20.0, 40.0, 120.4, 100.0), (1, 7, "para", 1, None, "x", None, None, None, None, None)], "doc_id long, block_id long, kind string, page int, level int, text string, zh string, x0 double, y0 double, x1 double, y1 double")
+    made = json.loads(script.document(found, spark.createDataFrame([(1, "file", "f.pdf")], "doc_id long, key string, value string"), 7, cut).first()["json"])
+    assert made["blocks"][0]["img"].startswith("data:image/png;base64,") and made["blocks"][0]["w"] == 100 and "img" not in made["blocks"][1]
 
 
 def test_page_census(spark):
@@ -96,10 +115,14 @@ def test_page_census(spark):
     assert [(r["texts"], r["drawings"], r["images"], r["likely_figures"]) for r in rows] == [(2, 0, 0, False), (1, 41, 0, True)]
 
 
-def test_markdown():
+def test_markdown(spark):
     text = "# T & U\n- a **b**\n- `cd`\n1. one\n\np *e* $x_*y*$ and\n$$z$$\n$5 open"
+    to_html = lambda t: spark.createDataFrame([(t,)], "t string").select(markdown_html("t")).first()[0]
     assert to_html(text) == "<h3>T &amp; U</h3><ul><li>a <strong>b</strong></li><li><code>cd</code></li></ul><ol><li>one</li></ol><p>p <em>e</em> $x_*y*$ and</p><p>$$z$$</p><p>$5 open</p>"
-    assert to_html("") == ""
+    assert to_html("") == "" and to_html(None) is None and to_html("\ue000 \ue001 $a<b$ \ue000\ue001") == "<p>\ue000 \ue001 $a&lt;b$ \ue000\ue001</p>"
+    assert to_html("- a\n\n- b\n2) c") == "<ul><li>a</li></ul><ul><li>b</li></ul><ol><li>c</li></ol>"
+    assert to_html("p\n  + x `y *z*` **b *c* d**\n#### H\n##### five") == "<p>p</p><ul><li>x <code>y <em>z</em></code> **b <em>c</em> d**</li></ul><h3>H</h3><p>##### five</p>"
+    assert to_html("\\(a\nb\\) \\[c\\] $$d\n\ne$$") == "<p>$a\nb$ $$c$$ $$d\n\ne$$</p>"
 
 
 def test_client_against_a_server():
@@ -137,12 +160,14 @@ def test_client_against_a_server():
         c = C.ChatClient(f"http://127.0.0.1:{server.server_port}/v1/chat/completions", "k", "m")
         assert c("sys", "hello") == "yes" and c.models() == ["a", "b"] and "".join(c.stream([{"role": "user", "content": "x"}])) == "abc"
         assert c.reader("read")(b"png") == "yes" and seen[-1]["messages"][0]["content"][1]["image_url"]["url"].startswith("data:image/png;base64,")
+        assert c.probe()["ok"] and c.probe()["reply"] == "yes" and c.sees() and seen[-1]["max_tokens"] == 16
         with pytest.raises(C.ServiceError, match="web page"):
             c("s", "html")
         with pytest.raises(C.ServiceError, match="401: no key"):
             c("s", "fail")
     finally:
         server.shutdown()
+    assert not c.probe()["ok"] and not c.sees()  # nothing answers any more
     with pytest.raises(C.ServiceError):
         C.address("ftp://x")
     assert C.engine("auto", True) == "model" and C.engine("auto", False) == C.engine("local", True) == "local"
