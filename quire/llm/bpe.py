@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -134,7 +135,7 @@ class Codec:
         return b"".join(map(self.token.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def codec_of(shared) -> Codec:
@@ -146,11 +147,11 @@ def codec_of(shared) -> Codec:
 
 
 class _Shared:
-    """A broadcast and an id that workers know it by."""
+    """A broadcast and the digest of its contents, by which workers know it."""
 
     def __init__(self, spark, value):
         self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = id(value)
+        self.id = hashlib.sha256(pickle.dumps(value)).hexdigest()
 
     @property
     def value(self):

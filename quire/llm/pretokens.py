@@ -1,13 +1,15 @@
 """Splitting texts into the pre-tokens of a byte-level BPE, and remembering their ids.
 
 The BPE of a text is the concatenation of the BPEs of its pre-tokens, so each worker encodes a distinct
-pre-token once and looks it up from then on. The memory is bounded: it is emptied at MEMO entries.
+pre-token once and looks it up from then on. The memory is bounded by two generations of MEMO pre-tokens: one that is
+met moves to the young generation; when that is full it becomes the old one, and what was left in the old one is forgotten.
+A long text is split stretch by stretch, cut before a blank that starts a pre-token whatever stands before it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import regex
@@ -23,8 +25,11 @@ LATIN = re.compile(
     r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+|" + SUFFIX + "|"
     r" ?[^\t-\r \x85\xa0A-Za-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
 )
-#: Distinct pre-tokens that a worker remembers, before it forgets those that it has met once, and all but the half most met.
+BREAK = re.compile(rf" (?![{SPACE}])")
+#: Distinct pre-tokens in a generation of a worker's memory.
 MEMO = 200_000
+#: Characters split at once.
+STRETCH = 1 << 18
 
 
 def split(text: str) -> list[str]:
@@ -37,17 +42,33 @@ def split(text: str) -> list[str]:
     return LATIN.findall(text)
 
 
-class _Places(dict):
-    """Pre-token to place; one that isn't there gets the next place and is noted as new."""
+def stretches(text: str) -> Iterator[str]:
+    """The text in parts whose pre-tokens are those of the text. A blank before anything but white space always begins one."""
+    at = 0
+    while len(text) - at > STRETCH and (cut := BREAK.search(text, at + STRETCH)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        place = self[word] = len(self)
-        self.new.append(word)
-        return place
+#: Stands for the ids of a pre-token that must still be encoded; no pre-token has none.
+HOLE = b""
+
+
+class _Young(dict):
+    """Pre-tokens to the bytes of their ids; one that is in the old generation moves here, any other is noted as missed."""
+
+    def __init__(self, fixed: dict[str, bytes], old: dict[str, bytes]):
+        super().__init__(fixed)
+        self.old, self.missed = old, []
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            self.missed.append(word)
+            return HOLE
+        self[word] = ids
+        return ids
 
 
 class Memo:
@@ -57,71 +78,47 @@ class Memo:
     """
 
     def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int]):
-        self.encode_new, self.special = encode_new, special
+        self.encode_new = encode_new
+        self.special = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.clear()
-
-    def clear(self) -> None:
-        self.places = _Places()
-        self.flat, self.start, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.met = np.zeros(1 << 16, np.int64)
-        self.used = 0
-        self.add([*self.special], np.array([*self.special.values()], "<u4"), np.ones(len(self.special), np.int64))
-
-    def shrink(self) -> None:
-        words, met = list(self.places), self.met[: len(self.places)]
-        kept = np.flatnonzero(met > 1)
-        kept = np.sort(kept[np.argsort(-met[kept], kind="stable")[: MEMO // 2]])
-        kept = kept[kept >= len(self.special)]  # these come first, and are always there
-        size = self.size[kept]
-        ids = self.flat[np.arange(size.sum()) + np.repeat(self.start[kept] - (np.cumsum(size) - size), size)]
-        self.clear()
-        self.add([words[k] for k in kept], ids, size)
-
-    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        for w in words:
-            self.places[w]
-        first, last, end = len(self.places) - len(words), len(self.places), self.used + len(ids)
-        self.flat = _room(self.flat, end)
-        self.start, self.size = _room(self.start, last), _room(self.size, last)
-        self.flat[self.used : end] = ids
-        self.size[first:last] = sizes
-        self.start[first:last] = self.used + np.cumsum(sizes) - sizes
-        self.used = end
-        self.places.new = []
-
-    def pieces(self, text: str) -> list[str]:
+        self.young = _Young(self.special, {})
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
         """Pre-tokens, special tokens' strings kept whole."""
         if self.cut is None or not any(s in text for s in self.special):
-            return split(text)
-        out: list[str] = []
+            yield from map(split, stretches(text))
+            return
         for k, part in enumerate(self.cut.split(text)):
-            out += [part] if k % 2 else split(part)
-        return out
+            yield from [[part]] if k % 2 else map(split, stretches(part))
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and the number of each one's ids; end stands after each text."""
-        if len(self.places) > MEMO:
-            self.shrink()
-        place = self.places.__getitem__
-        words = [np.fromiter(map(place, w), np.int64, len(w)) for w in map(self.pieces, texts)]
-        if self.places.new:
-            self.add(new := self.places.new, *self.encode_new(new))
-        flat = np.concatenate([np.zeros(0, np.int64), *words])
-        self.met = _room(self.met, len(self.places))
-        self.met[: len(self.places)] += np.bincount(flat, minlength=len(self.places))
-        size = self.size[flat]
-        ends = np.cumsum(size)
-        ids = self.flat[np.arange(len(flat) and ends[-1]) + np.repeat(self.start[flat] - (ends - size), size)]
-        counts = np.diff(np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])])
-        if end is None:
-            return ids, counts
-        return np.insert(ids, np.cumsum(counts), np.uint32(end)), counts + 1
-
-
-def _room(a: np.ndarray, n: int) -> np.ndarray:
-    if n <= len(a):
-        return a
-    out = np.zeros(max(n, 2 * len(a)), a.dtype)
-    out[: len(a)] = a
-    return out
+        if len(self.young) > MEMO + len(self.special):
+            self.young = _Young(self.special, dict(self.young))
+        young, place = self.young, self.young.__getitem__
+        rows: list[list[bytes]] = []
+        holes: list[tuple[list[bytes], int, str]] = []
+        for text in texts:
+            row: list[bytes] = []
+            for words in self.pieces(text):
+                at = len(row)
+                row += map(place, words)
+                for word in young.missed:  # in the order in which they stand
+                    at = row.index(HOLE, at)
+                    holes.append((row, at, word))
+                    at += 1
+                young.missed.clear()
+            rows.append(row)
+        if holes:
+            new = list(dict.fromkeys(word for _, _, word in holes))
+            ids, sizes = self.encode_new(new)
+            raw, ends = ids.astype("<u4", copy=False).tobytes(), (4 * np.cumsum(sizes)).tolist()
+            young.update((word, raw[a:b]) for word, a, b in zip(new, [0, *ends], ends, strict=False))
+            for row, at, word in holes:
+                row[at] = young[word]
+        if end is not None:
+            last = np.array([end], "<u4").tobytes()
+            for row in rows:
+                row.append(last)
+        parts = [b"".join(row) for row in rows]
+        return np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) // 4 for x in parts], np.int64)

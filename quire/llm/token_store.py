@@ -1,8 +1,9 @@
 """Token ids in Parquet list columns, in document order, with selective reads.
 
 Documents are dealt by ranges of doc_id and sorted; each range becomes one file. Ids are dictionary-coded,
-documents' ids and offsets delta-coded; row groups are bounded by their tokens, pages are small, and column
-and offset indexes let a reader fetch the metadata alone, or a few documents' tokens. A file's offsets start
+documents' ids and offsets delta-coded; row groups are bounded by their tokens, pages are small, and files have column
+and offset indexes. metadata() reads no token's column; documents() goes by Spark's reader, which leaves out the files that
+the manifest excludes, row groups by their statistics and pages by the column index. A file's offsets start
 at 0; the manifest says how many tokens stand before each file, and which documents it holds.
 
 Tasks write through pyarrow's file systems under names of their own attempts; the manifest lists the
@@ -18,6 +19,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 import zlib
@@ -47,10 +49,10 @@ FORMAT = {
 }
 JOINED = re.compile(rf" [^{SPACE}]+")
 
-_memos: dict[int, Memo] = {}
+_memos: dict[str, Memo] = {}
 
 
-def _memo(key: int, spec: str) -> Memo:
+def _memo(key: str, spec: str) -> Memo:
     """The worker's tokenizer and its memory, kept from batch to batch."""
     if key not in _memos:
         from tokenizers import Tokenizer
@@ -94,13 +96,17 @@ def _bulk(tokenizer):
     return encode
 
 
+def _key(spec: str) -> str:
+    return hashlib.sha256(spec.encode()).hexdigest()
+
+
 def write(docs: DataFrame, tokenizer_path: str, path: str, end: int = END) -> None:
     """Encode docs and write the store's files to path/data and the manifest to path/manifest."""
     spark = docs.sparkSession
     tune(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # the vocabulary's file, whatever the corpus
-    key = hash(shared.value)
+    key = _key(shared.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -172,19 +178,18 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
     return read(spark, path, schema="doc_id long, start long, n_tokens long", columns=("doc_id", "start", "n_tokens"))
 
 
-def documents(spark: SparkSession, path: str, ids: list[int]) -> list[tuple[int, np.ndarray]]:
-    """A few documents' tokens, read by the driver from the row groups whose statistics allow for them."""
-    out = []
-    for f in spark.read.parquet(f"{path}/manifest").filter(F.col("last") >= min(ids)).filter(F.col("first") <= max(ids)).orderBy("part").collect():
-        with open_shared(f["path"], "random") as raw:
-            file = pq.ParquetFile(raw)
-            for g in range(file.num_row_groups):
-                told = file.metadata.row_group(g).column(0).statistics
-                if told is None or not told.has_min_max or any(told.min <= i <= told.max for i in ids):
-                    t = file.read_row_group(g, columns=["doc_id", "ids"])
-                    t = t.filter(pc.is_in(t["doc_id"], pa.array(ids, pa.int64())))
-                    out += [(d.as_py(), np.asarray(x.values)) for d, x in zip(t["doc_id"], t["ids"], strict=True)]
-    return out
+def documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """doc_id, start, n_tokens, ids of a few documents: of the pages that may hold them, no other is read."""
+    wanted = [int(i) for i in ids]
+    empty = spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids array<int>")
+    if not wanted:
+        return empty
+    files = spark.read.parquet(f"{path}/manifest").filter(F.col("last") >= min(wanted)).filter(F.col("first") <= max(wanted)).select("path", "before").collect()  # a row for each file in reach
+    if not files:
+        return empty
+    before = spark.createDataFrame([(r["path"].rpartition("/")[2], r["before"]) for r in files], "_file string, _before long")
+    found = spark.read.schema(empty.schema).parquet(*[r["path"] for r in files]).filter(F.col("doc_id").isin(wanted)).withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return found.join(F.broadcast(before), "_file").select("doc_id", (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids")
 
 
 def _crc(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -31,7 +31,7 @@ def codec():
 
 def memo():
     with open(PATH, encoding="utf-8") as f:
-        return token_store._memo(1, f.read())
+        return token_store._memo("a", f.read())
 
 
 def test_ids_are_the_librarys(library, codec):
@@ -80,8 +80,10 @@ def test_store(spark, odd, none, library, tmp_path):
     want = sorted((r["doc_id"] or -1, tuple([*library.encode(r["text"] or "", add_special_tokens=False).ids, 2])) for r in odd.collect())
     assert sorted((r["doc_id"] or -1, tuple(r["ids"])) for r in rows) == want
     assert token_store.metadata(spark, f"{tmp_path}/s").columns == ["doc_id", "start", "n_tokens"]
-    some = dict(token_store.documents(spark, f"{tmp_path}/s", [7, 9]))
-    assert some[9].tolist() == next(r["ids"] for r in rows if r["doc_id"] == 9) and set(some) == {7, 9}
+    some = token_store.documents(spark, f"{tmp_path}/s", [7, 9, 12345])
+    assert sorted(some.collect()) == sorted(r for r in rows if r["doc_id"] in (7, 9))
+    assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString()
+    assert token_store.documents(spark, f"{tmp_path}/s", []).count() == token_store.documents(spark, f"{tmp_path}/s", [99999]).count() == 0
     crc = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in token_store.read(spark, f"{tmp_path}/s", token_store._crc, "doc_id long, start long, n_tokens long, ids_crc32 long").collect()}
     assert all(crc[r["doc_id"], r["start"]] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in rows)
     assert token_store.digest(none, PATH).count() == 0
@@ -165,6 +167,15 @@ def test_a_full_memory_keeps_what_is_met_often(codec, library, monkeypatch):
     for k in range(8):
         texts = [f"the same words {k} and <|endoftext|> new{i + 100 * k}" for i in range(30)]
         assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    own.memo.shrink()
-    assert " the" in own.memo.places or "the" in own.memo.places
-    assert len(own.memo.places) <= 50 // 2 + 1
+        assert len(own.memo.young) <= 50 + 1 + 60 and len(own.memo.young.old) <= 50 + 1 + 60  # a generation and a batch's new ones
+    assert " words" in own.memo.young and " new1" not in own.memo.young | own.memo.young.old
+
+
+def test_long_texts_are_split_in_stretches(codec, library, monkeypatch):
+    from quire.llm import pretokens
+
+    text = "Some words,  and  \n more\n\n x 's it's \t  \u3000 a  b\xa0 c 12 3.4 ünï 文字文字 end " * 60
+    monkeypatch.setattr(pretokens, "STRETCH", 7)
+    assert "".join(pretokens.stretches(text)) == text and len(list(pretokens.stretches(text))) > 100
+    assert codec.encode([text, text[5:]])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert [w for s in pretokens.stretches(text) for w in pretokens.split(s)] == pretokens.split(text)
