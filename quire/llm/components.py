@@ -18,18 +18,28 @@ def unfinished(edges: DataFrame) -> bool:
     return bool(ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").take(1))
 
 
+def least_of(neighbours: DataFrame, files: int) -> DataFrame:
+    """a, m: the least b of each a, as a table."""
+    return settle(neighbours.groupBy("a").agg(F.min("b").alias("m")).coalesce(files), "least")
+
+
 def large_star(edges: DataFrame, files: int) -> DataFrame:
-    """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
+    """Every larger neighbour of a node is tied to the least of the node and its neighbours. A table."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(files), "least")
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = least_of(both, files)
+    tied = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
+    out = settle(tied.coalesce(files), "edges")
+    forget(least)
+    return out
 
 
 def small_star(edges: DataFrame, files: int) -> DataFrame:
-    """Every smaller neighbour of a node, and the node itself, is tied to the least of them."""
-    least = settle(edges.groupBy("a").agg(F.min("b").alias("m")).coalesce(files), "least")
+    """Every smaller neighbour of a node, and the node itself, is tied to the least of them. A table."""
+    least = least_of(edges, files)
     tied = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-    return tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    out = settle(tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(files), "edges")
+    forget(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,8 +52,9 @@ def components(edges: DataFrame) -> DataFrame:
     partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while unfinished(edges):
         files = min(partitions, 1 + 2 * edges.count() // EACH)
-        after = settle(large_star(edges, files).coalesce(files), "edges")
-        after = settle(small_star(after, files).coalesce(files), "edges")
+        large = large_star(edges, files)
+        small = small_star(large, files)
         forget(edges)
-        edges = after
+        forget(large)
+        edges = small
     return edges.select("a", F.col("b").alias("root"))

@@ -10,8 +10,8 @@ goes into a further round among its like.
 Defined results
 ---------------
 * A null text counts as empty; all empty texts are equal.
-* A document is a pair (doc_id, text): rows repeating both are one document and give one row.
-  Rows that share a doc_id but differ in text are different documents.
+* Every row counts and gives a row. Rows repeating doc_id and text are compared once; if theirs is the document that stays
+  they are all marked so, and kept_rows() keeps one of them. Rows that share a doc_id but differ in text are different documents.
 * A null doc_id is less than any other. An empty table gives an empty result.
 * Only the columns doc_id and text are read; others may have any name.
 """
@@ -109,24 +109,25 @@ def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
 
 
 def _assign(rows: DataFrame) -> DataFrame:
-    """rows with keep_id, keep_uid (of the largest document of equal length and fingerprint) and group_size.
+    """rows with keep_id, keep_uid (of the largest document of equal length and fingerprint), group_size (rows) and members (documents).
 
     Both sides of the join come from plain exchanges, so that adaptive execution may split a hot group.
     """
-    groups = rows.groupBy(*KEY).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "uid")).alias("keep")).filter("group_size > 1")
-    groups = settle(groups.select(*KEY, "group_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid")), "groups")
+    groups = rows.groupBy(*KEY).agg(F.sum("copies").alias("group_size"), F.count("*").alias("members"), F.max(F.struct("doc_id", "uid")).alias("keep")).filter("members > 1")
+    groups = settle(groups.select(*KEY, "group_size", "members", F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid")), "groups")
     found = rows.join(groups, KEY, "left")
     alone = F.col("group_size").isNull()
     return found.select(
         *rows.columns,
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.when(alone, F.col("uid")).otherwise(F.col("keep_uid")).alias("keep_uid"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("group_size", "copies").cast("long").alias("group_size"),
+        F.coalesce("members", F.lit(1)).cast("long").alias("members"),
     )
 
 
 def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by group, salt and chunk, the representative's chunk first; holds one chunk at a time."""
+    """Rows arrive sorted by group, salt and chunk, the representative's chunk first; holds one chunk at a time. Chunks of one text may be in different tasks."""
     at, ref = None, b""
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in (*KEY, "salt", "k")), strict=True))
@@ -142,9 +143,9 @@ def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(assigned: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, uid of the documents whose text is not that of their representative."""
     ids = docs.schema["doc_id"].dataType.simpleString()
-    salts = F.ceil(F.col("group_size") / SALTED).cast("int")
+    salts = F.ceil(F.col("members") / SALTED).cast("int")
     is_keep = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("uid") == F.col("keep_uid"))
-    wanted = assigned.filter("group_size > 1").select(
+    wanted = assigned.filter("members > 1").select(
         "doc_id", "uid", *KEY, (~is_keep).alias("member"),
         F.explode(F.when(is_keep, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), salts).cast("int")))).alias("salt"),
     )
@@ -153,12 +154,12 @@ def _verify(assigned: DataFrame, docs: DataFrame) -> DataFrame:
         *KEY, "salt", "member", "doc_id", "uid",
         F.posexplode(F.expr(f"transform(sequence(0L, greatest(n_bytes - 1, 0L) div {CHUNK}), i -> substring(cast(text as binary), cast(i * {CHUNK} + 1 as int), {CHUNK}))")).alias("k", "chunk"),
     )
-    place = [*KEY, "salt"]
-    return chunks.repartition(*place).sortWithinPartitions(*place, "k", "member").mapInArrow(_differing, f"doc_id {ids}, uid long").distinct()
+    place = [*KEY, "salt", "k"]
+    return chunks.repartition(*place).sortWithinPartitions(*place, "member").mapInArrow(_differing, f"doc_id {ids}, uid long").distinct()
 
 
 def duplicates(docs: DataFrame, huge: int = HUGE) -> DataFrame:
-    """One row per document: doc_id, uid, text_sha256, n_bytes, fp1, fp2, copies (rows repeating it), keep_id, keep_uid, group_size."""
+    """One row per document: doc_id, uid, text_sha256, n_bytes, fp1, fp2, copies (rows repeating it), keep_id, keep_uid, group_size, members."""
     rows = fingerprints(docs, huge)
     rows = settle(rows.groupBy("doc_id", "uid", *KEY, "text_sha256").agg(F.count("*").alias("copies")), "fingerprints")
     done: DataFrame | None = None
@@ -188,9 +189,12 @@ def kept_rows(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns: doc_id, keep_id, group_size, kept, text_sha256."""
+    """The contract's columns, a row for each row: doc_id, keep_id, group_size, kept, text_sha256."""
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("uid") == F.col("keep_uid"))
-    return duplicates(docs).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    many = 1_000_000  # rows made from one at once
+    rows = duplicates(docs).withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / many))))
+    rows = rows.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(many).cast("long"), F.col("copies") - F.col("_turn") * many))))
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 ORACLE = """

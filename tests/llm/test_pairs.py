@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quire.llm import components, exact_dedup, near_dedup, shingles
 
@@ -121,7 +122,7 @@ def test_a_hash_is_the_sum_of_shifted_chunk_hashes():
 def test_exact_groups(spark, odd, none, huge):
     rows = [r for r in exact_dedup.duplicates(odd, huge).collect()]
     assert len(rows) == 15
-    same = [r for r in rows if r["group_size"] == 3 and r["n_bytes"]]
+    same = [r for r in rows if r["group_size"] == 4 and r["members"] == 3 and r["n_bytes"]]  # one of the three stands twice
     assert {r["doc_id"] for r in same} == {1, 2, None} and {r["keep_id"] for r in same} == {2}
     assert {r["keep_id"] for r in rows if r["doc_id"] in (4, 5)} == {5}  # a null text is an empty one
     assert [r["group_size"] for r in rows if r["doc_id"] in (3, 7, 8, 9, 10)] == [1] * 5
@@ -139,8 +140,6 @@ def test_collided_fingerprints_are_told_apart(spark, monkeypatch):
     """All texts of a length collide: rounds of comparison must still find the classes."""
     docs = spark.createDataFrame([(i, f"text{i % 3}") for i in range(30)], "doc_id long, text string")
     real = exact_dedup.fingerprints
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(exact_dedup, "fingerprints", lambda d, huge: real(d, huge).withColumns({"fp1": F.lit(1).cast("long"), "fp2": F.lit(1).cast("long")}))
     rows = exact_dedup.duplicates(docs).collect()
     assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows} == {i: (27 + i % 3, 10) for i in range(30)}
@@ -194,3 +193,26 @@ def test_the_least_similarity_of_links_is_a_parameter(spark):
     x, y, z = (shingle_set(" ".join(t)) for t in (a, b, c))
     assert 0.80 <= len(x & z) / len(x | z) < 0.85 and len(x & y) / len(x | y) < 0.80
     assert roots(near_dedup.LINK) == {1: 1, 2: 2, 3: 3} and roots(near_dedup.NEAR) == {1: 1, 2: 2, 3: 1}
+
+
+def test_exact_digest_is_its_sql(spark, odd):
+    """Repeated rows count, as in the SQL; so do those that nothing else equals."""
+    import duckdb
+
+    df = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(50, "alone"), (50, "alone"), (51, None), (51, "")], "doc_id long, text string"))
+    documents = df.filter("doc_id is not null").toPandas()  # noqa: F841, read by DuckDB
+    want = duckdb.sql(exact_dedup.ORACLE).fetchall()
+    got = [tuple(r) for r in exact_dedup.digest(df.filter("doc_id is not null")).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 18
+
+
+def test_copies_of_huge_texts_meet_chunk_by_chunk(spark, monkeypatch):
+    """Texts of many chunks that differ in one of them, with colliding fingerprints, are told apart."""
+    body = "".join(f"{i:07d} " for i in range(40_000))
+    other = body[:200_000] + "x" + body[200_001:]
+    assert len(body) > 4 * exact_dedup.CHUNK and len(body) == len(other)
+    docs = spark.createDataFrame([(i, other if i in (2, 4) else body) for i in range(6)], "doc_id long, text string")
+    real = exact_dedup.fingerprints
+    monkeypatch.setattr(exact_dedup, "fingerprints", lambda d, huge: real(d, huge).withColumns({"fp1": F.lit(1).cast("long"), "fp2": F.lit(1).cast("long")}))
+    rows = exact_dedup.duplicates(docs, 1000).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows} == {i: (4, 2) if i in (2, 4) else (5, 4) for i in range(6)}
