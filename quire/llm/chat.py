@@ -15,6 +15,7 @@ long conversation is written in pieces (piece 0, 1, ...) of at least PIECE chara
 
 Defined results
 ---------------
+* The query writes the formatted conversations to the shared folder and reads them back file by file, in order.
 * Rows are ordered by turn, null turns last, ties by role and text; repeated rows are turns of their own.
 * A null role or text is empty. Null conv_ids are one conversation. An empty table gives no conversation.
 * Only conv_id, turn, role and text are read; others may have any name.
@@ -28,11 +29,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import StructType
 
-from quire.llm.common import tune
+from quire.llm.common import open_shared, settle, tune
 
 #: Strings that have a meaning in the output: before a role, after it, after a turn.
 CONTROL = ("### ", ":\n", "</turn>")
@@ -542,8 +545,29 @@ def turns_of(text: str) -> Iterator[tuple[str, str]]:
         at = end + len("</turn>\n")
 
 
+def store(formatted: DataFrame) -> DataFrame:
+    """path: the files that render()'s output is written to, in the shared folder; a conversation is in one of them, in order."""
+    spark = formatted.sparkSession
+    files = [(f,) for f in settle(formatted, "formatted").inputFiles()]  # a name for each task that wrote
+    return spark.createDataFrame(files, "path string").repartition(max(1, len(files)))
+
+
+def stored(files: DataFrame, schema: StructType) -> DataFrame:
+    """The rows of files that store() has written, file by file in the order in which they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                with open_shared(path, "random") as f:
+                    for rows in pq.ParquetFile(f, buffer_size=1 << 20).iter_batches(16):
+                        yield pa.RecordBatch.from_arrays([rows.column(c.name).cast(c.type) for c in arrow], schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    return files.mapInArrow(run, schema)
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """What the pieces hold, as digests for each conversation. formatted comes straight from render(), or sorted by conv_id and piece within its partitions."""
+    """What the pieces hold, as digests for each conversation. formatted is sorted by conv_id and piece within its partitions, as render() and stored() give it."""
     kind = formatted.schema["conv_id"].dataType
     schema = pa.schema([("conv_id", to_arrow_type(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
@@ -575,4 +599,5 @@ def digest(conversations: DataFrame) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = conversations.select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return read_back(render(rows.unionByName(extra)))
+    formatted = render(rows.unionByName(extra))
+    return read_back(stored(store(formatted), formatted.schema))
