@@ -20,27 +20,47 @@ SF = "/root/testdata/sf0.001"
 
 def brute(rows, k):
     out = []
-    for q, a in rows:
+    for n, (q, a) in enumerate(rows):
         if q % 100:
             continue
-        scores = sorted(((-int(np.dot(a, b)), i) for i, b in rows if i != q and len(a) == len(b)))
+        scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for m, (i, b) in enumerate(rows) if m != n and len(a) == len(b))
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [topk.QUERY_BLOCK, 2])
-def test_search_is_exact(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+def whole(v):
+    return [int(np.floor(x * 1024)) for x in v]
+
+
+@pytest.mark.parametrize("lane", [topk.LANE, 3000])
+def test_search_is_exact(spark, monkeypatch, lane):
+    monkeypatch.setattr(topk, "LANE", lane)
+    monkeypatch.setattr(topk, "BOUNDED", 500)
     rng = np.random.default_rng(3)
     vectors = [(int(i), rng.normal(size=20).tolist()) for i in range(0, 1500, 5)]
     vectors += [(5001 + i, vectors[0][1]) for i in range(40)] + [(6000, vectors[0][1]), (7000, [1.0, 2.0]), (7001, [3.0, 1.0]), (7100, [])]
-    odd = [(8000, None), (8001, [1.0, None]), (8002, [float("nan"), 1.0]), (8003, [float("inf")]), (None, [1.0] * 20), (vectors[3][0], vectors[3][1])]
-    df = spark.createDataFrame([(i, v, 0, 0) for i, v in vectors + odd], "vec_id long, embedding array<double>, score long, lane int").repartition(5)
+    vectors += [(300, vectors[7][1]), (300, vectors[60][1]), (vectors[3][0], vectors[3][1])]  # repeated ids: queries and candidates of their own
+    vectors += [(int(i), (rng.normal(size=20) * 4e5).tolist()) for i in range(9000, 9300, 20)]
+    odd = [(8000, None), (8001, [1.0, None]), (8002, [float("nan"), 1.0]), (8003, [float("inf")]), (None, [1.0] * 20)]
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in vectors + odd], "vec_id long, embedding array<double>, score long, row int").repartition(5)
     got = sorted(tuple(r) for r in topk.digest(df).collect())
-    assert got == brute([(i, np.floor(np.array(v) * 1024).astype(np.int64)) for i, v in vectors], 10)
+    assert got == brute([(i, whole(v)) for i, v in vectors], 10)
     assert topk.digest(df.limit(0)).count() == 0
 
 
+def test_large_components_are_scored_exactly_or_not_at_all(spark):
+    """Sums that leave the longs on the way, components that are no longs themselves, and scores that are none."""
+    rows = [(0, [3e6, -3e6, 1.0]), (1, [3e6, 3e6, 2.0]), (2, [2e6, 2e6 - 1, 0.0]), (100, [0.0, 0.0, 5.0]), (3, [4e18, -4e18, 1.0]), (4, [1e17, 0.5, 1.0])]
+    make = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    some = [r for r in rows if r[0] != 3]
+    safe = [r for r in some if r[0] != 4]
+    assert sorted(tuple(r) for r in topk.digest(make(safe)).collect()) == brute([(i, whole(v)) for i, v in safe], 10)
+    wide = [r for r in rows if r[0] not in (0, 1, 2)]  # 100 meets components beyond the longs, with zeros
+    assert sorted(tuple(r) for r in topk.digest(make(wide)).collect()) == brute([(i, whole(v)) for i, v in wide], 10)
+    with pytest.raises(Exception, match="is no long"):
+        topk.digest(make(some)).collect()
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     q, x = rng.normal(size=(30, 64)) * 100, rng.normal(size=(50, 64)) * 100
@@ -74,6 +94,8 @@ def test_warc_round_trip(spark, pages, tmp_path):
     nine = next(r for r in rows if r["page_id"] == 9)
     assert nine["payload_bytes"] == 600_000 and nine["payload_digest"] == hashlib.sha256(("é" * 300_000).encode()).hexdigest()
     assert next(r for r in rows if r["page_id"] == 2)["url"] == "http://b%0D%0AX: y"
+    ids = [r["id"] for r in warc.index(members).collect()]
+    assert len(set(ids)) == len(ids) == 10  # rows that repeat a page and its payload too
     for path in [r["path"] for r in members.collect()]:
         raw = open(path, "rb").read()
         entries = [eval(x) for x in open(path + ".idx").read().replace("null", "None").splitlines()]
@@ -242,6 +264,96 @@ def test_gradients():
             assert abs((up - down) / 2e-3 - g[k][i]) < 2e-3 * max(0.1, abs(g[k][i])) + 1e-4
 
 
+def slow_gru(rows, u, backward):
+    """States of a gated recurrent layer over projected inputs, by loops."""
+    size = u.shape[0]
+    h, out = [0.0] * size, [None] * len(rows)
+    for t in reversed(range(len(rows))) if backward else range(len(rows)):
+        x, hu = rows[t], [sum(h[i] * u[i, j] for i in range(size)) for j in range(3 * size)]
+        z = [1 / (1 + np.exp(-(x[j] + hu[j]))) for j in range(size)]
+        r = [1 / (1 + np.exp(-(x[size + j] + hu[size + j]))) for j in range(size)]
+        c = [np.tanh(x[2 * size + j] + r[j] * hu[2 * size + j]) for j in range(size)]
+        h = out[t] = [c[j] + z[j] * (h[j] - c[j]) for j in range(size)]
+    return out
+
+
+def slow_toxicity(text, net):
+    """A text's score: its words one by one, every window by itself."""
+    t, inputs = net.theta, {}
+
+    def read(word):
+        if word not in inputs:
+            letters = [t["chars"][ord(c) if ord(c) < 384 else 384 + ord(c) % (toxicity.CHARACTERS - 384)] for c in word]
+            f = slow_gru([x @ t["cwf"] + t["cbf"] for x in letters], t["cuf"], False)[-1]
+            b = slow_gru([x @ t["cwb"] + t["cbb"] for x in letters], t["cub"], True)[0]
+            inputs[word] = np.concatenate([t["words"][net.known.get(word, 0)], f, b])
+        return inputs[word]
+
+    words = []
+    for raw in text.split():
+        w = raw.strip(toxicity.STRIP).lower()
+        words += [w[i : i + toxicity.LETTERS] for i in range(0, len(w), toxicity.LETTERS)]
+    starts = [0] if len(words) <= toxicity.WINDOW else [*range(0, len(words) - toxicity.WINDOW, toxicity.STRIDE), len(words) - toxicity.WINDOW]
+    found = []
+    for s in starts:
+        v = [read(w) for w in words[s : s + toxicity.WINDOW]]
+        if not v:
+            found.append(t["bias"][0])
+            continue
+        f, b = slow_gru([x @ t["wwf"] + t["wbf"] for x in v], t["wuf"], False), slow_gru([x @ t["wwb"] + t["wbb"] for x in v], t["wub"], True)
+        states = [np.concatenate([x, y]) for x, y in zip(f, b, strict=True)]
+        note = [float(h @ t["attend"][:, 0]) for h in states]
+        weight = [np.exp(n - max(note)) for n in note]
+        found.append(sum(w * float(h @ t["out"][:, 0]) for w, h in zip(weight, states, strict=True)) / sum(weight) + t["bias"][0])
+    return 1 / (1 + np.exp(-max(found)))
+
+
+def test_toxicity_is_that_of_loops_over_words(spark, odd, odd_labels):
+    """The query's scores of a table's shorter documents and of odd texts, against loops."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").filter(F.length("text") < 1500), spark.read.parquet(f"{SF}/labels.parquet")
+    net = toxicity.learn(labelled.sample(docs, labels, "toxic", toxicity.SAMPLE, toxicity.POSITIVE))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = toxicity.digest(docs, labels).collect()
+    some = sorted(rows, key=lambda r: r["doc_id"])[:25]
+    assert len(rows) == len(texts) and all(abs(r["score"] - slow_toxicity(texts[r["doc_id"]], net)) < 1e-3 for r in some)
+    strange = ["", "... !!", "x" * 100, "Word! (b) " + "\u00dc\u6587 " * 70, "a\u00a0b"]
+    assert np.allclose(toxicity.Scorer(net).score(strange), [slow_toxicity(t, net) for t in strange], atol=1e-3)
+
+
+def test_a_scorers_memory_is_bounded(monkeypatch):
+    """Forms that are all marks, long words and forms of one word count too; scores stay what they were."""
+    monkeypatch.setattr(toxicity, "MEMO", 100)
+    net = toxicity.Network.new(0.5, {"b": 1})
+    scorer, fresh = toxicity.Scorer(net), lambda t: toxicity.Scorer(net).score(t)
+    for make in (lambda i: "#" * (i + 1), lambda i: "-" * i + "word", lambda i: f"{i:05d}" * 10):
+        for k in range(12):
+            texts = [make(30 * k + i) + " and b" for i in range(30)]
+            assert np.allclose(scorer.score(texts), fresh(texts), atol=1e-6)
+            assert max(scorer.used, len(scorer.raw), scorer.pieces) <= 100 + 30 * 4
+
+
+def test_two_networks_in_one_session(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} b") for i in range(40)], "doc_id long, text string").repartition(4)
+    nets = [toxicity.Network.new(0.5, {"b": 1}, seed) for seed in range(6)]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for net in [*nets, *nets]:
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, net).collect()}
+        assert all(abs(got[d] - toxicity.Scorer(net).score([t])[0]) < 1e-6 for d, t in texts.items())
+
+
+def test_samples_are_bounded_per_id_and_in_all(spark, monkeypatch):
+    """An id that stands very often gives one row; labels without documents take no place; bytes are bounded."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:80]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids[:40]], "doc_id long, text string").unionByName(spark.range(5000).select(F.lit(ids[0]).cast("long").alias("doc_id"), F.concat(F.lit("again "), F.col("id").cast("string")).alias("text")))
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    assert len(labelled.sample(docs, labels, "quality", 60)) == 40
+    assert len(labelled.sample(docs, labels, "quality", 20)) >= 15
+    both = labelled.sample(docs, labels, "quality", 60, 10)
+    assert sum(y for _, y in both) <= 10 and len(both) <= 60
+    monkeypatch.setattr(labelled, "IN_ALL", 100)
+    assert sum(len(t) for t, _ in labelled.sample(docs, labels, "quality", 60)) <= 100
+
+
 def test_scorer_is_the_training_network():
     net = toxicity.Network.new(0.5, {"b": 1})
     texts = ["a b c", "", "x " * 200, "Word! (b) " + "y" * 90, "### ..."]
