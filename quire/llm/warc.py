@@ -39,6 +39,8 @@ ROLL = 1 << 30
 PIECE = 1 << 18
 LEVEL = 4
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: A header of our own: the page of the response that a revisit refers to.
+REFERS_TO = "Quire-Refers-To-Page"
 FILES = "path string, records long"
 INDEX = "path string, offset long, length long, type string, id string"
 
@@ -46,8 +48,9 @@ INDEX = "path string, offset long, length long, type string, id string"
 # --- records ---
 
 
-def record_id(page_id, digest: str) -> str:
-    return f"<urn:quire:page:{'null' if page_id is None else page_id}:{digest}>"
+def record_id(page_id, digest: str, mark: str = "") -> str:
+    """A record's id; records of one page and payload need a mark of their own."""
+    return f"<urn:quire:page:{'null' if page_id is None else page_id}:{digest}{mark and ':' + mark}>"
 
 
 def page_of(record: str | None) -> int | None:
@@ -57,16 +60,21 @@ def page_of(record: str | None) -> int | None:
     return None if page == "null" else int(page)
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, size: int, refers_to: str | None) -> bytes:
-    """A response, or where refers_to is given a revisit, which has the payload's length but not the payload."""
+def record(page_id, url: str | None, payload: bytes, digest: str, size: int, first: int | None, repeated: bool = False) -> bytes:
+    """A response, or where first (the page of the response) is given a revisit, which has the payload's length but not the payload.
+
+    repeated: pages with this payload stand more than once. Their records' ids are marked, so a revisit names the page it
+    refers to, but no record's id.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    block = http if refers_to else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}"]
+    block = http if first is not None else http + payload
+    mark = uuid.uuid4().hex if repeated else ""
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, mark)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
-    if refers_to:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {refers_to}"]
+    if first is not None:
+        lines += [f"WARC-Profile: {PROFILE}", f"{REFERS_TO}: {first}"] + ([] if repeated else [f"WARC-Refers-To: {record_id(first, digest)}"])
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -77,10 +85,10 @@ def headers_of(head: bytes) -> dict[str, str]:
 
 
 class Inflated:
-    """The bytes of a gzip file of one or many members, inflated once and in pieces."""
+    """The bytes of a gzip file of one or many members, inflated once and in pieces. What has been taken is dropped a piece at a time."""
 
     def __init__(self, raw):
-        self.raw, self.engine, self.held, self.rest = raw, None, b"", b""
+        self.raw, self.engine, self.held, self.at, self.rest = raw, None, b"", 0, b""
 
     def more(self) -> bool:
         while True:
@@ -95,26 +103,27 @@ class Inflated:
             if self.engine.eof:
                 self.rest, self.engine = self.engine.unused_data, None
             if out:
-                self.held += out
+                self.held, self.at = self.held[self.at :] + out, 0
                 return True
 
     def until(self, end: bytes) -> bytes | None:
         """Bytes up to and with end; None where the file is over."""
-        seen = 0
-        while (at := self.held.find(end, seen)) < 0:
-            seen = max(0, len(self.held) - len(end) + 1)
+        seen = 0  # bytes after `at` in which end does not begin
+        while (found := self.held.find(end, self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - len(end) + 1)
             if not self.more():
-                if self.held.strip():
+                if self.held[self.at :].strip():
                     raise ValueError("the archive ends within a record's head")
                 return None
-        out, self.held = self.held[: at + len(end)], self.held[at + len(end) :]
-        return out
+        start, self.at = self.at, found + len(end)
+        return self.held[start : self.at]
 
     def pieces(self, n: int) -> Iterator[bytes]:
         while n:
-            if not self.held and not self.more():
+            if self.at == len(self.held) and not self.more():
                 raise ValueError("the archive ends within a record")
-            out, self.held = self.held[:n], self.held[n:]
+            out = self.held[self.at : self.at + n]
+            self.at += len(out)
             n -= len(out)
             yield out
 
@@ -123,11 +132,12 @@ class Inflated:
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """pages with payload_bytes, payload_digest and first_id (of the response that a revisit refers to)."""
+    """pages with payload_bytes, payload_digest, first_id (of the response that a revisit refers to) and repeated (some page with that payload stands twice)."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("payload_digest", F.sha2("html", 256)).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    groups = rows.filter(F.col("payload_bytes") >= SMALL).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = rows.join(settle(groups, "payloads"), "payload_digest", "left")
+    same = rows.groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"), F.first("payload_bytes").alias("size"))
+    groups = same.groupBy("payload_digest").agg(F.min(F.when(F.col("size") >= SMALL, F.col("page_id"))).alias("first_id"), F.sum("n").alias("n"), (F.max("n") > 1).alias("repeated")).filter("n > 1").drop("n")
+    found = rows.join(settle(groups, "payloads"), "payload_digest", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
     return found.withColumn("first_id", F.when(F.col("page_id").eqNullSafe(F.col("first_id")), None).otherwise(F.col("first_id")))
 
 
@@ -146,12 +156,12 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_pylist([{"path": path, "records": records}], schema)
 
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("page_id", "url", "payload_digest", "payload_bytes", "first_id")]
-            for page, url, digest, n, first, html in zip(*columns, b.column("html"), strict=True):
+            columns = [b.column(c).to_pylist() for c in ("page_id", "url", "payload_digest", "payload_bytes", "first_id", "repeated")]
+            for page, url, digest, n, first, repeated, html in zip(*columns, b.column("html"), strict=True):
                 if out is None:
                     path, size, records = f"{folder}/mono/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out, engine = open_shared(path, "out"), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                data = record(page, url, b"" if first is not None else html.as_buffer().to_pybytes(), digest, n, None if first is None else record_id(first, digest))
+                data = record(page, url, b"" if first is not None else html.as_buffer().to_pybytes(), digest, n, first, repeated)
                 out.write(engine.compress(data))
                 size, records = size + len(data), records + 1
                 if size >= ROLL:
@@ -258,7 +268,7 @@ def fetch(f, offset: int, length: int) -> dict:
     return {
         "page_id": page_of(named["warc-record-id"]), "url": named.get("warc-target-uri"),
         "payload_bytes": size if response else int(headers_of(http)["content-length"]),
-        "payload_digest": told, "record_type": named["warc-type"], "refers_to": page_of(named.get("warc-refers-to")),
+        "payload_digest": told, "record_type": named["warc-type"], "refers_to": int(named[REFERS_TO.lower()]) if REFERS_TO.lower() in named else None,
     }
 
 
