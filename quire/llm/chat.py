@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import StructType
 
-from quire.llm.common import open_shared, settle, tune
+from quire.llm.common import new_path, open_shared, tune
 
 #: Strings that have a meaning in the output: before a role, after it, after a turn.
 CONTROL = ("### ", ":\n", "</turn>")
@@ -548,7 +548,9 @@ def turns_of(text: str) -> Iterator[tuple[str, str]]:
 def store(formatted: DataFrame) -> DataFrame:
     """path: the files that render()'s output is written to, in the shared folder; a conversation is in one of them, in order."""
     spark = formatted.sparkSession
-    files = [(f,) for f in settle(formatted, "formatted").inputFiles()]  # a name for each task that wrote
+    path = new_path(spark, "formatted")
+    formatted.write.option("compression", "zstd").parquet(path)
+    files = [(f,) for f in spark.read.schema(formatted.schema).parquet(path).inputFiles()]  # a name for each task that wrote
     return spark.createDataFrame(files, "path string").repartition(max(1, len(files)))
 
 
