@@ -22,6 +22,8 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -48,7 +50,7 @@ ROUNDS, EPOCHS, BATCH, RATE = 2, 5, 32, 0.01
 LEARNT = 0.01
 #: Chance that a known word is taken for an unknown one in training, so that its characters count too.
 FORGET = 0.5
-#: Distinct words whose inputs a worker keeps.
+#: Distinct words, as they stand in texts, that a worker knows from batch to batch; beyond that it begins anew.
 MEMO = 200_000
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„‘’«»¿¡…–—"
 
@@ -60,46 +62,52 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def run_gru(x: np.ndarray, u: np.ndarray, mask: np.ndarray | None, backward: bool, keep: bool = False):
-    """States (time, rows, size) for projected inputs x (time, rows, 3 size). Where mask is 0 the state stays."""
-    steps, rows, _ = x.shape
-    size = u.shape[0]
-    h = np.zeros((rows, size), np.float32)
-    out = np.empty((steps, rows, size), np.float32)
+def two_ways(forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+    """Both ways of reading as one array (time, 2, ...), the second from the end on; both run in the same steps."""
+    return np.stack([forward, backward[::-1]], axis=1)
+
+
+def run_gru(x: np.ndarray, u: np.ndarray, mask: np.ndarray | None, keep: bool = False):
+    """States (time, ways, rows, size) for projected inputs x (time, ways, rows, 3 size) and weights u (ways, size, 3 size). Where mask is 0 the state stays."""
+    steps, ways, rows, _ = x.shape
+    size = u.shape[1]
+    h = np.zeros((ways, rows, size), np.float32)
+    out = np.empty((steps, ways, rows, size), np.float32)
     kept = [None] * steps
-    for t in range(steps - 1, -1, -1) if backward else range(steps):
+    for t in range(steps):
         hu = h @ u
-        gate = _sigmoid(x[t, :, : 2 * size] + hu[:, : 2 * size])
-        z, r = gate[:, :size], gate[:, size:]
-        c = np.tanh(x[t, :, 2 * size :] + r * hu[:, 2 * size :])
+        gate = _sigmoid(x[t, :, :, : 2 * size] + hu[:, :, : 2 * size])
+        z, r = gate[:, :, :size], gate[:, :, size:]
+        c = np.tanh(x[t, :, :, 2 * size :] + r * hu[:, :, 2 * size :])
         new = c + z * (h - c)
         if mask is not None:
-            new = np.where(mask[t][:, None], new, h)
+            new = np.where(mask[t][:, :, None], new, h)
         if keep:
-            kept[t] = (h, z, r, c, hu[:, 2 * size :])
+            kept[t] = (h, z, r, c, hu[:, :, 2 * size :])
         h = out[t] = new
     return out, kept
 
 
-def back_gru(grad: np.ndarray, kept: list, u: np.ndarray, mask: np.ndarray, backward: bool) -> tuple[np.ndarray, np.ndarray]:
+def back_gru(grad: np.ndarray, kept: list, u: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the projected inputs and of u, from those of the states."""
-    steps, rows, size = grad.shape
-    dx = np.zeros((steps, rows, 3 * size), np.float32)
+    steps, ways, rows, size = grad.shape
+    dx = np.zeros((steps, ways, rows, 3 * size), np.float32)
     du = np.zeros_like(u)
-    dh = np.zeros((rows, size), np.float32)
-    for t in range(steps) if backward else range(steps - 1, -1, -1):
+    dh = np.zeros((ways, rows, size), np.float32)
+    turned = u.transpose(0, 2, 1)
+    for t in range(steps - 1, -1, -1):
         h, z, r, c, hc = kept[t]
         g = grad[t] + dh
-        on = mask[t][:, None]
+        on = mask[t][:, :, None]
         stay = np.where(on, 0, g)
         g = np.where(on, g, 0)
         dc = g * (1 - z) * (1 - c * c)
         dz = g * (h - c) * z * (1 - z)
         dr = dc * hc * r * (1 - r)
-        dx[t] = np.hstack([dz, dr, dc])
-        dhu = np.hstack([dz, dr, dc * r])
-        du += h.T @ dhu
-        dh = stay + g * z + dhu @ u.T
+        dx[t] = np.concatenate([dz, dr, dc], axis=2)
+        dhu = np.concatenate([dz, dr, dc * r], axis=2)
+        du += h.transpose(0, 2, 1) @ dhu
+        dh = stay + g * z + dhu @ turned
     return dx, du
 
 
@@ -149,13 +157,12 @@ class Network:
         t = self.theta
         spelt, mask = self.spell(words)
         x = t["chars"][spelt]
-        f, kf = run_gru(x @ t["cwf"] + t["cbf"], t["cuf"], mask, False, keep)
-        b, kb = run_gru(x @ t["cwb"] + t["cbb"], t["cub"], mask, True, keep)
+        states, kept = run_gru(two_ways(x @ t["cwf"] + t["cbf"], x @ t["cwb"] + t["cbb"]), np.stack([t["cuf"], t["cub"]]), two_ways(mask, mask), keep)
         number = np.array([self.known.get(w, 0) for w in words])
         if forget is not None:
             number = np.where(forget.random(len(number)) < FORGET, 0, number)
-        inputs = np.hstack([t["words"][number], f[-1], b[0]])
-        return (inputs, (spelt, mask, x, kf, kb, number)) if keep else inputs
+        inputs = np.hstack([t["words"][number], states[-1, 0], states[-1, 1]])
+        return (inputs, (spelt, mask, x, kept, number)) if keep else inputs
 
     def project(self, inputs: np.ndarray) -> np.ndarray:
         t = self.theta
@@ -173,8 +180,8 @@ class Network:
                     w = w[: max(1, int((w >= 0).sum(axis=0).max()))]
                 mask = None if full else w >= 0
                 x = table[np.maximum(w, 0)]
-                f, _ = run_gru(x[:, :, : 3 * STATE], t["wuf"], mask, False)
-                b, _ = run_gru(x[:, :, 3 * STATE :], t["wub"], mask, True)
+                h, _ = run_gru(two_ways(x[:, :, : 3 * STATE], x[:, :, 3 * STATE :]), np.stack([t["wuf"], t["wub"]]), None if full else two_ways(mask, mask))
+                f, b = h[:, 0], h[::-1, 1]
                 note = (f @ t["attend"][:STATE] + b @ t["attend"][STATE:])[:, :, 0]
                 said = (f @ t["out"][:STATE] + b @ t["out"][STATE:])[:, :, 0]
                 if mask is not None:
@@ -191,7 +198,7 @@ class Network:
         t = self.theta
         distinct = sorted(set().union(*windows)) or [""]
         place = {w: i for i, w in enumerate(distinct)}
-        inputs, (spelt, cmask, cx, ckf, ckb, number) = self.read_words(distinct, rng, True)
+        inputs, (spelt, cmask, cx, ckept, number) = self.read_words(distinct, rng, True)
         steps = max(1, max(map(len, windows)))
         at = np.zeros((steps, len(windows)), np.int64)
         mask = np.zeros((steps, len(windows)), bool)
@@ -199,9 +206,8 @@ class Network:
             at[: len(w), k] = [place[x] for x in w]
             mask[: len(w), k] = True
         v = inputs[at]
-        f, kf = run_gru(v @ t["wwf"] + t["wbf"], t["wuf"], mask, False, True)
-        b, kb = run_gru(v @ t["wwb"] + t["wbb"], t["wub"], mask, True, True)
-        h = np.concatenate([f, b], axis=2)
+        states, kept = run_gru(two_ways(v @ t["wwf"] + t["wbf"], v @ t["wwb"] + t["wbb"]), np.stack([t["wuf"], t["wub"]]), two_ways(mask, mask), True)
+        h = np.concatenate([states[:, 0], states[::-1, 1]], axis=2)
         note = np.where(mask, (h @ t["attend"])[:, :, 0], -1e9)
         weight = np.exp(note - note.max(axis=0)) * mask
         weight /= np.maximum(weight.sum(axis=0), 1e-9)
@@ -215,9 +221,10 @@ class Network:
         g = {"bias": np.array([d.sum()], np.float32), "out": np.einsum("twh,tw->h", h, dsaid)[:, None], "attend": np.einsum("twh,tw->h", h, dnote)[:, None]}
         dh = dsaid[:, :, None] * t["out"][:, 0] + dnote[:, :, None] * t["attend"][:, 0]
         dv = np.zeros_like(v)
-        for way, part, kept, back in (("f", dh[:, :, :STATE], kf, False), ("b", dh[:, :, STATE:], kb, True)):
-            dx, g[f"wu{way}"] = back_gru(part, kept, t[f"wu{way}"], mask, back)
-            g[f"ww{way}"] = np.einsum("tni,tnj->ij", v, dx)
+        both, du = back_gru(two_ways(dh[:, :, :STATE], dh[:, :, STATE:]), kept, np.stack([t["wuf"], t["wub"]]), two_ways(mask, mask))
+        for k, (way, dx) in enumerate((("f", both[:, 0]), ("b", both[::-1, 1]))):
+            g[f"wu{way}"] = du[k]
+            g[f"ww{way}"] = v.reshape(-1, v.shape[2]).T @ dx.reshape(-1, dx.shape[2])
             g[f"wb{way}"] = dx.sum(axis=(0, 1))
             dv += dx @ t[f"ww{way}"].T
         dinputs = np.zeros_like(inputs)
@@ -226,11 +233,12 @@ class Network:
         np.add.at(g["words"], number, dinputs[:, :WORD_SIZE])
         g["words"][0] = 0
         dcx = np.zeros_like(cx)
-        for way, kept, back, row, part in (("f", ckf, False, -1, slice(WORD_SIZE, WORD_SIZE + CHAR_STATE)), ("b", ckb, True, 0, slice(WORD_SIZE + CHAR_STATE, None))):
-            grad = np.zeros((*spelt.shape, CHAR_STATE), np.float32)
-            grad[row] = dinputs[:, part]
-            dx, g[f"cu{way}"] = back_gru(grad, kept, t[f"cu{way}"], cmask, back)
-            g[f"cw{way}"] = np.einsum("tni,tnj->ij", cx, dx)
+        grad = np.zeros((len(spelt), 2, spelt.shape[1], CHAR_STATE), np.float32)
+        grad[-1, 0], grad[-1, 1] = dinputs[:, WORD_SIZE : WORD_SIZE + CHAR_STATE], dinputs[:, WORD_SIZE + CHAR_STATE :]
+        both, du = back_gru(grad, ckept, np.stack([t["cuf"], t["cub"]]), two_ways(cmask, cmask))
+        for k, (way, dx) in enumerate((("f", both[:, 0]), ("b", both[::-1, 1]))):
+            g[f"cu{way}"] = du[k]
+            g[f"cw{way}"] = cx.reshape(-1, cx.shape[2]).T @ dx.reshape(-1, dx.shape[2])
             g[f"cb{way}"] = dx.sum(axis=(0, 1))
             dcx += dx @ t[f"cw{way}"].T
         g["chars"] = np.zeros_like(t["chars"])
@@ -325,7 +333,7 @@ def learn(sampled: list[tuple[str, int]], rounds: int = ROUNDS, epochs: int = EP
 
 
 class Scorer:
-    """A network with the projected inputs of words it has met, at most MEMO and one batch's."""
+    """A network with the projected inputs of words it has met: at most MEMO forms and one batch's."""
 
     def __init__(self, net: Network):
         self.net = net
@@ -335,6 +343,7 @@ class Scorer:
         self.place: dict[str, int] = {}  # of words as the network reads them
         self.raw: dict[str, int] = {}  # of words as they stand in texts; below 0: -1 minus the place in long
         self.long: list[np.ndarray] = []
+        self.pieces = 0  # in long, and its entries
         self.table = np.zeros((1, 6 * STATE), np.float32)
         self.used = 0
 
@@ -351,9 +360,13 @@ class Scorer:
             self.place.update(zip(some, range(self.used, self.used + len(some)), strict=True))
             self.used += len(some)
 
+    def full(self) -> bool:
+        """Whether any part of the memory is: words read, forms seen, or pieces of the forms that are several words."""
+        return max(self.used, len(self.raw), self.pieces) > MEMO
+
     def window_scores(self, texts: list[list[str]]) -> np.ndarray:
         """Log-odds of all windows of texts given as words, text by text."""
-        if self.used > MEMO:
+        if self.full():
             self.clear()
         self.learn_words(list(set().union(*texts)))
         rows = [np.fromiter(map(self.place.__getitem__, t), np.int64, len(t)) for t in texts]
@@ -373,7 +386,7 @@ class Scorer:
         """The highest window's probability for each text."""
         if not self.net.theta:
             return np.full(len(texts), self.net.prior)
-        if self.used > MEMO:
+        if self.full():
             self.clear()
         raw = [words_of(t) for t in texts]
         place = self.raw
@@ -390,6 +403,7 @@ class Scorer:
         for w, c in pieces.items():  # nothing but marks, or a long word
             place[w] = -1 - len(self.long)
             self.long.append(np.array([self.place[x] for x in c], np.int64))
+            self.pieces += 1 + len(c)
         rows = [self._unfold(np.fromiter(map(place.__getitem__, t), np.int64, len(t))) for t in raw]
         scores, owner = self._windows(rows)
         highest = np.full(len(rows), -np.inf)
@@ -407,13 +421,13 @@ class Scorer:
         return np.concatenate([*parts, row[at:]])
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, score: every whole text's score."""
     tune(docs.sparkSession)
-    shared, key = docs.sparkSession.sparkContext.broadcast(net), id(net)
+    shared, key = docs.sparkSession.sparkContext.broadcast(net), hashlib.sha256(pickle.dumps(net)).hexdigest()
     ids = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
