@@ -2,7 +2,8 @@
 
 The symbols of many words lie in one flat array. A round finds each word's adjacent pair of lowest rank by
 binary search over sorted pair keys, merges all of its occurrences in all words at once, and looks up anew
-only the pairs that changed. Words whose pairs are not in the table are done and leave the array.
+only the pairs that changed. Words whose pairs are not in the table are done and leave the array. A very long unbroken word
+is merged by itself: its places are kept by the rank of their pair, so that a round costs what it merges.
 
 Defined results
 ---------------
@@ -15,6 +16,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import pickle
 from collections.abc import Iterator
@@ -31,6 +33,8 @@ from quire.llm.pretokens import Memo
 #: Words in one flat array; more leave the processor's cache.
 BULK = 20_000
 NONE = np.int32(np.iinfo(np.int32).max)
+#: Bytes beyond which a word is merged by itself.
+LONG = 4096
 
 
 def byte_letters() -> list[str]:
@@ -83,14 +87,19 @@ class Codec:
         raw = [w.encode() for w in words]
         size = np.array([len(w) for w in raw], np.int64)
         ids = self.v.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(raw)
         which = np.arange(len(raw))  # the words still in the array; ids holds size[k] symbols of word which[k], one after the other
+        if (alone := size > LONG).any():
+            start = np.cumsum(size) - size
+            for k in np.flatnonzero(alone):
+                out[k] = self.merge_long(ids[start[k] : start[k] + size[k]])
+            ids, which, size = ids[np.repeat(~alone, size)], which[~alone], size[~alone]
         if not size.all():
             which, size = which[size > 0], size[size > 0]
         rank = np.full(len(ids), NONE, np.int32)
         if len(ids) > 1:
             rank[:-1] = self.rank(ids[:-1], ids[1:])
         rank[np.cumsum(size) - 1] = NONE  # a word's last symbol has no right neighbour
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(raw)
         while len(which):
             start = np.cumsum(size) - size
             least = np.minimum.reduceat(rank, start)
@@ -121,6 +130,48 @@ class Codec:
             rank[end] = NONE
         return out
 
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """One word's merges: symbols stay where they are, linked to their neighbours; a heap has the ranks that some pair has."""
+        n, ids = len(ids), ids.copy()
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, gone = np.full(n, NONE, np.int32), np.zeros(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Look up the pairs that start at these places, and keep the places by rank."""
+            right = after[at]
+            inner = right < n
+            rank[at] = NONE
+            rank[at[inner]] = self.rank(ids[at[inner]], ids[right[inner]])
+            at = at[rank[at] != NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[at], prepend=-1))
+            for k, some in zip(rank[at[cuts]].tolist(), np.split(at, cuts[1:]), strict=False):
+                if k not in places:
+                    places[k] = []
+                    heapq.heappush(heap, k)
+                places[k].append(some)
+
+        note(np.arange(n))
+        while heap:
+            k = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(k)))
+            at = at[rank[at] == k]  # the others have been merged with something else
+            if not len(at):
+                continue
+            # in a run of overlapping occurrences (aaa) every other one merges, from the left
+            run = np.flatnonzero(np.concatenate([[True], after[at[:-1]] != at[1:]]))
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0]
+            right = after[at]
+            ids[at], gone[right], rank[right] = self.v.merged[k], True, NONE
+            after[at] = after[right]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            left = before[at]
+            note(np.unique(np.concatenate([at, left[left >= 0]])))
+        return ids[~gone]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out: list[np.ndarray] = []
         for i in range(0, len(words), BULK):

@@ -179,3 +179,26 @@ def test_long_texts_are_split_in_stretches(codec, library, monkeypatch):
     assert "".join(pretokens.stretches(text)) == text and len(list(pretokens.stretches(text))) > 100
     assert codec.encode([text, text[5:]])[0].tolist() == library.encode(text, add_special_tokens=False).ids
     assert [w for s in pretokens.stretches(text) for w in pretokens.split(s)] == pretokens.split(text)
+
+
+@pytest.mark.parametrize("long", [bpe.LONG, 3])
+def test_long_unbroken_words(codec, library, monkeypatch, long):
+    """Merged by themselves, with overlapping runs; all words where long is small."""
+    monkeypatch.setattr(bpe, "LONG", long)
+    rng = np.random.default_rng(4)
+    texts = ["a" * 5001, "ab" * 3000 + "a", "".join(rng.choice(list("etaoinsh"), 6000)), "".join(rng.choice(list("aab"), 4500)), "x", "", "zz zz", "aaa aaaa aaaaa"]
+    words = [w for t in texts for w in t.split(" ")]
+    assert [x.tolist() for x in codec.merge_words(words)] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+
+
+def test_cost_of_a_long_word_grows_with_its_length(codec):
+    import time
+
+    rng, took = np.random.default_rng(5), []
+    for n in (50_000, 400_000):
+        word = "".join(rng.choice(list("etaoinshrdlu"), n))
+        began = time.process_time()
+        ids = codec.merge_words([word])[0]
+        took.append(time.process_time() - began)
+        assert codec.decode(ids) == word
+    assert took[1] < 20 * took[0] + 1
