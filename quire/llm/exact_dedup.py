@@ -34,7 +34,7 @@ CHUNK = 1 << 16
 #: Texts beyond this many bytes are hashed chunk by chunk in separate tasks.
 HUGE = 1 << 20
 #: Documents that are compared with one copy of their group's representative.
-SALTED = 128
+SALTED = 32
 
 KEY = ["n_bytes", "fp1", "fp2"]
 _powers: list[np.ndarray] = []
