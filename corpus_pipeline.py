@@ -1,7 +1,17 @@
 """The corpus pipeline: quality, exact copies, near copies, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs. All but the last return the columns of documents, whatever else docs has beside
+doc_id, text and source; further columns go through unread.
+
+Defined results
+---------------
+* A null text is an empty one for every stage; a null doc_id or source is a value like any other.
+* Repeated rows: the quality stage judges each; of rows of equal text the copies' stage keeps one.
+* A tie of equal scores does not arise: a document stays if its own score reaches the threshold.
+* No documents give no rows at every stage; without labels of both kinds the quality stage keeps all or none,
+  by the share of label 1.
+* Texts of any length are read whole; memory is bounded by the longest text's own size.
 """
 
 from __future__ import annotations
@@ -52,7 +62,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", tokens),
 ]
 
-#: SQL can express neither the classifier nor the links of near copies; tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the links of near copies; tests/llm/test_pipeline.py holds run() against plain steps.
 ORACLE_SQL: str | None = None
 
 
