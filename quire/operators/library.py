@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,29 @@ class Library:
     """Tables under a folder. Documents' tables are partitioned by doc_id, so that putting a document replaces its own partition only."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, f"{folder}/v{VERSION}"
+        self.spark, self.root, self.folder = spark, folder, f"{folder}/v{VERSION}"
+
+    def open(self) -> Library:
+        """The library, ready to be written: missing tables are made, and an older version's tables are taken over.
+
+        A folder that a later version has written is refused: its tables may mean something else.
+        """
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        there = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        versions = sorted(int(v[1:]) for v in there if re.fullmatch(r"v[0-9]+", v))
+        if versions and versions[-1] > VERSION:
+            raise ValueError(f"{self.root} was written by version {versions[-1]} of the library; this is version {VERSION}")
+        older = versions[-1] if versions and versions[-1] < VERSION else None
+        at = lambda version, name: self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v{version}/{name}")
+        for name, schema in TABLES.items():
+            if fs.exists(at(VERSION, name)):
+                continue
+            rows = self.spark.createDataFrame([], schema)
+            if older is not None and fs.exists(at(older, name)):
+                rows = rows.unionByName(self.spark.read.parquet(f"{self.root}/v{older}/{name}"), allowMissingColumns=True).select(rows.columns)
+            rows.write.parquet(f"{self.folder}/{name}") if name == "cache" else self.put(name, rows)
+        return self
 
     def table(self, name: str) -> DataFrame:
         schema = TABLES[name]
@@ -127,10 +151,15 @@ def translated_titles(blocks: DataFrame) -> DataFrame:
 
 
 def first_of(rows: DataFrame, by: list[str], order: list, most: int = 6) -> DataFrame:
-    """The first `most` rows of each group, with `place` from 1 and `more`, how many there are beyond."""
+    """The first `most` rows of each group, with `place` from 1 and `more`, how many there are beyond.
+
+    Ranks are limited before rows are shuffled, and counts are added up before, so a large group is in no one task.
+    """
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    more = F.greatest(F.lit(0).cast("long"), F.count("*").over(Window.partitionBy(*by)) - most)
-    return rows.withColumns({"place": place, "more": more}).filter(F.col("place") <= most)
+    first = rows.withColumn("place", place).filter(F.col("place") <= most)
+    more = rows.groupBy(*by).agg(F.greatest(F.lit(0).cast("long"), F.count("*") - most).alias("more"))
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by]
+    return first.alias("f").join(more.alias("m"), same).select("f.*", "m.more")
 
 
 def new_id(millis: Column, seed: Column) -> Column:

@@ -8,13 +8,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quire.functions import fixed as X
 from quire.functions import text as T
+from quire.operators import packing
 
 #: A client takes the system's and the user's part and returns the answer. It must be picklable; it runs on executors.
 Client = Callable[[str, str], str]
@@ -53,29 +52,12 @@ def looked_up(blocks: DataFrame, cache: DataFrame, model: str, language: str | N
 def packed(blocks: DataFrame, by: list[str], order: str, limit: int, size: Column | None = None) -> DataFrame:
     """blocks with `batch`: consecutive blocks until the next would make it longer than limit; a longer one is alone.
 
-    The fold streams over each group's lengths in order and holds two numbers; texts stay where they are and are joined by key.
+    Lengths alone are packed (operators.packing); texts stay where they are and are joined by key.
     """
     keys = [*by, order]
-    length = F.coalesce(F.length("text") if size is None else size, F.lit(0)).cast("long")
-    rows = blocks.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keys)], length.alias("_size"))
-    schema = StructType([*rows.drop("_size").schema.fields, StructField("batch", IntegerType())])
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, batch, used = None, 0, 0
-        for frame in frames:
-            batches = []
-            of = zip(*[frame.column(i).to_pylist() for i in range(len(by))], strict=True) if by else [()] * frame.num_rows
-            for key, n in zip(of, frame.column(len(keys)).to_pylist(), strict=True):
-                if key != group:
-                    group, batch, used = key, 0, 0
-                elif used and used + n > limit:
-                    batch, used = batch + 1, 0
-                used += n
-                batches.append(batch)
-            yield pa.RecordBatch.from_arrays([*frame.columns[:-1], pa.array(batches, pa.int32())], names=[*frame.schema.names[:-1], "batch"])
-
-    place = [f"_{i}" for i in range(len(by))]
-    found = rows.repartition(*place).sortWithinPartitions(*place, f"_{len(by)}").mapInArrow(run, schema)
+    length = F.length("text") if size is None else size
+    found = packing.packed(blocks.select(*keys, length.alias("_length")), by, order, "_length", limit)
+    found = found.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keys)], "batch")
     same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keys)]
     return blocks.join(found, same).select(*keys, *[c for c in blocks.columns if c not in keys], "batch")
 
@@ -87,10 +69,15 @@ def glossary_hits(batches: DataFrame, keys: list[str], texts: Column, most: int
     return batches.select(*keys, F.transform(F.slice(found, 1, most), lambda t: t["t"]).alias("terms"))
 
 
-def system_prompt(language: str, terms: list[str]) -> str:
-    """What a model is told: the language, what stays as it is, the markers, and the terms to use."""
-    rules = f"Translate English academic text into {language}. Keep names, citations, symbols and equation numbers. Add nothing. Answer each <<<number>>> part under its own marker."
-    return rules + ("\nUse these terms:\n" + "；".join(terms) if terms else "")
+#: What a model is told: the language, what stays as it is, the markers; and the terms to use, where there are any.
+RULES = "Translate English academic text into {language}. Keep names, citations, symbols and equation numbers. Add nothing. Answer each <<<number>>> part under its own marker."
+TERMS = "\nUse these terms:\n"
+
+
+def system_prompt(language: str, terms: Column | str) -> Column:
+    """The system's part for a batch with these terms (ARRAY<STRING>)."""
+    listed = F.col(terms) if isinstance(terms, str) else terms
+    return F.concat(F.lit(RULES.replace("{language}", language)), F.when(F.size(listed) > 0, F.concat(F.lit(TERMS), F.array_join(listed, "；"))).otherwise(""))
 
 
 def numbered(texts: list[str]) -> str:
@@ -122,7 +109,7 @@ def parts_of(answer: str, n: int) -> list[str] | None:
 
 
 def translated_batches(batches: DataFrame, client: Client, settings: Settings) -> DataFrame:
-    """batches (batch_id, items: ARRAY<STRUCT<id, text>>, terms) to id, zh, err.
+    """batches (batch_id, items: ARRAY<STRUCT<id, text>>, system) to id, zh, err.
 
     Each batch is a row. A task makes `concurrency` calls at a time, so the cluster's limit is that by its cores; partitions
     stay as many as the session has. A batch of one is sent as it is; where a numbered answer doesn't fit, its texts are sent one by one; a batch that fails leaves empty translations with the error.
@@ -132,9 +119,8 @@ def translated_batches(batches: DataFrame, client: Client, settings: Settings) -
     def clean(text: str) -> str:
         return re.sub(r"<<<\s*\d+\s*>>>\s*", "", text).strip()
 
-    def of_batch(items, terms) -> list[tuple]:
+    def of_batch(items, system: str) -> list[tuple]:
         ids, texts = [i["id"] for i in items], [i["text"] for i in items]
-        system = system_prompt(settings.language, list(terms))
         call = lambda user: ask(client, system, user, settings.retry, settings.pause)
         try:
             got = [call(texts[0])] if len(texts) == 1 else parts_of(call(numbered(texts)), len(texts)) or [call(t) for t in texts]
@@ -145,7 +131,7 @@ def translated_batches(batches: DataFrame, client: Client, settings: Settings) -
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             with ThreadPoolExecutor(settings.concurrency) as pool:
-                out = [row for rows in pool.map(of_batch, frame["items"], frame["terms"]) for row in rows]
+                out = [row for rows in pool.map(of_batch, frame["items"], frame["system"]) for row in rows]
             yield pd.DataFrame(out, columns=["id", "zh", "err"])
 
     ids = batches.schema["items"].dataType.elementType["id"].dataType.simpleString()
@@ -164,7 +150,7 @@ def translate(blocks: DataFrame, cache: DataFrame, client: Client, settings: Set
     rows = batch.groupBy("doc_id", "batch").agg(whole.alias("items"))
     rows = rows.withColumn("batch_id", F.xxhash64("doc_id", "batch"))
     terms = glossary_hits(rows, ["batch_id"], F.array_join(F.transform("items", lambda i: i["text"]), " "))
-    done = translated_batches(rows.join(terms, "batch_id").select("batch_id", "items", "terms"), client, settings).withColumnRenamed("zh", "_zh")
+    done = translated_batches(rows.join(terms, "batch_id").select("batch_id", "items", system_prompt(settings.language, "terms").alias("system")), client, settings).withColumnRenamed("zh", "_zh")
     done = done.select(F.col("id.doc_id").alias("_doc"), F.col("id.block_id").alias("_block"), "_zh", "err")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("block_id").eqNullSafe(F.col("_block"))
     out = known.join(done, same, "left").withColumn("zh", F.coalesce(F.when(F.col("zh") != "", F.col("zh")), "_zh", "zh")).drop("_doc", "_block", "_zh")

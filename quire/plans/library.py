@@ -9,7 +9,7 @@ from quire.functions import fixed as X
 from quire.functions import text as T
 from quire.operators import blocks as BK
 from quire.operators import library as L
-from quire.operators import streams
+from quire.operators import neighbours, streams
 from quire.operators import translate as TR
 from quire.plans import text as P
 from quire.sources import docjson, html, script
@@ -77,8 +77,8 @@ SELECT * FROM p)""", blocks=False)
 def translation_batches(spark, sf_dir):
     docs = P.documents(spark, sf_dir)
     found = TR.packed(docs.select("source", "doc_id", "text"), ["source"], "doc_id", 2200)
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return found.select("source", "doc_id", place.cast("long").alias("place"), "batch")
+    place = neighbours.placed(docs, "source", "doc_id").withColumnRenamed("source", "_source")
+    return found.join(place, "doc_id").select("source", "doc_id", "place", "batch")
 
 
 GLOSSARY = "[" + ", ".join(f"{{'k': {P.quoted(k.lower())}, 't': {P.quoted(f'{k} → {v}')}}}" for k, v in X.GLOSSARY.items()) + "]"
@@ -89,6 +89,15 @@ def glossary_hits(spark, sf_dir):
     return TR.glossary_hits(P.documents(spark, sf_dir), ["doc_id"], F.concat("text", F.lit(" The utility of turnover: KKT conditions, drawdown")))
 
 
+@query(f"""WITH t AS (SELECT doc_id, list_transform(list_slice(list_filter({GLOSSARY}, lambda g: contains(lower(text || CASE WHEN doc_id % 2 = 0 THEN ' turnover, drawdown' ELSE '' END), g.k)), 1, 40), lambda g: g.t) AS terms FROM documents)
+SELECT doc_id, {P.quoted(TR.RULES.replace("{language}", "French"))} || CASE WHEN len(terms) > 0 THEN {P.quoted(TR.TERMS.strip())} || chr(10) || array_to_string(terms, '；') ELSE '' END AS system FROM t""".replace("THEN 'Use these", "THEN chr(10) || 'Use these"), blocks=False)
+def system_prompts(spark, sf_dir):
+    """What a model is told for each document as a batch; every other one has terms in it."""
+    texts = F.concat("text", F.when(F.col("doc_id") % 2 == 0, " turnover, drawdown").otherwise(""))
+    found = TR.glossary_hits(P.documents(spark, sf_dir), ["doc_id"], texts)
+    return found.select("doc_id", TR.system_prompt("French", "terms").alias("system"))
+
+
 @query(f"""SELECT doc_id, block_id, CASE WHEN zh IS NOT NULL THEN zh WHEN kind IN {P.listed(X.TRANSLATED_KINDS)} AND {BLANK} THEN replace({P.TRIM('text')}, 'e', 'E') END AS zh, NULL::VARCHAR AS err FROM bk""")
 def translated(spark, sf_dir):
     """The whole flow, with an offline client."""
@@ -269,6 +278,15 @@ def reference_section(spark, sf_dir):
     return BK.references(rows).select("doc_id", "block_id", "kind")
 
 
+@query(f"""{REFERENCES.replace("'References*'", "'Bibliography of'")}, e AS (SELECT doc_id, coalesce(min(block_id) FILTER (block_id > 4 AND kind = 'heading' AND size >= 14.6::DOUBLE), 1000000) AS e, max(block_id) >= 4 AS has FROM rf GROUP BY doc_id)
+SELECT doc_id, block_id, CASE WHEN has AND block_id > 4 AND block_id < e AND kind IN ('para', 'note') THEN 'ref' ELSE kind END AS kind FROM rf JOIN e USING (doc_id)""")
+def model_references(spark, sf_dir):
+    """The same by a model's rules: more words open the section, a heading of nearly the opening one's size ends it, and graphics stay."""
+    at = F.col("block_id") == 4
+    rows = blocks_of(spark, sf_dir).withColumns({"kind": F.when(at, "heading").otherwise(F.col("kind")), "text": F.when(at, "Bibliography of").otherwise(F.col("text")), "size": F.when(at, 15.0).otherwise(F.col("size"))})
+    return BK.references(rows, model=True).select("doc_id", "block_id", "kind")
+
+
 @query(f"""SELECT doc_id, block_id, CASE WHEN r <= 8 AND kind = 'heading' AND {P.COUNT('text', ',')} >= 3 THEN 'ref' ELSE kind END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS r FROM bk)""")
 def byline_kinds(spark, sf_dir):
     return BK.bylines(blocks_of(spark, sf_dir)).select("doc_id", "block_id", "kind")
@@ -302,3 +320,19 @@ def debounced_saves(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     found = L.debounced(e, ["user_id"], "ts", "10 minutes")
     return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "saves")
+
+
+@query("""SELECT item_id AS doc_id, octet_length(encode(text || ' (2)'))::INT AS n_bytes, sha256(text || ' (2)') AS content_sha256, 'Passage ' || item_id AS title FROM benchmark WHERE item_id <> (SELECT min(item_id) FROM benchmark)""", blocks=False)
+def library_round_trip(spark, sf_dir):
+    """Passages as files of a library: put, put again with other contents, one dropped, and read back with their documents."""
+    from quire.sources.tables import new_path
+
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("long").alias("doc_id"), "text")
+    lib = L.Library(spark, new_path(spark, "library")).open()
+    none = {n: lib.table(n).limit(0) for n in ("docs", "files")}
+    lib.put("docs", none["docs"].unionByName(rows.select(F.col("doc_id").alias("id"), F.concat(F.lit("Passage "), F.col("doc_id").cast("string")).alias("title")), allowMissingColumns=True))
+    for mark in ("", " (2)"):
+        lib.put("files", none["files"].unionByName(rows.select("doc_id", F.encode(F.concat("text", F.lit(mark)), "UTF-8").alias("content"))))
+    lib.drop(rows.agg(F.min("doc_id")).first()[0])
+    files = lib.table("files").select("doc_id", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("content_sha256"))
+    return files.join(lib.table("docs").select(F.col("id").alias("doc_id"), "title"), "doc_id")

@@ -174,32 +174,94 @@ def placed_figures(spark, sf_dir):
 
 
 def audit_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Blocks, items and ink with faults planted: boxes of every kind, the document's words under some of them, free ink around others."""
-    blocks = G.boxes_of(spark, sf_dir).withColumnRenamed("j", "block_id").withColumn("block_id", F.col("block_id").cast("long"))
-    caption = F.concat(F.lit("Figure "), F.col("block_id").cast("string"), F.lit(". planted"))
-    blocks = blocks.withColumns({"text": F.when(F.col("kind") == "caption", caption).when(F.col("kind") == "graphic", "").otherwise("short text"), "size": F.lit(12.0)})
+    """Blocks, items and ink with faults planted, by the document's number divided by 4: figures in pieces with labels between (1), captions
+    without figures (2), boxes of every kind (0, 3). The document's words are under the boxes; ink stands in bands of 60 rows of 90."""
+    boxes, n = G.boxes_of(spark, sf_dir), F.col("doc_id") % 4
+    kind = F.when((n == 1) & (F.col("kind") == "caption"), "para").when((n == 2) & (F.col("kind") == "graphic"), "para").otherwise(F.col("kind"))
+    label = (n == 1) & (F.col("kind") == "caption")
+    text = F.when(label, "TGP").when(kind == "caption", F.concat(F.lit("Figure "), F.col("j").cast("string"), F.lit(". planted"))).when(kind == "graphic", "").otherwise("short text")
+    blocks = boxes.select("doc_id", "page", F.col("j").cast("long").alias("block_id"), kind.alias("kind"), text.alias("text"), F.lit(12.0).alias("size"), "x0", "y0", "x1", "y1")
     words = TS.typeset(P.documents(spark, sf_dir), heads=False)
     items = words.select("doc_id", "page", "str", "size", "x0", "x1", F.col("y_base").alias("y"))
-    return blocks, items, G.ink_of(spark, sf_dir)
-
-
+    y = F.col("y")
+    on = (F.floor(y / 30) + F.col("doc_id")) % 3 > 0
+    rows = G.docs(spark, sf_dir).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(395))))
+    ink = rows.select("doc_id", F.lit(0).alias("page"), "y", on.alias("on"), F.when(on, 36 + y % 5).otherwise(-1).alias("min_x"), F.when(on, (250 + F.col("doc_id") % 20).cast("int")).otherwise(-1).alias("max_x"))
+    return blocks, items, ink
+
+
+AUDIT_TABLES = f"""{G.BOXES}, ab AS (SELECT doc_id, page, j::BIGINT AS block_id, 12.0::DOUBLE AS size, CASE WHEN doc_id % 4 = 1 AND kind = 'caption' THEN 'para' WHEN doc_id % 4 = 2 AND kind = 'graphic' THEN 'para' ELSE kind END AS kind,
+ CASE WHEN doc_id % 4 = 1 AND kind = 'caption' THEN 'TGP' WHEN kind = 'caption' THEN 'Figure ' || j || '. planted' WHEN kind = 'graphic' AND doc_id % 4 <> 2 THEN '' ELSE 'short text' END AS text, x0, y0, x1, y1 FROM bx),
+ai AS (SELECT doc_id, 0 AS page, y, (y // 30 + doc_id) % 3 > 0 AS "on", CASE WHEN (y // 30 + doc_id) % 3 > 0 THEN 36 + y % 5 ELSE -1 END AS min_x, CASE WHEN (y // 30 + doc_id) % 3 > 0 THEN 250 + doc_id % 20 ELSE -1 END AS max_x FROM documents, range(0, 396) r(y))"""
+CLAIM = lambda t: f"range(greatest(0, floor({t}.y0 * 0.5) - 1)::BIGINT, least(395, ceil({t}.y1 * 0.5) + 1)::BIGINT + 1)"
+SHARE = lambda a, b: f"CASE WHEN least({a}.x1, {b}.x1) > greatest({a}.x0, {b}.x0) THEN (least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) / least({a}.x1 - {a}.x0, {b}.x1 - {b}.x0) ELSE 0 END"
+NO_IDS = "[]::BIGINT[]"
+#: The scans over ab (blocks), ai (ink) and spans; every document is one page.
+SCANS = f"""sc AS (SELECT * FROM ab WHERE doc_id IN (SELECT doc_id FROM ab WHERE kind = 'graphic' OR (kind = 'caption' AND regexp_matches(text, '{X.CAPTION}')))),
+gi AS (SELECT g.doc_id, g.block_id, i.y_base AS y, i.str, i.size, i.x0, i.seq, i.x0 - lag(i.x1) OVER (PARTITION BY g.doc_id, g.block_id, i.y_base ORDER BY i.x0, i.seq) AS gap FROM sc g
+ JOIN spans i ON i.doc_id = g.doc_id AND i.page = g.page AND i.seq >= 0 AND i.y_base >= g.y0 - 2 AND i.y_base <= g.y1 + 2 AND i.x0 >= g.x0 - 2 AND i.x1 <= g.x1 + 2 WHERE g.kind = 'graphic'),
+gl AS (SELECT doc_id, block_id, y, {P.COLLAPSE("string_agg(str, '' ORDER BY x0, seq)")} AS text, arg_min(size, x0) AS size, greatest(0, coalesce(max(gap), 0)) AS gap FROM gi GROUP BY 1, 2, 3),
+gu AS (SELECT doc_id, block_id, {P.COLLAPSE("replace(regexp_replace(string_agg(text, chr(1) ORDER BY y), '[-‐‑–]' || chr(1), '', 'g'), chr(1), ' ')")} AS under, count(*) AS n_lines, count(*) FILTER (gap > greatest(12, 1.2::DOUBLE * size))::DOUBLE / count(*) AS wide, sum(1.2::DOUBLE * size) AS inky FROM gl WHERE text <> '' GROUP BY 1, 2),
+s1 AS (SELECT g.*, u.under, least(1.0::DOUBLE, length(under) / 400.0::DOUBLE) + 1 AS severity FROM sc g JOIN gu u USING (doc_id, block_id) WHERE kind = 'graphic' AND y1 - y0 >= 24 AND n_lines >= 2 AND {P.IS_PROSE('under')} AND {P.CHARS('under', X.HARD_MATH)} < 2 AND wide <= 0.34 AND inky >= (y1 - y0) * 0.55::DOUBLE),
+bl AS (SELECT b.*, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.y0, b.block_id) AS r, CASE WHEN b.kind = 'graphic' THEN coalesce({P.CHARS('u.under', X.HARD_MATH)} >= 2, false) OR s.block_id IS NOT NULL ELSE b.kind = 'caption' OR regexp_matches(b.text, '{X.CAPTION}') OR {P.IS_PROSE('b.text')} OR (b.kind = 'heading' AND b.size >= 13.5) END AS bar
+ FROM sc b LEFT JOIN gu u USING (doc_id, block_id) LEFT JOIN s1 s ON s.doc_id = b.doc_id AND s.block_id = b.block_id),
+rn AS (SELECT doc_id, r AS head, r, kind, x0, y0, x1, y1 FROM bl WHERE kind = 'graphic' AND NOT bar UNION ALL
+ SELECT n.doc_id, n.head, b.r, b.kind, least(n.x0, b.x0), n.y0, greatest(n.x1, b.x1), greatest(n.y1, b.y1) FROM rn n JOIN bl b ON b.doc_id = n.doc_id AND b.r = n.r + 1 AND NOT b.bar AND b.y0 - n.y1 <= 60 AND {SHARE('n', 'b')} >= 0.55),
+re AS (SELECT doc_id, head, max(r) AS e, count(*) AS n FROM rn WHERE kind = 'graphic' GROUP BY 1, 2 HAVING count(*) >= 2),
+em AS (SELECT re.*, x0, y0, x1, y1 FROM re JOIN rn ON rn.doc_id = re.doc_id AND rn.head = re.head AND rn.r = re.e WHERE y1 - y0 >= 60),
+nx AS (SELECT a.doc_id, a.head, any_value(a.e) AS e, min(b.head) AS nxt FROM em a LEFT JOIN em b ON b.doc_id = a.doc_id AND b.head > a.e GROUP BY 1, 2),
+se AS (SELECT doc_id, min(head) AS head FROM em GROUP BY doc_id UNION ALL SELECT se.doc_id, nx.nxt FROM se JOIN nx USING (doc_id, head) WHERE nx.nxt IS NOT NULL),
+s2 AS (SELECT em.doc_id, em.head, any_value(em.x0) AS x0, any_value(em.y0) AS y0, any_value(em.x1) AS x1, any_value(em.y1) AS y1, any_value(n) * 0.1::DOUBLE + 2 AS severity, list(bl.block_id ORDER BY bl.r) FILTER (bl.kind = 'graphic') AS ids, coalesce(list(bl.block_id ORDER BY bl.r) FILTER (bl.kind <> 'graphic'), {NO_IDS}) AS mid_ids
+ FROM em JOIN se USING (doc_id, head) JOIN bl ON bl.doc_id = em.doc_id AND bl.r BETWEEN em.head AND em.e GROUP BY 1, 2),
+tg AS (SELECT g.* FROM sc g WHERE kind = 'graphic' AND y1 - y0 >= 45 AND NOT EXISTS (SELECT 1 FROM s1 WHERE s1.doc_id = g.doc_id AND s1.block_id = g.block_id) AND NOT EXISTS (SELECT 1 FROM s2 WHERE s2.doc_id = g.doc_id AND (list_contains(s2.ids, g.block_id) OR list_contains(s2.mid_ids, g.block_id)))),
+hd AS (SELECT DISTINCT t.doc_id, t.block_id, unnest({CLAIM('o')}) AS y FROM tg t JOIN sc o ON o.doc_id = t.doc_id AND o.block_id <> t.block_id),
+wk AS (SELECT w.*, i.y IS NOT NULL AND h.y IS NULL AS free, coalesce(i."on", false) AS inked, i.min_x, i.max_x FROM (SELECT t.doc_id, t.block_id, d.d, k.k, floor(CASE WHEN d.d > 0 THEN t.y1 ELSE t.y0 END * 0.5 + 0.5)::BIGINT + d.d * k.k AS y FROM tg t, (VALUES (-1), (1)) d(d), range(1, 111) k(k)) w
+ LEFT JOIN ai i ON i.doc_id = w.doc_id AND i.y = w.y LEFT JOIN hd h ON h.doc_id = w.doc_id AND h.block_id = w.block_id AND h.y = w.y),
+wl AS (SELECT *, k - coalesce(max(CASE WHEN inked THEN k END) OVER (PARTITION BY doc_id, block_id, d ORDER BY k), 0) AS blank FROM wk),
+ws AS (SELECT *, min(CASE WHEN NOT free OR blank >= 4 THEN k END) OVER (PARTITION BY doc_id, block_id, d) AS stop FROM wl),
+wm AS (SELECT doc_id, block_id, d, arg_max(y, k) AS y, min(min_x) * 2.0::DOUBLE AS l, max(max_x) * 2.0::DOUBLE AS r FROM ws WHERE inked AND free AND k < coalesce(stop, 999) GROUP BY 1, 2, 3 HAVING count(*) FILTER (k <= 5) >= 2),
+wb AS (SELECT t.doc_id, t.page, t.block_id, t.y1 - t.y0 AS h, least(t.x0, coalesce(u.l, t.x0), coalesce(o.l, t.x0)) AS x0, coalesce(u.y * 2.0::DOUBLE - 2, t.y0) AS y0, greatest(t.x1, coalesce(u.r, t.x1), coalesce(o.r, t.x1)) AS x1, coalesce(o.y * 2.0::DOUBLE + 2, t.y1) AS y1
+ FROM tg t LEFT JOIN wm u ON u.doc_id = t.doc_id AND u.block_id = t.block_id AND u.d = -1 LEFT JOIN wm o ON o.doc_id = t.doc_id AND o.block_id = t.block_id AND o.d = 1),
+cv AS (SELECT DISTINCT doc_id, unnest({CLAIM('sc')}) AS y FROM sc),
+fr AS (SELECT i.*, i.y - row_number() OVER (PARTITION BY i.doc_id ORDER BY i.y) AS g FROM ai i WHERE i."on" AND NOT EXISTS (SELECT 1 FROM cv WHERE cv.doc_id = i.doc_id AND cv.y = i.y)),
+ru AS (SELECT doc_id, greatest(0, min(min_x) - 1) * 2.0::DOUBLE AS x0, greatest(0, min(y) - 1) * 2.0::DOUBLE AS y0, least(306, max(max_x) + 2) * 2.0::DOUBLE AS x1, least(396, max(y) + 2) * 2.0::DOUBLE AS y1 FROM fr GROUP BY doc_id, g HAVING count(*) >= 18 AND max(max_x) > min(min_x) + 12),
+lo AS (SELECT c.* FROM sc c WHERE kind = 'caption' AND regexp_matches(text, '{X.CAPTION}') AND NOT EXISTS (SELECT 1 FROM sc g WHERE g.doc_id = c.doc_id AND g.kind = 'graphic' AND {SHARE('g', 'c')} > 0.25 AND c.y0 - g.y1 < 150 AND g.y0 - c.y1 < 150)),
+s4 AS (SELECT * FROM (SELECT c.doc_id, c.page, c.block_id AS cap_id, c.text, r.x0, r.y0, r.x1, r.y1, row_number() OVER (PARTITION BY c.doc_id, c.block_id ORDER BY CASE WHEN r.y1 <= c.y0 + 4 THEN c.y0 - r.y1 ELSE r.y0 - c.y1 END, r.y0) AS n
+ FROM lo c JOIN ru r ON r.doc_id = c.doc_id AND (r.y1 <= c.y0 + 4 OR r.y0 >= c.y1 - 4) AND CASE WHEN r.y1 <= c.y0 + 4 THEN c.y0 - r.y1 ELSE r.y0 - c.y1 END < 40) WHERE n = 1),
+su AS (SELECT doc_id, page, 'text-as-image' AS type, [block_id] AS ids, {NO_IDS} AS mid_ids, NULL::BIGINT AS cap_id, x0, y0, x1, y1, under AS text, severity FROM s1
+ UNION ALL SELECT doc_id, 0, 'split', ids, mid_ids, NULL, x0, y0, x1, y1, NULL, severity FROM s2
+ UNION ALL SELECT doc_id, page, 'cut', [block_id], {NO_IDS}, NULL, x0, y0, x1, y1, NULL, 1 + least(1.0::DOUBLE, (y1 - y0 - h) / 120) FROM wb WHERE y1 - y0 - h >= 6
+ UNION ALL SELECT doc_id, page, 'missing', {NO_IDS}, {NO_IDS}, cap_id, x0, y0, x1, y1, text, 2.5 FROM s4),
+sk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY severity DESC, page, y0, type) AS rank, greatest(0, count(*) OVER (PARTITION BY doc_id) - 40) AS skipped FROM su)"""
+SUSPECTS = "SELECT doc_id, page, type, ids, mid_ids, cap_id, x0, y0, x1, y1, severity, rank::INT AS rank, skipped FROM sk WHERE rank <= 40"
+AUDITED = f"WITH RECURSIVE {TS.SQL}, {AUDIT_TABLES}, {SCANS}"
+
+
+@query(f"{AUDITED} {SUSPECTS}")
 def suspects(spark, sf_dir):
     found = A.worst(A.scan(*audit_tables(spark, sf_dir)))
     return found.select("doc_id", "page", "type", "ids", "mid_ids", "cap_id", "x0", "y0", "x1", "y1", "severity", "rank", "skipped")
 
 
-QUERIES["suspects"] = suspects
+REPAIRED = f""", fx AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY severity DESC, page, y0) AS fix FROM sk WHERE rank <= 40),
+go AS (SELECT doc_id, fix AS gone_by, unnest(list_concat(ids[2:], mid_ids)) AS block_id FROM fx WHERE type = 'split'),
+ok AS (SELECT f.* FROM fx f WHERE NOT EXISTS (SELECT 1 FROM go WHERE go.doc_id = f.doc_id AND go.block_id = f.ids[1] AND go.gone_by < f.fix)),
+dr AS (SELECT DISTINCT doc_id, unnest(list_concat(ids[2:], mid_ids)) AS block_id FROM ok WHERE type = 'split'),
+ed AS (SELECT * FROM (SELECT *, ids[1] AS block_id, row_number() OVER (PARTITION BY doc_id, ids[1] ORDER BY fix DESC) AS n FROM ok WHERE type <> 'missing') WHERE n = 1),
+kp AS (SELECT b.doc_id, b.block_id, CASE WHEN e.type = 'text-as-image' THEN CASE WHEN regexp_matches(e.text, '{X.CAPTION}') THEN 'caption' ELSE 'para' END ELSE b.kind END AS kind, CASE WHEN e.type = 'text-as-image' THEN e.text ELSE b.text END AS text,
+ CASE WHEN e.type IN ('split', 'cut') THEN e.x0 ELSE b.x0 END AS x0, CASE WHEN e.type IN ('split', 'cut') THEN e.y0 ELSE b.y0 END AS y0, CASE WHEN e.type IN ('split', 'cut') THEN e.x1 ELSE b.x1 END AS x1, CASE WHEN e.type IN ('split', 'cut') THEN e.y1 ELSE b.y1 END AS y1, b.block_id::DOUBLE AS place
+ FROM ab b LEFT JOIN ed e ON e.doc_id = b.doc_id AND e.block_id = b.block_id WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.doc_id = b.doc_id AND dr.block_id = b.block_id))
+SELECT * FROM kp UNION ALL SELECT m.doc_id, (SELECT max(block_id) FROM ab WHERE ab.doc_id = m.doc_id) + row_number() OVER (PARTITION BY m.doc_id ORDER BY m.fix), 'graphic', '', m.x0, m.y0, m.x1, m.y1, m.cap_id + CASE WHEN m.y1 <= c.y0 THEN -0.5 ELSE 0.5 END::DOUBLE
+ FROM ok m JOIN ab c ON c.doc_id = m.doc_id AND c.block_id = m.cap_id WHERE m.type = 'missing'"""
 
 
+@query(AUDITED + REPAIRED)
 def repaired_blocks(spark, sf_dir):
     """Blocks after all suspects are confirmed and repaired."""
     blocks, items, ink = audit_tables(spark, sf_dir)
     return A.repaired(blocks, written(A.worst(A.scan(blocks, items, ink)), "suspects")).select("doc_id", "block_id", "kind", "text", "x0", "y0", "x1", "y1", "place")
 
 
-QUERIES["repaired_blocks"] = repaired_blocks
-
-
 @query(f"""WITH {G.BOXES}, s AS (SELECT doc_id, j, ((doc_id * 7 + j * 3) % 10)::DOUBLE AS severity FROM bx), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY severity DESC, j) AS rank, count(*) OVER (PARTITION BY doc_id) AS n FROM s)
 SELECT doc_id, j, severity, rank::INT AS rank, greatest(0, n - 2) AS skipped FROM r WHERE rank <= 2""")
 def suspects_topk(spark, sf_dir):
@@ -218,6 +280,37 @@ def confirmed_suspects(spark, sf_dir):
     return A.confirmed(rows, verdicts, ["doc_id"]).select("doc_id", "type")
 
 
+#: The share of a that b covers.
+COVERS = lambda a, b: f"CASE WHEN least({a}.x1, {b}.x1) > greatest({a}.x0, {b}.x0) AND least({a}.y1, {b}.y1) > greatest({a}.y0, {b}.y0) THEN (least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * (least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0)) / greatest(({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0), 1) ELSE 0 END"
+FIGURE_REGIONS = f"""tx AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS n FROM ab WHERE kind <> 'graphic'),
+g0 AS (SELECT *, max(y1) OVER (PARTITION BY doc_id ORDER BY y0, x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM ab WHERE kind = 'graphic'),
+g1 AS (SELECT g.*, CASE WHEN y0 - above <= 12 OR (y0 - above < 150 AND y0 > above AND NOT EXISTS (SELECT 1 FROM tx t WHERE t.doc_id = g.doc_id AND t.y1 > g.above + 1 AND t.y0 < g.y0 - 1)
+ AND EXISTS (SELECT 1 FROM ai i WHERE i.doc_id = g.doc_id AND i."on" AND i.y >= greatest(0, floor(g.above * 0.5)) AND i.y <= least(395, ceil(g.y0 * 0.5)))) THEN 0 ELSE 1 END AS o FROM g0 g),
+g2 AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY y0, x0) AS grp FROM g1),
+r0 AS (SELECT doc_id, greatest(0, min(x0) - 8) AS x0, greatest(0, min(y0) - 8) AS y0, least(612, max(x1) + 8) AS x1, least(792, max(y1) + 8) AS y1 FROM g2 GROUP BY doc_id, grp HAVING max(y1) - min(y0) >= 8),
+cl AS (SELECT DISTINCT doc_id, unnest({CLAIM('b')}) AS y FROM (SELECT doc_id, y0, y1 FROM r0 UNION ALL SELECT doc_id, y0, y1 FROM tx) b),
+fr AS (SELECT i.*, i.y - row_number() OVER (PARTITION BY i.doc_id ORDER BY i.y) AS g FROM ai i WHERE i.doc_id IN (SELECT doc_id FROM ab) AND i."on" AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.doc_id = i.doc_id AND cl.y = i.y)),
+r1 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y0) AS n, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM (SELECT * FROM r0
+ UNION ALL SELECT doc_id, greatest(0, min(min_x) - 2) * 2, greatest(0, min(y) - 2) * 2, least(306, max(max_x) + 3) * 2, least(396, max(y) + 3) * 2 FROM fr GROUP BY doc_id, g HAVING count(*) >= 20 AND max(max_x) > min(min_x) + 12)),
+wk AS (SELECT w.*, EXISTS (SELECT 1 FROM tx t WHERE t.doc_id = w.doc_id AND (t.kind IN ('caption', 'heading') OR t.x0 < 96) AND t.y0 - 2 <= w.y * 2 AND t.y1 + 2 >= w.y * 2) AS blocked, i."on" AS inked, i.min_x, i.max_x
+ FROM (SELECT r.doc_id, r.n, d.d, k.k, CASE WHEN d.d > 0 THEN ceil(r.y1 * 0.5) ELSE floor(r.y0 * 0.5) END::BIGINT + d.d * k.k AS y FROM r1 r, (VALUES (-1), (1)) d(d), range(0, 130) k(k) WHERE r.y1 - r.y0 >= 80) w JOIN ai i ON i.doc_id = w.doc_id AND i.y = w.y),
+wl AS (SELECT *, k - coalesce(max(CASE WHEN inked THEN k END) OVER (PARTITION BY doc_id, n, d ORDER BY k), -1) AS blank FROM wk),
+ws AS (SELECT *, min(CASE WHEN blocked OR blank >= 4 THEN k END) OVER (PARTITION BY doc_id, n, d) AS stop FROM wl),
+wm AS (SELECT doc_id, n, d, arg_max(y, k) * 2.0::DOUBLE AS y, min(min_x) * 2.0::DOUBLE AS l, max(max_x) * 2.0::DOUBLE AS r FROM ws WHERE inked AND k < coalesce(stop, 999) GROUP BY 1, 2, 3),
+r2 AS (SELECT r.doc_id, r.n, least(r.x0, coalesce(u.l, r.x0), coalesce(o.l, r.x0)) AS x0, coalesce(u.y, r.y0) AS y0, greatest(r.x1, coalesce(u.r, r.x1), coalesce(o.r, r.x1)) AS x1, coalesce(o.y, r.y1) AS y1
+ FROM r1 r LEFT JOIN wm u ON u.doc_id = r.doc_id AND u.n = r.n AND u.d = -1 LEFT JOIN wm o ON o.doc_id = r.doc_id AND o.n = r.n AND o.d = 1),
+lt AS (SELECT t.*, row_number() OVER (PARTITION BY t.doc_id ORDER BY t.block_id) AS k FROM tx t WHERE NOT EXISTS (SELECT 1 FROM r2 r WHERE r.doc_id = t.doc_id AND r.y1 - r.y0 >= 80 AND t.y0 >= r.y0 - 2 AND t.y1 <= r.y1 + 2 AND t.x0 >= r.x0 - 8 AND t.x1 <= r.x1 + 8)),
+c0 AS (SELECT r.doc_id, r.n, r.x0, r.x1, coalesce((SELECT arg_min(t.y1 + 1, t.k) FROM lt t WHERE t.doc_id = r.doc_id AND t.y1 > r.y0 AND t.y1 <= r.y0 + 1), r.y0) AS y0, coalesce((SELECT arg_min(t.y0 - 1, t.k) FROM lt t WHERE t.doc_id = r.doc_id AND t.y0 >= r.y1 - 1 AND t.y0 < r.y1), r.y1) AS y1 FROM r2 r),
+sh AS (SELECT doc_id, n, 0::BIGINT AS k, x0, y0, x1, y1 FROM c0 WHERE y1 - y0 >= 8 UNION ALL
+ SELECT doc_id, n, k, x0, CASE WHEN over AND NOT ty0 > y0 + 20 AND ty1 < y1 - 20 THEN greatest(y0, ty1 + 1) ELSE y0 END, x1, CASE WHEN over AND ty0 > y0 + 20 THEN least(y1, ty0 - 1) ELSE y1 END
+ FROM (SELECT s.doc_id, s.n, t.k, s.x0, s.y0, s.x1, s.y1, t.y0 AS ty0, t.y1 AS ty1, {COVERS('t', 's')} > 0.6 AS over FROM sh s JOIN lt t ON t.doc_id = s.doc_id AND t.k = s.k + 1)),
+r3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY k DESC) AS last FROM sh) WHERE last = 1)
+SELECT doc_id, 0 AS page, 'graphic' AS kind, NULL::BIGINT AS block_id, x0, y0, x1, y1 FROM r3 r WHERE y1 - y0 >= 8 AND floor((x1 - x0) * 200 / 72::DOUBLE + 0.5) >= 4 AND floor((y1 - y0) * 200 / 72::DOUBLE + 0.5) >= 4
+ AND NOT EXISTS (SELECT 1 FROM lt t WHERE t.doc_id = r.doc_id AND ({COVERS('t', 'r')} > 0.6 OR (r.y1 - r.y0 < 30 AND {COVERS('r', 't')} > 0.55)))
+ UNION ALL SELECT doc_id, page, kind, block_id, x0, y0, x1, y1 FROM lt"""
+
+
+@query(f"WITH RECURSIVE {AUDIT_TABLES}, {FIGURE_REGIONS}")
 def figure_regions(spark, sf_dir):
     """Regions of pages with planted boxes and ink, and the texts they leave."""
     blocks, _, ink = audit_tables(spark, sf_dir)
@@ -225,8 +318,6 @@ def figure_regions(spark, sf_dir):
     return regions.regions(blocks, ink, layout)
 
 
-QUERIES["figure_regions"] = figure_regions
-
 
 @query(f"""WITH {G.INK} SELECT doc_id, page, y, "on", min_x::INT AS min_x, max_x::INT AS max_x FROM ink""")
 def ink_from_pixels(spark, sf_dir):
@@ -374,3 +465,105 @@ def figure_crops(spark, sf_dir):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "block_id": frame["block_id"], "pixels_w": [p.shape[1] for p in pixels], "pixels_h": [p.shape[0] for p in pixels], "w": frame["w"], "h": frame["h"], "dark": [int((p < 248).any(axis=2).sum()) for p in pixels]})
 
     return crops.mapInPandas(look, "doc_id long, block_id long, pixels_w int, pixels_h int, w int, h int, dark long")
+
+
+@query(f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'text-as-image' ELSE 'split' END AS type, {", ".join(f"{v} AS {k}" for k, v in P.METRICS("text").items() if k in ("n_words", "n_ends"))} FROM documents)
+SELECT doc_id, type FROM s WHERE type = 'text-as-image' AND n_words >= 30 AND n_ends >= 2""")
+def sure_suspects(spark, sf_dir):
+    """Which suspects are repaired where no model sees: documents as texts taken for images, every other one of another type."""
+    kind = F.when(F.col("doc_id") % 2 == 0, "text-as-image").otherwise("split")
+    return A.sure_without_looking(P.documents(spark, sf_dir).select("doc_id", kind.alias("type"), "text")).select("doc_id", "type")
+
+
+@query("""WITH s AS (SELECT ['text-as-image', 'split', 'cut', 'missing'][(doc_id % 4 + 1)::INT] AS type, doc_id % 8 < 4 AS fixed FROM documents)
+SELECT type, count(*) AS suspects, count(*) FILTER (fixed) AS fixed FROM s GROUP BY type""")
+def suspects_report(spark, sf_dir):
+    kinds = F.array(*map(F.lit, X.VERDICTS))
+    rows = P.documents(spark, sf_dir).select("doc_id", kinds[(F.col("doc_id") % 4).cast("int")].alias("type"))
+    return A.report(rows, rows.filter("doc_id % 8 < 4"))
+
+
+@query(f"""WITH {G.BOXES}, r AS (SELECT b.*, l.line AS said, b.j % 3 <> 1 AS ok, CASE WHEN b.j % 2 = 0 THEN 'text' ELSE 'table' END AS shape, length(l.line) / 2.0 AS inky FROM bx b LEFT JOIN {P.LINES} l ON l.doc_id = b.doc_id AND l.line_no = b.j),
+m AS (SELECT *, coalesce(kind = 'graphic' AND said <> '' AND ok AND shape = 'text' AND inky >= (y1 - y0) * 0.55::DOUBLE, false) AS replaces FROM r)
+SELECT doc_id, j::BIGINT AS block_id, CASE WHEN replaces THEN CASE WHEN regexp_matches(said, '{X.CAPTION}') THEN 'caption' ELSE 'para' END ELSE kind END AS kind, CASE WHEN replaces THEN {P.COLLAPSE('said')} ELSE '' END AS text, CASE WHEN said <> '' THEN said END AS ocr FROM m""")
+def ocr_merged(spark, sf_dir):
+    """A line of the document read from every box, as a text or a table, some not to be trusted: what becomes of the boxes."""
+    blocks = G.boxes_of(spark, sf_dir).withColumn("block_id", F.col("j").cast("long")).withColumn("text", F.lit(""))
+    lines = P.lines(spark, sf_dir).select("doc_id", F.lit(0).alias("page"), F.col("line_no").cast("long").alias("block_id"), F.col("line").alias("text"))
+    read = lines.withColumns({"shape": F.when(F.col("block_id") % 2 == 0, "text").otherwise("table"), "ok": F.col("block_id") % 3 != 1})
+    found = lines.select("doc_id", "page", "block_id", (F.length("text") / 2.0).alias("inky"))
+    return A.ocr_merged(blocks.drop("j"), read, found).select("doc_id", "block_id", "kind", "text", "ocr")
+
+
+@query(f"""WITH l AS (SELECT doc_id, line_no, line, ['math', 'table', 'para', 'heading'][(line_no % 4 + 1)::INT] AS kind, line_no % 3 = 0 AS placed FROM {P.LINES})
+SELECT doc_id, line_no::INT AS seq, CASE WHEN placed AND kind IN ('math', 'table') THEN 'graphic' WHEN kind = 'table' THEN 'para' ELSE kind END AS kind, CASE WHEN placed AND kind IN ('math', 'table') THEN '' ELSE line END AS text, CASE WHEN placed AND kind IN ('math', 'table') THEN line END AS ocr FROM l""")
+def kept_images(spark, sf_dir):
+    """Lines as a model's formulas, tables and texts, some with a place on the page."""
+    kinds = F.array(*map(F.lit, ("math", "table", "para", "heading")))
+    rows = P.lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("seq"), kinds[F.col("line_no") % 4].alias("kind"), F.col("line").alias("text"), F.when(F.col("line_no") % 3 == 0, F.lit(5.0)).alias("x0"))
+    return R.kept_as_images(rows).select("doc_id", "seq", "kind", "text", "ocr")
+
+
+@query(f"""WITH l AS (SELECT doc_id, line_no, line, (8 + line_no % 11)::DOUBLE AS size, 1 + line_no % 4 AS n FROM {P.LINES}), v AS (SELECT *, {P.HEADING_LEVEL('line', 'size', 'n', '12.0::DOUBLE')} AS level, regexp_matches(line, '{X.CAPTION}') AS caption FROM l)
+SELECT doc_id, line_no::INT AS seq, CASE WHEN caption THEN 'caption' WHEN level > 0 THEN 'heading' WHEN size <= 12.0::DOUBLE - 1.2::DOUBLE THEN 'note' ELSE 'para' END AS kind, CASE WHEN NOT caption AND level > 0 THEN level END AS level FROM v""")
+def model_kinds(spark, sf_dir):
+    """A model's paragraphs told apart by their lines' sizes: lines of eleven sizes in blocks of one to four lines."""
+    rows = P.lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("seq"), F.lit("para").alias("kind"), F.col("line").alias("text"), (8 + F.col("line_no") % 11).cast("double").alias("size"), (1 + F.col("line_no") % 4).alias("n_lines"))
+    body = P.documents(spark, sf_dir).select("doc_id", F.lit(12.0).alias("body_size"))
+    return R.refined(rows, body).select("doc_id", "seq", "kind", "level")
+
+
+@query(f"""WITH {G.BOXES}, b AS (SELECT doc_id, page, y0 + 10 AS y0, y1 + 10 AS y1 FROM bx WHERE kind = 'graphic')
+SELECT doc_id, j FROM bx l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = l.doc_id AND least(b.y1, l.y1) > greatest(b.y0, l.y0) AND (least(b.y1, l.y1) - greatest(b.y0, l.y0)) / greatest(1, l.y1 - l.y0) > 0.5)""")
+def lines_without_banners(spark, sf_dir):
+    """Boxes as lines, those of graphics ten points lower as banners."""
+    from quire.operators import boxes as B
+
+    found = G.boxes_of(spark, sf_dir)
+    banners = found.filter("kind = 'graphic'").withColumns({"y0": F.col("y0") + 10, "y1": F.col("y1") + 10})
+    return B.not_under_banner(found, banners).select("doc_id", "j")
+
+
+@query(f"""WITH {G.BOXES}, o AS (SELECT *, CASE WHEN y0 - max(y1) OVER (PARTITION BY doc_id ORDER BY y0, x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 30 THEN 0 ELSE 1 END AS o FROM bx), g AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY y0, x0) AS g FROM o)
+SELECT doc_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM g GROUP BY doc_id, g""")
+def merged_runs(spark, sf_dir):
+    """Boxes of every kind joined down the page over gaps of at most 30 points."""
+    from quire.operators import intervals as I
+
+    return I.merged_boxes(G.boxes_of(spark, sf_dir), ["doc_id", "page"], 30).select("doc_id", "x0", "y0", "x1", "y1", "n")
+
+
+#: Bands of 36 points vote for a gap one after another; a vote is for the first gap that it is near to, or for a new one.
+COLUMN_CUTS = f"""WITH RECURSIVE {TS.SQL}{LY.TWO_COLUMNS},
+hb AS (SELECT *, floor(y_base / 36)::INT AS band FROM halves), hc AS (SELECT doc_id, page, band FROM hb GROUP BY 1, 2, 3 HAVING count(*) >= 4),
+hx AS (SELECT DISTINCT doc_id, page, band, unnest(range(floor(x0)::BIGINT, ceil(x1)::BIGINT + 1)) AS x FROM hb SEMI JOIN hc USING (doc_id, page, band)),
+hg AS (SELECT doc_id, page, band, x, lead(x) OVER (PARTITION BY doc_id, page, band ORDER BY x) AS nx FROM hx),
+hv AS (SELECT doc_id, page, arg_max((x + 1 + nx) / 2.0, (nx - x - 1) * 10000 - x)::DOUBLE AS c, row_number() OVER (PARTITION BY doc_id, page ORDER BY band) AS r FROM hg WHERE nx - x - 1 >= 6 AND x + 1 > 612 * 0.25 AND nx < 612 * 0.75 GROUP BY doc_id, page, band),
+hs AS (SELECT doc_id, page, r, [c] AS sums, [1.0::DOUBLE] AS ns FROM hv WHERE r = 1 UNION ALL
+ SELECT doc_id, page, r, CASE WHEN pos > 0 THEN list_transform(range(1, len(sums) + 1), lambda i: sums[i] + CASE WHEN i = pos THEN c ELSE 0 END) ELSE list_append(sums, c) END, CASE WHEN pos > 0 THEN list_transform(range(1, len(ns) + 1), lambda i: ns[i] + CASE WHEN i = pos THEN 1 ELSE 0 END) ELSE list_append(ns, 1.0::DOUBLE) END
+ FROM (SELECT s.doc_id, s.page, v.r, s.sums, s.ns, v.c, coalesce(list_position(list_transform(range(1, len(s.sums) + 1), lambda i: abs(s.sums[i] / s.ns[i] - v.c) < 16), true), 0) AS pos FROM hs s JOIN hv v ON v.doc_id = s.doc_id AND v.page = s.page AND v.r = s.r + 1)),
+hw AS (SELECT doc_id, page, arg_max(sums, r) AS sums, arg_max(ns, r) AS ns FROM hs GROUP BY 1, 2),
+hq AS (SELECT doc_id, page, sums[list_position(ns, list_max(ns))] / list_max(ns) AS cut FROM hw WHERE list_max(ns) >= 3),
+hr AS (SELECT h.doc_id, h.page, any_value(cut) AS cut, h.x0, h.x1, h.y_base, CASE WHEN h.x0 < any_value(cut) - 10 AND h.x1 > any_value(cut) + 10 THEN -1 WHEN (h.x0 + h.x1) / 2 >= any_value(cut) THEN 1 ELSE 0 END AS side, h.seq FROM halves h JOIN hq USING (doc_id, page) GROUP BY h.doc_id, h.page, h.seq, h.x0, h.x1, h.y_base),
+hn AS (SELECT doc_id, page, any_value(cut) AS cut, count(*) AS n, count(*) FILTER (side = -1) AS across, count(*) FILTER (side = 0) AS l, count(*) FILTER (side = 1) AS r FROM hr GROUP BY 1, 2),
+hy AS (SELECT DISTINCT doc_id, page, side, floor(2 * y_base + 0.5) AS y FROM hr WHERE side >= 0),
+hm AS (SELECT a.doc_id, a.page, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM hy b WHERE b.side = 1 AND b.doc_id = a.doc_id AND b.page = a.page AND abs(b.y - a.y) <= 1)) AS met FROM hy a WHERE a.side = 0 GROUP BY 1, 2),
+hf AS (SELECT hn.* FROM hn JOIN hm USING (doc_id, page) WHERE hn.n >= 40 AND across <= 0.45 * hn.n AND least(l, r) >= 0.15 * hn.n AND hm.n >= 6 AND met <= 0.35 * hm.n)
+SELECT p.doc_id, p.page, cut, coalesce(f.across, p.n) AS across, coalesce(l, 0) AS "left", coalesce(r, 0) AS "right" FROM (SELECT doc_id, page, count(*) AS n FROM halves GROUP BY 1, 2) p LEFT JOIN hf f USING (doc_id, page)"""
+
+
+@query(COLUMN_CUTS)
+def column_cuts(spark, sf_dir):
+    """Pages set in two columns (documents of even number) or as tables with level rows (the others): where they are cut, and where spans go."""
+    spans = LY.two_columns(LY.spans_of(spark, sf_dir))
+    return pages.column_cuts(spans.withColumns({"y_top": F.col("y_base") - 0.78 * F.col("size"), "y_bot": F.col("y_base") + 0.24 * F.col("size")}))
+
+
+@query(f"""WITH {TS.SQL}, {G.BOXES}, t AS (SELECT doc_id, page, count(*) AS texts FROM spans GROUP BY 1, 2), d AS (SELECT doc_id, page, count(*) AS drawings, min(y0) AS y_from, max(y1) AS y_to FROM bx WHERE kind <> 'caption' GROUP BY 1, 2), i AS (SELECT doc_id, page, count(*) AS images FROM bx WHERE kind = 'caption' GROUP BY 1, 2)
+SELECT doc_id, page, coalesce(texts, 0) AS texts, coalesce(drawings, 0) AS drawings, y_from, y_to, coalesce(images, 0) AS images, coalesce(images, 0) > 0 OR coalesce(drawings, 0) > 2 AS likely_figures FROM t FULL JOIN d USING (doc_id, page) FULL JOIN i USING (doc_id, page)""")
+def drawing_census(spark, sf_dir):
+    """Pages with their texts, and boxes as drawings and images."""
+    from quire.sources import items
+
+    found = G.boxes_of(spark, sf_dir)
+    return items.drawing_census(LY.spans_of(spark, sf_dir), found.filter("kind <> 'caption'"), found.filter("kind = 'caption'"), many=2)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import audit as A
 from quire.operators import library as L
-from quire.operators import neighbours, passages, streams
+from quire.operators import neighbours, packing, passages, streams
 from quire.sources import tables
 
 
@@ -19,6 +19,8 @@ def test_previous_rows_of_a_hot_group(spark):
         want[s, d] = max(before, default=None)
     got = {(r["source"], r["doc_id"]): r["previous"] for r in neighbours.previous(df, "source", "doc_id").collect()}
     assert got == want and neighbours.previous(df.limit(0), "source", "doc_id").count() == 0
+    places = {(r["source"], r["doc_id"]): r["place"] for r in neighbours.placed(df, "source", "doc_id").collect()}
+    assert places == {(s, d): sum(t == s and e < d for t, e in rows) for s, d in rows}
 
 
 def test_rolled_hashes():
@@ -103,6 +105,57 @@ def test_questions_and_candidates(spark):
     assert [(r["block_id"], r["dense"], r["skipped"]) for r in rows] == [(1, True, 1), (2, False, 1)]
 
 
+def test_library_is_opened_taken_over_and_refused(spark, tmp_path):
+    old = f"{tmp_path}/lib/v1"
+    spark.createDataFrame([(1, "a", 10)], "id long, title string, created long").write.parquet(f"{old}/docs")
+    spark.createDataFrame([("k", "z")], "k string, zh string").write.parquet(f"{old}/cache")
+    lib = L.Library(spark, f"{tmp_path}/lib").open()
+    assert [tuple(r) for r in lib.table("docs").select("id", "title", "pages").collect()] == [(1, "a", None)] and lib.table("cache").count() == 1
+    assert all(lib.table(n).count() == 0 for n in ("blocks", "files", "highlights"))
+    lib.remember(spark.createDataFrame([("l", "y")], "k string, zh string"))
+    assert L.Library(spark, f"{tmp_path}/lib").open().table("cache").count() == 2  # opened again, nothing is taken over twice
+    (tmp_path / "lib" / "v99").mkdir()
+    with pytest.raises(ValueError, match="version 99"):
+        L.Library(spark, f"{tmp_path}/lib").open()
+    assert L.Library(spark, f"{tmp_path}/new").open().usage() >= 0
+
+
+FITZ = """
+class Page:
+    def __init__(self, number, text):
+        self.number, self.text = number, text
+
+    def get_text(self, kind):
+        span = lambda t, x: {"text": t, "size": 11.96, "font": "ABCDEF+Roman", "bbox": (x, 90.0, x + 5 * len(t), 104.0), "origin": (x, 100.0)}
+        return {"blocks": [{"image": 1}, {"lines": [{"spans": [span(self.text, 72.0), span("  ", 100.0), span("end", 200.0)]}]}]}
+
+
+class open:
+    def __init__(self, stream, filetype):
+        self.pages = [Page(k, t) for k, t in enumerate(stream.decode().split("|"))]
+
+    def __enter__(self):
+        return iter(self.pages)
+
+    def __exit__(self, *a):
+        pass
+"""
+
+
+def test_pdf_source_reads_what_a_library_says(spark, tmp_path):
+    """With a stand-in for the PDF library at the workers: files to spans, page by page."""
+    from quire.sources.pdf import PdfItems
+
+    (tmp_path / "fitz.py").write_text(FITZ)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"one|two")
+    (tmp_path / "in" / "notes.txt").write_bytes(b"x")
+    spark.sparkContext.addPyFile(str(tmp_path / "fitz.py"))
+    spark.dataSource.register(PdfItems)
+    rows = spark.read.format("quire_pdf").load(str(tmp_path / "in")).orderBy("page", "seq").collect()
+    assert [(r["page"], r["seq"], r["str"], r["size"], r["font"], r["x0"], r["y_base"]) for r in rows] == [(p, s, t, 12.0, "Roman", x, 100.0) for p, w in enumerate(("one", "two")) for s, t, x in ((0, w, 72.0), (1, "end", 200.0))]
+
+
 def test_shared_folder_must_be_set_on_a_cluster(spark):
     class Context:
         master = "spark://host:7077"
@@ -118,3 +171,52 @@ def test_shared_folder_must_be_set_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.shared_folder(Session())
+
+
+def greedy(sizes, limit):
+    out, used, batch = [], 0, 0
+    for n in sizes:
+        if used and used + n > limit:
+            batch, used = batch + 1, 0
+        used += n
+        out.append(batch)
+    return out
+
+
+def test_effects_of_a_stretch_are_those_of_its_rows():
+    """Whatever batch reaches a stretch, and wherever the stretch is cut off from the rows before it."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        sizes, limit = rng.choice([0, 0, 1, 2, 3, 7, 12], rng.integers(1, 14)), 10
+        told = packing.effects(sizes, limit)
+        for used in range(15):
+            batch, at = 0, used
+            for n in sizes.tolist():
+                if at and at + n > limit:
+                    batch, at = batch + 1, 0
+                at += n
+            assert packing.after(told, used, limit) == (batch, at)
+
+
+def test_a_hot_group_is_packed_in_ranges(spark):
+    rng = np.random.default_rng(9)
+    groups = {"hot": rng.choice([0, 1, 5, 40, 130], 3000).tolist(), "b": [5, 5, 200, 0, 1], None: [70, 40, 0, 0, 100], "c": [1]}
+    rows = [(g, i, n if n else None) for g, own in groups.items() for i, n in enumerate(own)]
+    df = spark.createDataFrame(rows, "source string, doc_id long, n long").repartition(6)
+    got = {(r["source"], r["doc_id"]): r["batch"] for r in packing.packed(df, ["source"], "doc_id", "n", 100).collect()}
+    assert got == {(g, i): b for g, own in groups.items() for i, b in enumerate(greedy(own, 100))}
+    alone = packing.packed(df.filter("source = 'hot'"), [], "doc_id", "n", 100).collect()
+    assert {r["doc_id"]: r["batch"] for r in alone} == dict(enumerate(greedy(groups["hot"], 100)))
+    assert packing.packed(df.limit(0), ["source"], "doc_id", "n", 100).count() == 0
+
+
+def test_entry_without_what_only_the_training_data_part_needs():
+    """The engine's queries are there when a module that only quire.llm imports is not."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; from quire import catalog; assert set(e.queries()) == set(catalog.QUERIES) and set(e.oracle_sql()) == set(catalog.ORACLES)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
