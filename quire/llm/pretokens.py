@@ -77,8 +77,8 @@ class Memo:
     encode_new takes a list of pre-tokens and returns all their ids in one array, and the number of each one's ids.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int]):
-        self.encode_new = encode_new
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int], most: int | None = None):
+        self.encode_new, self.most = encode_new, most
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.young = _Young(self.special, {})
@@ -93,7 +93,7 @@ class Memo:
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and the number of each one's ids; end stands after each text."""
-        if len(self.young) > MEMO + len(self.special):
+        if len(self.young) > (self.most or MEMO) + len(self.special):
             self.young = _Young(self.special, dict(self.young))
         young, place = self.young, self.young.__getitem__
         rows: list[list[bytes]] = []

@@ -20,7 +20,6 @@ Defined results
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -35,19 +34,20 @@ from pyspark.sql import functions as F
 
 from quire.llm.bpe import byte_letters, list_column
 from quire.llm.common import new_path, open_shared, parts_for, tune
-from quire.llm.pretokens import SPACE, Memo
+from quire.llm.pretokens import Memo
 
 END = 2
 #: Tokens after which a row group is closed, and bytes of a page.
 GROUP_TOKENS = 1 << 20
 PAGE = 128 << 10
+#: Distinct pre-tokens in a generation of a worker's memory: some 90 MB each.
+KEPT = 400_000
 MANIFEST = "part int, path string, tokens long, documents long, first long, last long"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.field("element", pa.int32())))])
 FORMAT = {
     "compression": "zstd", "compression_level": 1, "use_dictionary": ["ids.list.element"], "data_page_version": "2.0", "data_page_size": PAGE, "write_page_index": True,
     "column_encoding": {"doc_id": "DELTA_BINARY_PACKED", "start": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"},
 }
-JOINED = re.compile(rf" [^{SPACE}]+")
 
 _memos: dict[str, Memo] = {}
 
@@ -62,7 +62,7 @@ def _memo(key: str, spec: str) -> Memo:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        _memos[key] = Memo(_bulk(tokenizer), special)
+        _memos[key] = Memo(_bulk(tokenizer), special, KEPT)
     return _memos[key]
 
 
@@ -79,7 +79,7 @@ def _bulk(tokenizer):
         length[i] = sum(c in back for c in token)
 
     def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        joined = np.array([JOINED.fullmatch(w) is not None for w in new])
+        joined = np.array([len(w) > 1 and w[0] == " " and not w[1].isspace() for w in new])  # white space stands with white space alone
         plain, rest = [w for w, j in zip(new, joined, strict=True) if j], [w for w, j in zip(new, joined, strict=True) if not j]
         got = tokenizer.encode_batch_fast(["".join(plain[i : i + 100]) for i in range(0, len(plain), 100)], add_special_tokens=False)
         ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in got)])
