@@ -2,13 +2,14 @@
 
 1. A document's set is its distinct SIZE-word shingles. HASHES universal hash functions give its minima, which
    are cut into BANDS bands. Documents of equal sets become one class, so exact copies cost nothing further.
-2. Classes that share a band's hash are tied to the least of that bucket; components of these ties
-   (alternating large-star and small-star) are the families in which links can be.
-3. A family's texts meet. Pairs of fitting size whose signatures agree in SIGNED of the minima are compared
-   on their full sets, unless links found already join them. A large family is dealt into blocks, and a pair of
-   blocks is a group of its own, so nothing unbounded meets. At first each block meets itself and the family's
-   first block, which joins up copies of one text in work that grows as their number; pairs of blocks whose
-   members are not all joined by then meet in a second round, so that no pair is left out.
+2. Classes that share a band's hash meet in its bucket with a byte of each minimum. Those that agree in enough of them are
+   tied; what shares a band by chance alone is not, so that chance does not chain texts together as the corpus grows.
+   Components of the ties (alternating large-star and small-star) are the families in which links can be.
+3. A family's texts meet. Pairs of fitting size whose signatures agree in enough minima are compared
+   on their full sets, unless links found already join them.
+   A large bucket or family is dealt into blocks, and a pair of blocks is a group of its own, so nothing unbounded
+   meets. At first each block meets itself and the first block, which joins up copies of one text in work that grows as
+   their number; pairs of blocks whose members are not all joined by then meet in a second round, so that no pair is left out.
 4. Components of the links, again by alternating stars, are the near-duplicate groups.
 
 Links have at least `link` hundredths of the union in common: LINK by the query's contract, NEAR by the general rule. A pair
@@ -44,8 +45,8 @@ BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
 #: Links have at least this many hundredths of the union in common: by the query's contract, and by the general rule for other uses.
 LINK, NEAR = 85, 80
-#: Shingles in a block of a family.
-BLOCK = 1 << 15
+#: Shingles in a block of a family, and classes in a block of a bucket.
+BLOCK, BUCKET = 1 << 15, 1 << 12
 #: Shingles hashed at once: they stay in the processor's cache.
 CACHED = 1 << 14
 SEED = 20240229
@@ -93,13 +94,17 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = shingle_sets(*flat_bytes(b.column("bytes")))
         full = [k for k, s in enumerate(sets) if len(s)]
-        bands = np.zeros((0, BANDS), np.int64) if not full else band_hashes(minima([sets[k] for k in full]))
+        signatures = minima([sets[k] for k in full]) if full else np.zeros((0, HASHES), np.uint64)
+        bands, low = band_hashes(signatures), signatures.astype(np.uint8)
+        signed = [None] * len(sets)
+        for k, row in zip(full, low, strict=True):
+            signed[k] = row.tobytes()
         offsets = np.zeros(len(sets) + 1, np.int32)
         offsets[1:] = np.cumsum([BANDS * bool(len(s)) for s in sets])
         prints = [np.array([mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
         yield pa.RecordBatch.from_arrays(
-            [b.column("d"), b.column("u"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, prints), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1)))],
-            names=["d", "u", "n", "s1", "s2", "bands"],
+            [b.column("d"), b.column("u"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, prints), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1))), pa.array(signed, pa.binary())],
+            names=["d", "u", "n", "s1", "s2", "bands", "signed"],
         )
 
 
@@ -163,7 +168,7 @@ def _compare(link: int):
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True))
             nodes, block, joined = (batch.column(c).to_pylist() for c in ("id", "block", "joined"))
-            data, offsets = flat_bytes(batch.column("bytes"))
+            data, offsets = flat_bytes(batch.column("payload"))
             got, got_again = shingle_sets(data, offsets), shingle_sets(data, offsets, SECOND)
             for k, key in enumerate(keys):
                 if key != at:
@@ -181,18 +186,75 @@ def _compare(link: int):
     return run
 
 
-def _met(rows: DataFrame, link: int) -> DataFrame:
-    """Links (a, b) among rows (family, i, j, block, id, joined, text) of each pair of blocks."""
+def tied(signed: np.ndarray, blocks: np.ndarray, known: np.ndarray, cross: bool, least: float) -> np.ndarray:
+    """A label for each row of signatures' bytes, equal where rows that agree in the least share of them join them."""
+    label = known.copy()
+    for x in range(len(signed) - 1):
+        other = label != label[x]
+        if not other.any():
+            break
+        other[:x] = False
+        if cross:
+            other &= blocks != blocks[x]
+        near = np.flatnonzero(other)
+        for k in np.unique(label[near[(signed[near] == signed[x]).mean(axis=1) >= least]]):
+            label[label == k] = label[x]
+    return label
+
+
+def _agree(link: int):
+    """Rows arrive sorted by bucket and pair of blocks; holds one pair of blocks at a time, and one batch."""
+    least, names = signed_share(link), ("family", "i", "j", "id", "block", "joined")
+
+    def found(family, i, j, node, block, joined, signed) -> pa.RecordBatch:
+        change = np.flatnonzero((family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        start = np.concatenate([[0], change])
+        size = np.diff(start, append=len(family))
+        two = start[(size == 2)]
+        two = two[((i[two] == j[two]) | (block[two] != block[two + 1])) & (joined[two] != joined[two + 1])]
+        two = two[(signed[two] == signed[two + 1]).mean(axis=1) >= least]
+        a, b = [np.maximum(node[two], node[two + 1])], [np.minimum(node[two], node[two + 1])]
+        for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            own = slice(at, at + n)
+            label = tied(signed[own], block[own], joined[own], i[at] != j[at], least)
+            for k in np.unique(label):
+                members = np.flatnonzero(label == k)
+                if len(np.unique(joined[own][members])) > 1:
+                    group = np.sort(node[own][members])
+                    a.append(group[1:])
+                    b.append(np.full(len(group) - 1, group[0]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (a, b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [*(np.asarray(batch.column(c)) for c in names), flat_bytes(batch.column("payload"))[0].reshape(-1, HASHES)]
+            if held is not None:
+                rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
+            last = int(same.argmax())  # the last group may go on in the next batch
+            if last:
+                yield found(*(c[:last] for c in rows))
+            held = [c[last:] for c in rows]
+        if held is not None:
+            yield found(*held)
+
+    return run
+
+
+def _met(rows: DataFrame, meet) -> DataFrame:
+    """Links (a, b) among rows (family, i, j, block, id, joined, payload) of each pair of blocks."""
     key = ["family", "i", "j"]
-    rows = rows.select(*key, "block", "id", "joined", F.col("text").cast("binary").alias("bytes"))
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(link), "a long, b long")
+    return rows.select(*key, "block", "id", "joined", "payload").repartition(*key).sortWithinPartitions(*key).mapInArrow(meet, "a long, b long")
 
 
-def family_links(held: DataFrame, link: int) -> DataFrame:
-    """a, b: the links that join up the members of families. held: id, family, blocks, block and text."""
+def joining_links(held: DataFrame, meet) -> DataFrame:
+    """a, b: links that join up the members of groups. held: id, family (the group), blocks, block and payload; an id may be in many groups."""
     other = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
     first = held.withColumn("other", F.explode(other)).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "joined": F.col("id")})
-    links_ = settle(_met(first, link), "links")
+    links_ = settle(_met(first, meet), "links")
     # what is left: pairs of later blocks whose members are not all in one component
     large = held.filter("blocks > 2 and block > 0").select("id", "family", "block")
     if not large.take(1):
@@ -204,34 +266,36 @@ def family_links(held: DataFrame, link: int) -> DataFrame:
     apart = (F.col("lo_i") != F.col("hi_i")) | (F.col("lo_j") != F.col("hi_j")) | (F.col("lo_i") != F.col("lo_j"))
     left = i.join(j, "family").filter((F.col("block_i") < F.col("block_j")) & apart).select("family", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
     sides = settle(left.withColumn("block", F.explode(F.array("i", "j"))), "sides")
-    second = now.join(sides, ["family", "block"]).join(held.select("id", "text"), "id")
-    return links_.unionByName(_met(second, link))
+    second = now.join(sides, ["family", "block"]).join(held.select("id", "family", "payload"), ["id", "family"])
+    return links_.unionByName(_met(second, meet))
 
 
-def groups(docs: DataFrame, block: int = BLOCK, link: int = LINK) -> DataFrame:
+def groups(docs: DataFrame, block: int = BLOCK, link: int = LINK, bucket: int = BUCKET) -> DataFrame:
     """A row for each row of docs: d, u, n (size of its set), root_d, root_u (the least document of its component)."""
     tune(docs.sparkSession)
     texts = identified(docs)
-    told = texts.select("d", "u", F.col("text").cast("binary").alias("bytes")).mapInArrow(_describe, "d long, u long, n long, s1 long, s2 long, bands array<long>")
+    told = texts.select("d", "u", F.col("text").cast("binary").alias("bytes")).mapInArrow(_describe, "d long, u long, n long, s1 long, s2 long, bands array<long>, signed binary")
     told = settle(told, "sets")
 
     # classes of equal sets, numbered in the order of their least documents
-    least = told.filter("n > 0").groupBy(*SET).agg(F.min(F.struct("d", "u")).alias("least"), F.first("bands").alias("bands"))
-    classes = numbered(least.select(F.col("least.d").alias("d"), F.col("least.u").alias("u"), *SET, "bands"), [F.col("d"), F.col("u")], "id")
-
-    # families: who shares a bucket, tied to the bucket's least
-    banded = classes.select("id", F.explode("bands").alias("bucket"))
-    buckets = settle(banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m"), "buckets")
-    ties = banded.join(buckets, "bucket").select(F.col("id").alias("a"), "b").filter("a <> b")
-    tied = components(ties)
-    family = settle(tied.select(F.col("a").alias("id"), F.col("root").alias("family")).unionByName(tied.select(F.col("root").alias("id"), F.col("root").alias("family")).distinct()), "families")
+    least = told.filter("n > 0").groupBy(*SET).agg(F.min(F.struct("d", "u")).alias("least"), F.first("bands").alias("bands"), F.first("signed").alias("signed"))
+    classes = numbered(least.select(F.col("least.d").alias("d"), F.col("least.u").alias("u"), *SET, "bands", "signed"), [F.col("d"), F.col("u")], "id")
+
+    # families: who shares a bucket and agrees
+    banded = classes.select("id", F.explode("bands").alias("family"))
+    buckets = settle(banded.groupBy("family").agg(F.count("*").alias("m")).filter("m > 1").select("family", F.ceil(F.col("m") / F.lit(bucket)).cast("int").alias("blocks")), "buckets")
+    shared = settle(banded.join(buckets, "family"), "shared")  # numbers alone; signatures go only to those who share a bucket
+    shared = shared.join(classes.select("id", F.col("signed").alias("payload")), "id")
+    ties = joining_links(shared.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), _agree(link))
+    stars = components(ties)
+    family = settle(stars.select(F.col("a").alias("id"), F.col("root").alias("family")).unionByName(stars.select(F.col("root").alias("id"), F.col("root").alias("family")).distinct()), "families")
 
     # each family's texts meet, in pairs of blocks where they are many
     places = settle(classes.select("id", "d", "u", "n").join(family, "id"), "places")
     sizes = settle(places.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks")), "sizes")
     dealt = places.join(sizes, "family").select("id", "d", "u", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    held = settle(texts.join(dealt, ["d", "u"]).dropDuplicates(["id"]).drop("d", "u"), "held")
-    joined = components(family_links(held, link))
+    held = texts.withColumn("payload", F.col("text").cast("binary")).join(dealt, ["d", "u"]).dropDuplicates(["id"]).drop("d", "u", "text")
+    joined = components(joining_links(settle(held, "held"), _compare(link)))
 
     # back to documents
     names = classes.select(F.col("id").alias("root"), F.col("d").alias("root_d"), F.col("u").alias("root_u"))

@@ -50,8 +50,8 @@ def test_near_groups_are_those_of_all_pairs(spark):
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     want = near_groups(docs)
-    for block in (near_dedup.BLOCK, 400):  # in one block, and in many pairs of blocks
-        rows = near_dedup.groups(df, block).collect()
+    for block, bucket in ((near_dedup.BLOCK, near_dedup.BUCKET), (400, 4)):  # in one block, and in many pairs of blocks
+        rows = near_dedup.groups(df, block, bucket=bucket).collect()
         assert {r["d"]: (r["n"], r["root_d"], r["d"] == r["root_d"]) for r in rows} == want
 
 
@@ -216,3 +216,35 @@ def test_copies_of_huge_texts_meet_chunk_by_chunk(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "fingerprints", lambda d, huge: real(d, huge).withColumns({"fp1": F.lit(1).cast("long"), "fp2": F.lit(1).cast("long")}))
     rows = exact_dedup.duplicates(docs, 1000).collect()
     assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows} == {i: (4, 2) if i in (2, 4) else (5, 4) for i in range(6)}
+
+
+def test_rows_that_agree_are_tied_across_batches():
+    """Groups of any size, cut by batches anywhere, against all pairs."""
+    import pyarrow as pa
+
+    rng, rows = np.random.default_rng(12), []
+    for family in range(60):
+        n = int(rng.choice([2, 2, 3, 8, 20]))
+        bases = rng.integers(0, 256, (3, near_dedup.HASHES), dtype=np.uint8)
+        for _ in range(n):
+            own = bases[rng.integers(3)].copy()
+            own[rng.permutation(near_dedup.HASHES)[: rng.integers(0, 60)]] = rng.integers(0, 256)
+            rows.append((family, int(rng.integers(10**6)), own))
+    least = near_dedup.signed_share(85)
+    want = set()
+    for family in range(60):
+        group = [r for r in rows if r[0] == family]
+        parent = {r[1]: r[1] for r in group}
+        for k, (_, a, x) in enumerate(group):
+            for _, b, y in group[k + 1 :]:
+                if (x == y).mean() >= least:
+                    p, q = sorted((find(parent, a), find(parent, b)))
+                    parent[q] = p
+        want |= {(x, find(parent, x)) for x in parent if find(parent, x) != x}
+    columns = ["family", "i", "j", "id", "block", "joined"]
+    zero = [0] * len(rows)
+    table = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in ([r[0] for r in rows], zero, zero, [r[1] for r in rows], zero, [r[1] for r in rows])), pa.array([r[2].tobytes() for r in rows], pa.binary())], names=[*columns, "payload"])
+    for size in (1, 7, 50, 1000):
+        batches = [table.slice(k, size) for k in range(0, len(rows), size)]
+        got = {pair for b in near_dedup._agree(85)(iter(batches)) for pair in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)}
+        assert got == want and len(want) > 50
