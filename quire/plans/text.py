@@ -179,7 +179,7 @@ def chunk_agreement(spark, sf_dir):
     docs = documents(spark, sf_dir)
     pairs = written(previous(docs, "source", "doc_id").filter(F.col("previous").isNotNull()).select("doc_id", "previous"), "pairs")
     found = pairs.join(docs.select("doc_id", "text"), "doc_id").join(docs.select(F.col("doc_id").alias("previous"), F.col("text").alias("read")), "previous")
-    found = found.filter(F.col("read").isNotNull())
+    found = found.filter(F.col("read").isNotNull()).repartition("doc_id")  # the work is in the comparison, wherever the scan's splits lie
     return found.select("doc_id", *[v.alias(k) for k, v in T.agreement("read", "text").items()])
 
 
